@@ -154,3 +154,6 @@ def _template_query(table, keys, transformation, order_by):
 for _name, _table, _keys, _t, _exprs, _order in CASES:
     QUERIES[f"template_{_name}"] = _template_query(_table, _keys, _t, _order)
     ORACLE[f"template_{_name}"] = case_sql(_table, _keys, _exprs)
+
+
+from . import registry_analysis  # noqa: E402,F401  (registers more queries)
