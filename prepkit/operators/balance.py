@@ -232,6 +232,8 @@ def balance(df: DataFrame, t: str, technique: str, seed: int = 42,
         "kde_resample": lambda: kde_resample(df, t, seed=seed, row_id=row_id),
         "quantile_bin_oversample": lambda: quantile_bin_oversample(df, t, seed=seed, row_id=row_id),
         "tail_resample": lambda: tail_resample(df, t, seed=seed, row_id=row_id),
+        "cluster_oversample": lambda: cluster_oversample(df, t, seed=seed, row_id=row_id),
+        "cluster_based_oversampling": lambda: cluster_oversample(df, t, seed=seed, row_id=row_id),
     }
     if name not in table:
         raise ValueError(f"Unknown balancing technique: {technique}")
@@ -242,3 +244,59 @@ def category_columns(df: DataFrame, t: str) -> list[str]:
     """String columns other than the target."""
     return [f.name for f in df.schema.fields
             if isinstance(f.dataType, T.StringType) and f.name != t]
+
+
+def cluster_oversample(df: DataFrame, t: str, n_clusters: int = 5, seed: int = 42,
+                       row_id: list[str] | None = None, max_levels: int = 1000) -> DataFrame:
+    """Per non-majority class, k-means (k = min(5, n)) on one-hot features;
+    ceil((max - n) / k) draws with replacement from every non-empty cluster;
+    then exactly ``max`` rows without replacement from originals + draws.
+
+    K-means runs with ``pyspark.ml`` (distributed Lloyd iterations); draws and
+    the final cut are hash-ranked, so they do not depend on the layout.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    from .transforms import TemplateSet
+
+    base = df.where(clean_value(df, t).isNotNull())
+    counts = _class_counts(base, t)
+    if not counts:
+        return base
+    mx = max(n for _, n in counts)
+    feats = [c for c in df.columns if c != t]
+    cats = [f.name for f in df.schema.fields
+            if f.name != t and isinstance(f.dataType, (T.StringType, T.BooleanType))]
+    nums = [c for c in feats if c not in cats and df.schema[c].dataType.typeName() in
+            ("integer", "long", "double", "float", "short", "byte", "decimal")]
+    dummies = TemplateSet([{"column_name": c, "fe_method": "dummies", "max_levels": max_levels}
+                           for c in cats]).fit(base)
+    encoded = dummies.transform(base)
+    vec_cols = nums + [c for c in encoded.columns if c not in df.columns]
+    keys = _row_key(df, row_id)
+    out = base.where(F.col(t).isin([c for c, n in counts if n == mx]))
+    for cls, n in counts:
+        if n == mx:
+            continue
+        part = encoded.where(F.col(t) == F.lit(cls)).na.fill(0.0, subset=vec_cols)
+        k = min(n_clusters, n)
+        assembled = VectorAssembler(inputCols=vec_cols, outputCol="_features").transform(part)
+        model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="_cluster").fit(assembled)
+        labelled = model.transform(assembled).select(*df.columns, "_cluster")
+        per = math.ceil((mx - n) / k)
+        sizes = dict((r["_cluster"], r["n"]) for r in
+                     labelled.groupBy("_cluster").agg(F.count(F.lit(1)).alias("n")).collect())
+        needs = [(c, size, per) for c, size in sorted(sizes.items())]
+        numbered = rank_within_group(labelled, ["_cluster"], _order(df, keys, seed), name="_pick")
+        draws = _draws(df.sparkSession, "_cluster", T.IntegerType(), needs, seed)
+        extra = (draws.join(numbered, ["_cluster", "_pick"])
+                 .withColumn("_h", hash_bigint(F.lit("draw"), F.col("_cluster"), F.col("_pick"),
+                                               *[F.col(c) for c in keys], F.lit(seed)))
+                 .select(*df.columns, "_h"))
+        orig = labelled.withColumn("_h", hash_bigint(F.lit("orig"), *[F.col(c) for c in keys],
+                                                     F.lit(seed))).select(*df.columns, "_h")
+        pool = orig.unionByName(extra).withColumn("_one", F.lit(1))
+        ranked = rank_within_group(pool, ["_one"], [F.col("_h"), *[F.col(c) for c in keys]], name="_r")
+        out = out.unionByName(ranked.where(F.col("_r") <= mx).select(*df.columns))
+    return out

@@ -240,3 +240,8 @@ def _q(spark, sf):
                      F.size(F.try_variant_get(v, "$", "array<variant>")).cast("bigint").alias("n_items"),
                      F.try_variant_get(v, "$[0].k", "bigint").alias("first_k")) \
         .withColumn("n_items", F.when(F.col("n_items") >= 0, F.col("n_items")))
+
+
+@register("cluster_oversample_documents")
+def _q(spark, sf):
+    return B.cluster_oversample(FX.doc_binary(spark, sf), "target", row_id=["doc_id"])

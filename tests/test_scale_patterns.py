@@ -77,3 +77,13 @@ def test_undersample_counts(spark):
     out = random_undersample(d, "target", row_id=["doc_id"])
     c = {r["target"]: r["count"] for r in out.groupBy("target").count().collect()}
     assert len(set(c.values())) == 1
+
+
+def test_cluster_oversample_invariants(spark):
+    from prepkit.operators.balance import cluster_oversample
+    d = FX.doc_binary(spark, SF01)
+    out = cluster_oversample(d, "target", row_id=["doc_id"])
+    c = {r["target"]: r["count"] for r in out.groupBy("target").count().collect()}
+    assert len(set(c.values())) == 1
+    # every produced row is a copy of an input row
+    assert out.join(d, list(d.columns), "left_anti").count() == 0
