@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, shuffle_partitions
 
+BROADCAST_GROUPS = 200_000
 _LOW_BITS = 33
 _LOW_MASK = (1 << _LOW_BITS) - 1
 
@@ -75,6 +76,11 @@ def rank_within_group(df: DataFrame, group: list[str], order: list[Column | str]
     numbered = global_row_number(df, [*group, *order], name="_g")
     starts = numbered.groupBy(*group).agg(F.min("_g").alias("_start"),
                                           F.count(F.lit(1)).alias("_size"))
+    # one row per group; broadcast only after checking that it is small, so a
+    # hot group is never hash-shuffled into a single task
+    got = starts.limit(BROADCAST_GROUPS + 1).collect()
+    if len(got) <= BROADCAST_GROUPS:
+        starts = F.broadcast(df.sparkSession.createDataFrame(got, starts.schema))
     out = join_null_safe(numbered, starts, group)
     out = out.withColumn(name, F.col("_g") - F.col("_start") + 1)
     if size_col:
