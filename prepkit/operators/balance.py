@@ -35,8 +35,18 @@ def _row_key(df: DataFrame, row_id: list[str] | None) -> list[str]:
 
 
 def _order(df: DataFrame, row_id: list[str] | None, seed: int) -> list[Column]:
+    """Deterministic row order: 60-bit hash of (row id, seed), then the id itself.
+
+    With an explicit ``row_id`` the hash is md5-based (reproducible by SQL
+    engines); without one every column is hashed with the JVM-side xxhash64,
+    which is much cheaper than building the md5 text of the whole row.
+    """
     keys = _row_key(df, row_id)
-    return [hash_bigint(*[F.col(k) for k in keys], F.lit(seed)), *[F.col(k) for k in keys]]
+    if row_id:
+        h = hash_bigint(*[F.col(k) for k in keys], F.lit(seed))
+    else:
+        h = F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)).bitwiseAND(F.lit((1 << 60) - 1))
+    return [h, *[F.col(k) for k in keys]]
 
 
 def _class_counts(df: DataFrame, key: str) -> list[tuple]:
