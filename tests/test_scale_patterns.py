@@ -87,3 +87,19 @@ def test_cluster_oversample_invariants(spark):
     assert len(set(c.values())) == 1
     # every produced row is a copy of an input row
     assert out.join(d, list(d.columns), "left_anti").count() == 0
+
+
+def test_train_save_reload(spark, tmp_path):
+    from prepkit.operators import model as M
+    d = FX.doc_numeric(spark, SF01)
+    res = M.train(d, "target", "logistic_regression", row_id=["doc_id"])
+    m = res.metrics.first()
+    assert 0.0 <= m["accuracy"] <= 1.0 and m["fit_status"] in ("good_fit", "overfitting", "underfitting")
+    path = f"/tmp/prepkit-model-{tmp_path.name}"
+    M.save_model(res, path)
+    again = M.load_model(path)
+    a = sorted((r["doc_id"], r["prediction"]) for r in res.model.transform(
+        res.predictions.select("doc_id", "n_chars", "quality")).collect())
+    b = sorted((r["doc_id"], r["prediction"]) for r in again.transform(
+        res.predictions.select("doc_id", "n_chars", "quality")).collect())
+    assert a == b
