@@ -36,6 +36,11 @@ def _q(spark, sf):
     return P.overview(read_table(spark, sf, "lineitem"))
 
 
+@register("sample_rows_orders", "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5")
+def _q(spark, sf):
+    return P.sample_rows(read_table(spark, sf, "orders"), [F.desc("o_totalprice"), "o_orderkey"])
+
+
 @register("missing_values_li_nulls", S.missing_values(S.LI_NULLS, S.LINEITEM))
 def _q(spark, sf):
     return P.missing_values(FX.li_nulls(spark, sf))
