@@ -4,11 +4,12 @@ Rows of the matrix are *classes* (documents with equal shingle sets count once),
 columns are shingles.  The product is never formed whole:
 
 1.  Size-derived bounds choose the columns that have to be multiplied.  A pair
-    with Jaccard >= t has an overlap of at least ``t * max(|x|, |y|)``, so in hash
-    order the first ``|x| - ceil(t|x|) + l`` shingles of both share l or more.
-    Only these columns are emitted; a column that stands in one class is dropped,
-    and a class with fewer than l columns left has no partner.  Of the columns
-    left, ordered from rare to frequent, all but the last l - 1 suffice.
+    with Jaccard >= t has an overlap of at least ``t * max(|x|, |y|)``.  Of each class
+    the last ``left_out(n)`` columns in hash order are not emitted; as that number
+    never falls with n, a pair still shares ``ceil(t n) - left_out(n)`` of the columns
+    emitted, for both its sizes n.  A column that stands in one class is dropped, and
+    so is a class with fewer columns left than that.  Of the rest, ordered from
+    rare to frequent, all but the last ``ceil(t n) - left_out(n) - 1`` suffice.
 2.  Blocks of equal columns (and neighbouring size) first make a star: each class
     with the block's least class.  The overlap counts of these pairs are summed
     over the blocks, and every class is checked against its best partner.
@@ -37,24 +38,23 @@ from prepkit.llm.components import components
 
 SHINGLE = 5
 NUM, DEN = 80, 100     #: link when DEN * overlap >= NUM * union
-HOT = 64               #: a column of so many classes counts as frequent, however many it has
+WHOLE = 64             #: sets up to this size emit all their columns
+HOT = 256              #: a column of so many classes counts as frequent, however many it has
 SALTS = 97
-#: classes to be checked are found by a broadcast join up to so many (16 bytes each), by a shuffled one beyond
-BROADCAST_CLASSES = 1_000_000
+STAR = 512             #: partners that one task compares with the middle of a star
+#: classes to be checked are found by a broadcast join up to so many (40 bytes each), by a shuffled one beyond
+BROADCAST_CLASSES = 500_000
+NO_ID = -2**63
 
 
-def _need(n: np.ndarray) -> np.ndarray:
-    """Least overlap of a set of n with any partner."""
-    return -(-n * NUM // DEN)
+def left_out(n):
+    """Columns of a set of n that are not emitted: it never falls with n and stays below ceil(0.8 n)."""
+    return np.maximum(0, n - WHOLE) * 13 // 20
 
 
-def _spare(n: np.ndarray) -> np.ndarray:
-    """How many common columns the prefixes of two sets of n or more are made to have."""
-    return 1 + n // 20
-
-
-def prefix_length(n: np.ndarray) -> np.ndarray:
-    return np.minimum(n, n - _need(n) + _spare(n))
+LEFT_OUT = f"cast(greatest(0, n - {WHOLE}) * 13 div 20 as int)"
+#: columns that a set of n shares with any partner among those emitted
+COMMON = f"cast(ceil(n * {NUM} / {DEN}) as int) - {LEFT_OUT}"
 
 
 def class_of(s: np.ndarray) -> int:
@@ -73,10 +73,11 @@ def _sets(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.Rec
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, lo, sets in _sets(batches, 1):
+    for batch, lo, sets in _sets(batches, 2):
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).slice(lo, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
-             pa.array([class_of(s) for s in sets], pa.int64())], ["doc_id", "n", "cls"])
+            [batch.column(0).slice(lo, len(sets)), batch.column(1).slice(lo, len(sets)),
+             pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())],
+            ["_id", "_h", "n", "cls"])
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +90,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in sets:
             if len(s) and (c := class_of(s)) not in seen:
                 seen.add(c)
-                p = int(prefix_length(np.int64(len(s))))
+                p = len(s) - int(left_out(len(s)))
                 cols.append(s[:p])
                 classes.append(np.full(p, c, np.int64))
                 sizes.append(np.full(p, len(s), np.int32))
@@ -110,19 +111,23 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, set_a, set_b) -> (a, b) that link."""
+    """Rows (pivot, salt, side, cls, members) in this order, the pivot's own set first -> (a, b) that link."""
+    at, pivot = None, None
     for batch in batches:
-        left, right = batch.column(2), batch.column(3)
-        good = []
-        for i in range(batch.num_rows):
-            x = np.frombuffer(left[i].as_buffer(), np.uint64)
-            y = np.frombuffer(right[i].as_buffer(), np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            good.append(DEN * both >= NUM * (len(x) + len(y) - both))
-        yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+        a, b = [], []
+        keys = zip(*(batch.column(i).to_pylist() for i in range(4)))
+        for (head, salt, side, cls), raw in zip(keys, batch.column(4)):
+            members = np.frombuffer(raw.as_buffer(), np.uint64)
+            if side == 0:
+                at, pivot = (head, salt), members.copy()
+            elif at == (head, salt):
+                x, y = (pivot, members) if len(pivot) <= len(members) else (members, pivot)
+                place = np.searchsorted(y, x)
+                both = int((y[np.minimum(place, len(y) - 1)] == x).sum())
+                if DEN * both >= NUM * (len(x) + len(y) - both):
+                    a.append(head)
+                    b.append(cls)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,25 +138,30 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-2**63)).alias("_id"),
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"),
                        F.col("text").cast("string").alias("_text"))
 
 
 def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets link."""
+    """The pairs (a, b) of classes whose sets link, checkpointed.
+
+    The sets are made anew from the texts and moved once: every b to the place of its a.
+    An a with many partners has several places."""
     pairs = pairs.select("a", "b").checkpoint()
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(
-        classes.select("cls", F.col("least_id").alias("_id")), "cls").checkpoint()
-    ids = asked.select("_id").distinct()
-    if asked.count() <= BROADCAST_CLASSES:
-        ids = F.broadcast(ids)
+    places = pairs.groupBy("a").agg((1 + F.floor(F.count(F.lit(1)) / STAR)).cast("int").alias("places"))
+    moves = pairs.join(places, "a").select(
+        F.col("b").alias("cls"), F.col("a").alias("pivot"), F.pmod(F.xxhash64("b"), "places").cast("int").alias("salt"),
+        F.lit(1).alias("side"))
+    moves = moves.union(places.select("a", "a", F.explode(F.expr("sequence(0, places - 1)")), F.lit(0)))
+    moves = moves.join(classes.select("cls", F.col("least_id").alias("_id")), "cls").checkpoint()
+    ids, asked = moves.select("_id").distinct(), moves.select("cls", "pivot", "salt", "side")
+    if moves.count() <= BROADCAST_CLASSES:
+        ids, asked = F.broadcast(ids), F.broadcast(asked)
     sets = (_texts(docs).join(ids, "_id", "left_semi").select("_text")
-            .mapInArrow(_set_rows, "cls long, members binary").dropDuplicates(["cls"]))
-    sets = sets.join(asked.select("cls"), "cls", "left_semi").checkpoint()
-    a = sets.select(F.col("cls").alias("a"), F.col("members").alias("set_a"))
-    b = sets.select(F.col("cls").alias("b"), F.col("members").alias("set_b"))
-    return (pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b")
-            .mapInArrow(_overlap, "a long, b long").checkpoint())
+            .mapInArrow(_set_rows, "cls long, members binary"))
+    return (sets.join(asked, "cls").select("pivot", "salt", "side", "cls", "members")
+            .repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "side")
+            .mapInArrow(_overlap, "a long, b long").distinct().checkpoint())
 
 
 def _size_ok(n: str, m: str) -> F.Column:
@@ -170,12 +180,11 @@ def blocks(docs: DataFrame) -> DataFrame:
             .withColumn("shared", F.min("cls").over(column) < F.max("cls").over(column))
             .where("salt > 0 or shared")
             .withColumn("df", F.when(F.col("salt") > 0, HOT).otherwise(F.col("df"))))
-    least = F.expr(f"cast(1 + cast(ceil(n * {NUM} / {DEN}) as int) div 20 as int)")
     whole = W.partitionBy("cls")
     rows = (rows.dropDuplicates(["cls", "col"])
             .withColumn("left", F.count(F.lit(1)).over(whole))
             .withColumn("at", F.row_number().over(whole.orderBy("df", "col"))))
-    return rows.where(F.col("at") <= F.col("left") - least + 1).select("col", "cls", "n").checkpoint()
+    return rows.where(F.expr(f"at <= left - ({COMMON}) + 1")).select("col", "cls", "n").checkpoint()
 
 
 def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -210,6 +219,28 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return components(first.union(second))
 
 
+def grouped(docs: DataFrame) -> DataFrame:
+    """_id, _h (id and digest of a document), n, component (least id of its group), head (least _id, _h of it).
+
+    One row per input row; documents without shingles are their own group."""
+    text = docs["text"].cast("string")
+    rows = (docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("_id"),
+                        F.xxhash64(F.coalesce(text, F.lit(""))).alias("_h"), text.alias("text"))
+            .mapInArrow(_classes, "_id long, _h long, n long, cls long").checkpoint())
+    classes = rows.where("n > 0").groupBy("cls").agg(
+        F.first("n").alias("n"), F.min(F.nullif("_id", F.lit(NO_ID))).alias("least"),
+        F.min(F.struct("_id", "_h")).alias("head")).withColumn("least_id", F.col("head._id"))
+    linked = link_classes(docs, classes)
+    named = classes.join(linked.withColumnRenamed("node", "cls"), "cls", "left").select(
+        "cls", "least", "head", F.coalesce("component", "cls").alias("comp")).checkpoint()
+    groups = named.groupBy("comp").agg(F.min("least").alias("component"), F.min("head").alias("head"))
+    ids = named.select("cls", "comp").join(groups, "comp").select("cls", "component", "head")
+    own = F.col("n") == 0
+    return rows.join(ids, "cls", "left").select(
+        "_id", "_h", "n", F.when(own, F.nullif("_id", F.lit(NO_ID))).otherwise(F.col("component")).alias("component"),
+        F.when(own, F.struct("_id", "_h")).otherwise(F.col("head")).alias("head"))
+
+
 def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     """documents(doc_id, text) -> doc_id, n_shingles long, component_id long, one row per input row.
 
@@ -221,16 +252,28 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     keep the null id; a component of such rows alone has a null id.  Repeated
     rows each give a row.  Other columns are ignored.
     """
-    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .mapInArrow(_classes, "doc_id long, n long, cls long").checkpoint())
-    classes = rows.where("n > 0").groupBy("cls").agg(
-        F.first("n").alias("n"), F.min("doc_id").alias("least"),
-        F.min(F.coalesce("doc_id", F.lit(-2**63))).alias("least_id"))
-    linked = link_classes(docs, classes)
-    named = classes.join(linked.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "cls", "least", F.coalesce("component", "cls").alias("comp")).checkpoint()
-    heads = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    ids = named.join(heads, "comp").select("cls", "component_id")
-    return rows.join(ids, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return grouped(docs).select(F.nullif("_id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"),
+                                F.col("component").alias("component_id"))
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """The documents with all their columns, one of each group: the one with the least id (null
+    ids first).  Documents without words stay; repeated rows of one id and text stay once."""
+    groups = grouped(docs).where("n > 0").checkpoint()
+    key = F.struct("_id", "_h")
+    extra = groups.where(F.col("head") != key).select("_id", "_h").distinct().checkpoint()
+    again = groups.where(F.col("head") == key).groupBy("_id", "_h").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    again = again.select("_id", "_h").checkpoint()
+    text = docs["text"].cast("string")
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"),
+                        F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("_id"),
+                        F.xxhash64(F.coalesce(text, F.lit(""))).alias("_h"))
+    n_extra, n_again = extra.count(), again.count()
+    if n_extra <= BROADCAST_CLASSES:
+        extra = F.broadcast(extra)
+    kept = keyed.join(extra, ["_id", "_h"], "left_anti")
+    if n_again:
+        twice = F.broadcast(again) if n_again <= BROADCAST_CLASSES else again
+        kept = kept.join(twice, ["_id", "_h"], "left_anti").unionByName(
+            keyed.join(twice, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"]))
+    return kept.select("_row.*")
