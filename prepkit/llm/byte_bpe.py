@@ -29,7 +29,7 @@ from prepkit.llm import textcols as T
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: pre-tokens of tier two that a worker remembers
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: a single text is split in pieces of about so many bytes (cut before white space)
 PIECE = 1 << 21
 #: code points with the property White_Space (fixed values)
@@ -109,28 +109,31 @@ class PerfectHash:
         taken = np.zeros(self.n, bool)
         self.shift = np.zeros(self.buckets, np.int64)
         self.order = np.zeros(self.n, np.int64)     # place -> key
-        by_size = np.argsort(-sizes, kind="stable")
-        singles = []
-        for b in by_size:
-            members = order[bounds[b]:bounds[b + 1]]
-            if not len(members):
-                break
-            if len(members) == 1:
-                singles.append((b, members[0]))
-                continue
-            d = 1
-            while True:
-                place = self._place(keys[members], np.full(1, d, np.uint64))
-                if len(set(place.tolist())) == len(place) and not taken[place].any():
-                    break
+        for size in range(int(sizes.max(initial=0)), 1, -1):
+            todo = np.flatnonzero(sizes == size)
+            members = order[bounds[todo][:, None] + np.arange(size)]
+            d = 0
+            while len(todo):
+                # one displacement for all buckets of a size that have no place yet
                 d += 1
-            taken[place] = True
-            self.order[place] = members
-            self.shift[b] = d
-        free = np.flatnonzero(~taken)
-        for (b, member), place in zip(singles, free):   # a lone key is sent to a free place directly
-            self.order[place] = member
-            self.shift[b] = -1 - place
+                place = self._place(keys[members], np.full(1, d, np.uint64))
+                ordered = np.sort(place, axis=1)
+                free = ~taken[place].any(1) & (ordered[:, 1:] != ordered[:, :-1]).all(1)
+                at = np.flatnonzero(free)
+                _, first = np.unique(place[at].ravel(), return_index=True)
+                claimed = np.zeros(place[at].size, bool)
+                claimed[first] = True
+                at = at[claimed.reshape(-1, size).all(1)]
+                taken[place[at]] = True
+                self.order[place[at]] = members[at]
+                self.shift[todo[at]] = d
+                left = np.ones(len(todo), bool)
+                left[at] = False
+                todo, members = todo[left], members[left]
+        single = np.flatnonzero(sizes == 1)          # a lone key is sent to a free place directly
+        place = np.flatnonzero(~taken)[:len(single)]
+        self.order[place] = order[bounds[single]]
+        self.shift[single] = -1 - place
 
     def _place(self, keys: np.ndarray, d) -> np.ndarray:
         return (T.mix(keys + d * T.PLACE_KEY[40]) % np.uint64(self.n)).astype(np.int64)
@@ -186,35 +189,39 @@ class Codec:
             return cls({base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())})
 
     def merge(self, word: bytes) -> list[int]:
-        """Tier two: merge neighbours in a linked list, lowest rank first, leftmost first."""
-        ranks, n = self.ranks, len(word)
+        """Tier two: merge neighbours in a linked list, lowest rank first, leftmost first.
+
+        The heap holds rank * base + place; an entry counts if the pair at its place still
+        has its rank."""
+        get, n = self.ranks.get, len(word)
+        base = n + 1
         after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        heap = []
-        for i in range(n - 1):
-            r = ranks.get(word[i:i + 2])
-            if r is not None:
-                heap.append((r, i, i + 2))
+        before = list(range(-1, n))
+        pair = [get(word[i:i + 2], -1) for i in range(n - 1)]
+        pair.append(-1)
+        heap = [r * base + i for i, r in enumerate(pair) if r >= 0]
         heapq.heapify(heap)
-        dead = bytearray(n + 1)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            _, i, end = heapq.heappop(heap)
-            j = after[i]
-            if dead[i] or j >= n or after[j] != end:
+            r, i = divmod(pop(heap), base)
+            if pair[i] != r:
                 continue                 # one of the two has merged meanwhile
-            dead[j] = 1
-            after[i] = end
+            j = after[i]
+            end = after[i] = after[j]
+            pair[j] = -2
             if end < n:
                 before[end] = i
-                r = ranks.get(word[i:after[end]])
-                if r is not None:
-                    heapq.heappush(heap, (r, i, after[end]))
+                r = pair[i] = get(word[i:after[end]], -1)
+                if r >= 0:
+                    push(heap, r * base + i)
+            else:
+                pair[i] = -1
             k = before[i]
             if k >= 0:
-                r = ranks.get(word[k:end])
-                if r is not None:
-                    heapq.heappush(heap, (r, k, end))
-        out, i = [], 0
+                r = pair[k] = get(word[k:end], -1)
+                if r >= 0:
+                    push(heap, r * base + k)
+        out, i, ranks = [], 0, self.ranks
         while i < n:
             out.append(ranks[word[i:after[i]]])
             i = after[i]
