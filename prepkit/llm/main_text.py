@@ -44,6 +44,12 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 REGIONS = frozenset(["article", "main"])
 
 
+#: tags without attributes, outside the elements whose content is no markup
+PLAIN_START = re.compile(r"<([a-zA-Z][a-zA-Z0-9]*)>")
+PLAIN_END = re.compile(r"</([a-zA-Z][a-zA-Z0-9]*)>")
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript plaintext".split())
+
+
 class _Lines(HTMLParser):
     """Events -> lines of [texts, tags, region, characters in links, open elements].
 
@@ -59,6 +65,23 @@ class _Lines(HTMLParser):
         self.region = 0
         self.regions = 0
 
+    def updatepos(self, i, j):
+        return j                    # nobody asks for line numbers
+
+    def parse_starttag(self, i):
+        m = PLAIN_START.match(self.rawdata, i)
+        if m is None or (tag := m[1].lower()) in RAW:
+            return super().parse_starttag(i)
+        self.handle_starttag(tag, ())
+        return m.end()
+
+    def parse_endtag(self, i):
+        m = PLAIN_END.match(self.rawdata, i)
+        if m is None or self.cdata_elem is not None or (tag := m[1].lower()) in RAW:
+            return super().parse_endtag(i)
+        self.handle_endtag(tag)
+        return m.end()
+
     def _break(self):
         line = self.lines[-1]
         if line[0]:
@@ -203,7 +226,7 @@ def extract(html: str) -> str:
         chosen = set(region[content & (region > 0)].tolist())
         if not chosen:
             chosen = {int(np.argmax(np.bincount(region, np.where(region > 0, lengths, 0))))}
-        keep = np.isin(region, list(chosen))
+        keep = [x[2] in chosen for x in lines]
     else:
         # the innermost element around all content lines, without its lists of links
         paths = [lines[i][4] for i in np.flatnonzero(content)]
