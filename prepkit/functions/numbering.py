@@ -47,10 +47,15 @@ def global_row_number(df: DataFrame, order: list[Column | str], name: str = "rn"
         running += r["_c"]
     if not offsets:
         return ranged.drop("_mid").withColumn(name, F.lit(None).cast("bigint"))
-    max_pid = max(offsets)
-    arr = F.array(*[F.lit(offsets.get(i, 0)).cast("bigint") for i in range(max_pid + 1)])
-    rn = F.element_at(arr, (pid + 1).cast("int")) + (F.col("_mid").bitwiseAND(F.lit(_LOW_MASK))) + 1
-    return ranged.withColumn(name, rn).drop("_mid")
+    # one row per partition: bounded by the number of shuffle partitions
+    table = F.broadcast(spark.createDataFrame(sorted(offsets.items()), "_pid bigint, _off bigint"))
+    rn = F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_LOW_MASK)) + 1
+    return ranged.withColumn("_pid", pid).join(table, "_pid").withColumn(name, rn).drop("_pid", "_off", "_mid")
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_GROUPS) -> DataFrame:
+    """``df`` marked for a broadcast join if it has at most ``limit`` rows (counted), else as it is."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
 def ntile_from_rank(rank: Column, n: Column, k: int) -> Column:
@@ -77,10 +82,9 @@ def rank_within_group(df: DataFrame, group: list[str], order: list[Column | str]
     starts = numbered.groupBy(*group).agg(F.min("_g").alias("_start"),
                                           F.count(F.lit(1)).alias("_size"))
     # one row per group; broadcast only after checking that it is small, so a
-    # hot group is never hash-shuffled into a single task
-    got = starts.limit(BROADCAST_GROUPS + 1).collect()
-    if len(got) <= BROADCAST_GROUPS:
-        starts = F.broadcast(df.sparkSession.createDataFrame(got, starts.schema))
+    # hot group is not hash-shuffled into a single task; beyond, adaptive
+    # execution splits the rows of a hot group
+    starts = small_side(starts)
     out = join_null_safe(numbered, starts, group)
     out = out.withColumn(name, F.col("_g") - F.col("_start") + 1)
     if size_col:

@@ -12,9 +12,10 @@ Rules that keep the numbers identical to the pandas / warehouse semantics:
 Exact percentiles scale in two ways.  When a key holds at most
 ``DIRECT_LIMIT`` rows the built-in ``percentile`` aggregate is used (its
 buffer is bounded by the row count).  Above that, ``exact_quantiles`` narrows
-each requested rank with equal-width bucket counts (one grouped count per
-round, map-side combined), which never holds more than ``bins`` counters per
-requested rank in any task and finishes with a bounded collect.
+each requested rank with bucket counts (one grouped count per round, map-side
+combined), which never holds more than ``bins`` counters per requested rank in
+any task and finishes with a bounded collect.  Both give the same value; a
+registered query runs the refinement on whole tables.
 """
 
 from __future__ import annotations
@@ -89,6 +90,42 @@ def _interpolate(h: float, lo: int, hi: int, vlo: float, vhi: float) -> float:
     return (hi - h) * vlo + (h - lo) * vhi
 
 
+def _bucket(v: Column, bins: int) -> Column:
+    """Bucket of v in [L, U], never falling with v; -1 and ``bins`` hold the infinities.
+
+    On wide ranges the cuts are even in asinh(v), so a heavy tail does not put all
+    other values into one bucket; where asinh cannot tell the ends apart they are even in v."""
+    low, high = F.col("L"), F.col("U")
+    a, b = F.asinh(low), F.asinh(high)
+    wide = (b - a) > 1.0
+    share = F.when(wide, F.try_divide(F.asinh(v) - a, b - a)).otherwise(F.try_divide(v - low, high - low))
+    cut = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
+    return F.when(v > high, bins).when(v < low, -1).otherwise(F.greatest(cut, F.lit(0)))
+
+
+def quantile_table(long: DataFrame, keys: list[str], probs: list[float], value: str = "v",
+                   large: int = COLLECT_LIMIT) -> DataFrame:
+    """``keys, q array<double>``: exact quantiles per group, as a table of as many rows as there are groups.
+
+    A group of at most ``large`` rows is one buffer of the ``percentile`` aggregate; larger groups (of
+    which there are at most rows / ``large``) are refined by bucket counts."""
+    sizes = long.groupBy(*keys).agg(F.count(value).alias("_size"))
+    big = sizes.where(F.col("_size") > large).select(*keys)
+    arr = F.array(*[F.lit(float(p)) for p in probs])
+    found = big.collect()
+    if not found:
+        return long.groupBy(*keys).agg(F.percentile(value, arr).alias("q"))
+    spark = long.sparkSession
+    types = ", ".join(f"`{k}` {long.schema[k].dataType.simpleString()}" for k in keys)
+    numbered = spark.createDataFrame([(*r, i) for i, r in enumerate(found)], f"{types}, _group int")
+    inside = long.join(F.broadcast(numbered), keys)
+    got = exact_quantiles(inside.select(F.col("_group").alias("k"), F.col(value).alias("v")), probs, direct_limit=0)
+    rows = [(*r, got[i]) for i, r in enumerate(found) if i in got]
+    rest = long.join(F.broadcast(numbered.drop("_group")), keys, "left_anti")
+    return rest.groupBy(*keys).agg(F.percentile(value, arr).alias("q")).unionByName(
+        spark.createDataFrame(rows, f"{types}, q array<double>"))
+
+
 def exact_quantiles(long: DataFrame, probs: list[float], key: str = "k",
                     value: str = "v", bins: int = REFINE_BINS,
                     collect_limit: int = COLLECT_LIMIT,
@@ -99,8 +136,9 @@ def exact_quantiles(long: DataFrame, probs: list[float], key: str = "k",
     absent.  ``long`` must already exclude NULL values.
     """
     probs = [float(p) for p in probs]
-    stats = long.groupBy(key).agg(F.count(value).alias("n"), F.min(value).alias("lo"),
-                                  F.max(value).alias("hi")).collect()
+    finite = F.when(F.abs(F.col(value)) < F.lit(float("inf")), F.col(value))
+    stats = long.groupBy(key).agg(F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"),
+                                  F.min(finite).alias("flo"), F.max(finite).alias("fhi")).collect()
     if not stats:
         return {}
     if max(r["n"] for r in stats) <= direct_limit:
@@ -126,9 +164,12 @@ def exact_quantiles(long: DataFrame, probs: list[float], key: str = "k",
                 if r["lo"] == r["hi"]:
                     found[k][rank] = float(r["lo"])
                 else:
-                    pending[(k, float(r["lo"]), float(r["hi"]), 0, n)].add(rank)
+                    # buckets are cut between the finite ends; infinities have buckets of their own
+                    lo_, hi_ = (r["flo"], r["fhi"]) if r["flo"] is not None else (0.0, 0.0)
+                    pending[(k, float(lo_), float(hi_), 0, n)].add(rank)
 
     spark = long.sparkSession
+    first_round = True
     while pending:
         items = list(pending.items())
         pending = defaultdict(set)
@@ -141,8 +182,11 @@ def exact_quantiles(long: DataFrame, probs: list[float], key: str = "k",
             "small int")
         # the interval table has one row per pending rank range: tiny, bounded
         # by (#keys x #probs x 2); broadcasting it is safe.
-        sel = long.join(F.broadcast(spec), on=key).where(
-            (F.col(value) >= F.col("L")) & (F.col(value) <= F.col("U")))
+        inside = (F.col(value) >= F.col("L")) & (F.col(value) <= F.col("U"))
+        if first_round:
+            inside = F.lit(True)        # with the infinities
+        first_round = False
+        sel = long.join(F.broadcast(spec), on=key).where(inside)
         if small:
             counts = (sel.where(F.col("small") == 1).groupBy("iid", value)
                       .agg(F.count(F.lit(1)).alias("c")).collect())
@@ -160,9 +204,7 @@ def exact_quantiles(long: DataFrame, probs: list[float], key: str = "k",
                         j += 1
                     cum += c
         if large:
-            w = (F.col("U") - F.col("L")) / F.lit(float(bins))
-            b = F.least(F.floor((F.col(value) - F.col("L")) / w).cast("int"), F.lit(bins - 1))
-            rows = (sel.where(F.col("small") == 0).groupBy("iid", b.alias("b"))
+            rows = (sel.where(F.col("small") == 0).groupBy("iid", _bucket(F.col(value), bins).alias("b"))
                     .agg(F.count(F.lit(1)).alias("c"), F.min(value).alias("bmin"),
                          F.max(value).alias("bmax")).collect())
             by_iid = defaultdict(list)

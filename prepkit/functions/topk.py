@@ -12,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shuffle_partitions
 from .columns import canonical_str, clean_value, trim_ws
 
-SALTS = 64
+LEAST_SALTS = 16
 
 
 def long_values(df: DataFrame, cols: list[str], key: str = "column_name",
@@ -40,8 +41,11 @@ def value_counts(df: DataFrame, cols: list[str], key: str = "column_name",
 
 def top_k(grouped: DataFrame, key: str | list[str], order: list[Column], k: int,
           rank_col: str = "rank", salt_of: Column | None = None,
-          salts: int = SALTS) -> DataFrame:
-    """Top ``k`` rows per key by ``order`` (must be a total order), with rank 1..k."""
+          salts: int | None = None) -> DataFrame:
+    """Top ``k`` rows per key by ``order`` (must be a total order), with rank 1..k.
+
+    There are as many slices per key as shuffle partitions, so they fill the cluster."""
+    salts = salts or max(LEAST_SALTS, shuffle_partitions(grouped.sparkSession))
     keys = [key] if isinstance(key, str) else list(key)
     salt = salt_of if salt_of is not None else F.col("value")
     salted = grouped.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)))

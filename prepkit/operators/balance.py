@@ -4,9 +4,9 @@ All draws are hash-driven: rows are numbered inside their class by
 ``md5(row_id | seed)`` and draw ``j`` of class ``c`` picks row
 ``md5(c | j | seed) mod count_c``.  Results therefore do not depend on the
 partition layout, survive task retries unchanged, and can be reproduced by a
-SQL engine.  Draws are generated by ``spark.range`` over the total number
-needed (spread over many tasks, never exploded from one row) and attached by
-an equi-join on ``(class, row number)``.
+SQL engine.  Class counts stay a table, whatever their number.  Draws are made
+from it in chunks that are dealt over many tasks, and attached by an equi-join on
+``(class, row number, salt)``.
 """
 
 from __future__ import annotations
@@ -17,12 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import clean_value, hash_bigint
-from ..functions.numbering import global_row_number, rank_within_group
+from ..functions.columns import canonical_str, clean_value, hash_bigint, is_numeric
+from ..functions.numbering import global_row_number, rank_within_group, small_side
 from ..functions.stats import exact_quantiles, unpivot_values
-from ..session import shuffle_partitions
+from ..session import ensure_checkpoint_dir, shuffle_partitions
 
-MAX_CLASSES = 100_000
+DRAW_CHUNK = 100_000      # draws that one task makes at a time
+DRAWS_PER_ROW = 10_000    # draws of one row that may meet in one task
 _TWO60 = float(1 << 60)
 
 
@@ -49,61 +50,56 @@ def _order(df: DataFrame, row_id: list[str] | None, seed: int) -> list[Column]:
     return [h, *[F.col(k) for k in keys]]
 
 
-def _class_counts(df: DataFrame, key: str) -> list[tuple]:
-    rows = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{key} has more than {MAX_CLASSES} classes")
-    return sorted(((r[key], r["n"]) for r in rows), key=lambda x: (x[0] is None, str(x[0])))
+def class_table(df: DataFrame, key: str) -> DataFrame:
+    """Rows ``(key, n)``, one per class; as many as there are classes, so it is never collected."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
 
 
-def _draws(spark, key: str, key_type: T.DataType, needs: list[tuple], seed: int) -> DataFrame:
-    """Rows ``(key, _pick)`` for ``needs = [(class, count, n_draws)]``.
+def _with_salts(needs: DataFrame) -> DataFrame:
+    """Adds ``_salts``: over how many copies of its rows the draws of a class are spread."""
+    return needs.withColumn("_salts", (F.lit(1) + F.expr(f"(k div n) div {DRAWS_PER_ROW}")).cast("int"))
 
-    Draw ``j`` (1-based) of a class picks row number
-    ``md5(class | j | seed) mod count + 1``.
+
+def _draws(needs: DataFrame, key: str, seed: int) -> DataFrame:
+    """Draws ``(key, _j, _pick, _salt)`` for the table ``needs(key, n, k, _salts)``: k draws among n rows.
+
+    Draw ``j`` (1-based) of a class picks row number ``md5(class | j | seed) mod n + 1``.
+    The draws of a class are made in chunks that are dealt over the cluster.
     """
-    needs = [(c, cnt, k) for c, cnt, k in needs if k > 0]
-    total = sum(k for _, _, k in needs)
-    if total == 0:
-        return spark.createDataFrame([], T.StructType([T.StructField(key, key_type),
-                                                       T.StructField("_pick", T.LongType())]))
-    starts, acc = [], 0
-    for _, _, k in needs:
-        starts.append(acc)
-        acc += k
-    n_part = max(1, min(shuffle_partitions(spark), math.ceil(total / 100_000)))
-    ids = spark.range(0, total, numPartitions=n_part)
-    starts_arr = F.array(*[F.lit(s).cast("bigint") for s in starts])
-    idx = F.size(F.filter(starts_arr, lambda s: s <= F.col("id")))  # 1-based class slot
-    cls_arr = F.array(*[F.lit(c).cast(key_type) for c, _, _ in needs])
-    cnt_arr = F.array(*[F.lit(cnt).cast("bigint") for _, cnt, _ in needs])
-    d = ids.select(F.col("id"), idx.alias("_slot"))
-    d = d.select(F.element_at(cls_arr, F.col("_slot")).alias(key),
-                 (F.col("id") - F.element_at(starts_arr, F.col("_slot")) + 1).alias("_j"),
-                 F.element_at(cnt_arr, F.col("_slot")).alias("_cnt"))
-    pick = F.pmod(hash_bigint(F.col(key), F.col("_j"), F.lit(seed)), F.col("_cnt")) + 1
-    return d.select(key, pick.alias("_pick"))
+    spark = needs.sparkSession
+    total = needs.agg(F.sum("k")).first()[0] or 0
+    parts = max(1, min(shuffle_partitions(spark), math.ceil(total / DRAW_CHUNK)))
+    chunks = (needs.select(key, "n", "k", "_salts", F.explode(F.expr(f"sequence(0L, (k - 1) div {DRAW_CHUNK})")).alias("_b"))
+              .repartition(parts))
+    d = chunks.select(key, "n", "_salts", F.explode(F.expr(
+        f"sequence(_b * {DRAW_CHUNK} + 1, least(k, (_b + 1) * {DRAW_CHUNK}))")).alias("_j"))
+    pick = F.pmod(hash_bigint(F.col(key), F.col("_j"), F.lit(seed)), F.col("n")) + 1
+    return d.select(key, "_j", pick.alias("_pick"), F.pmod(F.col("_j"), F.col("_salts")).cast("int").alias("_salt"))
+
+
+def _drawn(numbered: DataFrame, needs: DataFrame, key: str, seed: int) -> DataFrame:
+    """The rows of ``numbered(key, _pick, ...)`` that the draws pick, once per draw.
+
+    A class of few rows and very many draws has its rows repeated under salts, so its
+    draws do not meet in one task."""
+    needs = _with_salts(needs.where("k > 0").select(key, "n", "k")).checkpoint(eager=True)
+    copies = numbered.join(small_side(needs.select(key, "_salts")), key).withColumn(
+        "_salt", F.explode(F.expr("sequence(0, _salts - 1)"))).drop("_salts")
+    return _draws(needs, key, seed).join(copies, [key, "_pick", "_salt"]).drop("_j", "_pick", "_salt")
 
 
 def _top_up(df: DataFrame, key: str, seed: int, row_id: list[str] | None,
             target_count: int | None = None) -> DataFrame:
-    """Every class of ``key`` topped up to ``target_count`` (default: the largest)."""
-    counts = _class_counts(df, key)
-    if not counts:
-        return df
-    mx = target_count if target_count is not None else max(n for _, n in counts)
-    needs = [(c, n, mx - n) for c, n in counts if n < mx]
-    cols = df.columns
-    if not needs:
+    """Every class of ``key`` (not NULL) topped up to ``target_count`` (default: the largest)."""
+    counts = class_table(df, key)
+    mx = target_count if target_count is not None else counts.agg(F.max("n")).first()[0]
+    needs = counts.withColumn("k", F.lit(mx) - F.col("n")).where("k > 0")
+    if mx is None or not needs.limit(1).count():
         return df
-    small = [c for c, _, _ in needs]
-    src = df.where(F.col(key).isin(small))
+    src = df.join(small_side(needs.select(key)), key, "left_semi")
     numbered = rank_within_group(src, [key], _order(df, row_id, seed), name="_pick")
-    draws = _draws(df.sparkSession, key, df.schema[key].dataType, needs, seed)
-    # draws -> rows of non-majority classes only; AQE broadcasts the numbered side
-    # when it is small and otherwise splits skewed (class, pick) keys
-    extra = draws.join(numbered, [key, "_pick"]).select(*cols)
-    return df.unionByName(extra)
+    return df.unionByName(_drawn(numbered, needs, key, seed).select(*df.columns))
 
 
 def random_oversample(df: DataFrame, t: str, seed: int = 42,
@@ -122,25 +118,22 @@ def random_undersample(df: DataFrame, t: str, seed: int = 42,
     ``min`` rows per class; a class left short is re-run without the filter.
     """
     base = df.where(clean_value(df, t).isNotNull())
-    counts = _class_counts(base, t)
-    if not counts:
+    counts = class_table(base, t)
+    mn = counts.agg(F.min("n")).first()[0]
+    if mn is None:
         return base
-    mn = min(n for _, n in counts)
     order = _order(base, row_id, seed)
-    h = order[0]
-    frac = {c: min(1.0, slack * mn / n + 1e-9 + (1000.0 / n)) for c, n in counts}
-    cls = F.col(t)
-    thr = None
-    for c, f in frac.items():
-        cond = cls.isNull() if c is None else (cls == F.lit(c))
-        thr = F.when(cond, F.lit(f)) if thr is None else thr.when(cond, F.lit(f))
-    pre = base.where(h.cast("double") / F.lit(_TWO60) < thr)
-    got = dict((r[t], r["n"]) for r in pre.groupBy(t).agg(F.count(F.lit(1)).alias("n")).collect())
-    short = [c for c, _ in counts if got.get(c, 0) < mn]
-    if short:
-        pre = pre.where(~F.col(t).isin(short)).unionByName(base.where(F.col(t).isin(short)))
+    share = F.least(F.lit(1.0), F.lit(slack * mn) / F.col("n") + F.lit(1e-9) + F.lit(1000.0) / F.col("n"))
+    limits = counts.select(t, share.alias("_share"))
+    kept = order[0].cast("double") / F.lit(_TWO60) < F.col("_share")
+    pre = base.join(small_side(limits), t).where(kept).select(*base.columns)
+    got = pre.groupBy(t).agg(F.count(F.lit(1)).alias("got"))
+    short = counts.join(got, t, "left").where(F.coalesce("got", F.lit(0)) < mn).select(t).checkpoint(eager=True)
+    if short.limit(1).count():
+        side = small_side(short)
+        pre = pre.join(side, t, "left_anti").unionByName(base.join(side, t, "left_semi"))
     ranked = rank_within_group(pre, [t], order, name="_r")
-    return ranked.where(F.col("_r") <= mn).drop("_r")
+    return ranked.where(F.col("_r") <= mn).select(*df.columns)
 
 
 def _normal(*parts: Column) -> Column:
@@ -152,11 +145,16 @@ def _normal(*parts: Column) -> Column:
 
 def gaussian_noise(df: DataFrame, t: str, noise_level: float = 0.05, seed: int = 42,
                    row_id: list[str] | None = None) -> DataFrame:
-    """Target + N(0, (level * population std)^2), hash-seeded per row."""
+    """Target + N(0, (level * population std)^2), hash-seeded per row.
+
+    Without a row id the rows are numbered, so equal rows get noise of their own."""
+    cols = df.columns
     sd = df.agg(F.stddev_pop(clean_value(df, t).cast("double"))).first()[0] or 0.0
-    keys = _row_key(df, row_id)
+    keys = list(row_id or [])
+    if not keys:
+        df, keys = global_row_number(df, _order(df, None, seed), name="_row"), ["_row"]
     z = _normal(*[F.col(k) for k in keys], F.lit(seed))
-    return df.withColumn(t, clean_value(df, t).cast("double") + z * F.lit(noise_level * sd))
+    return df.withColumn(t, clean_value(df, t).cast("double") + z * F.lit(noise_level * sd)).select(*cols)
 
 
 def kde_resample(df: DataFrame, t: str, n_samples: int | None = None, seed: int = 42,
@@ -166,7 +164,7 @@ def kde_resample(df: DataFrame, t: str, n_samples: int | None = None, seed: int
     drawn independently with replacement (``joint=True`` draws one row for all)."""
     spark = df.sparkSession
     numbered = global_row_number(df, _order(df, row_id, seed), name="_idx")
-    n = df.count()
+    n = numbered.agg(F.max("_idx")).first()[0] or 0
     if n == 0:
         return df
     m = n_samples or n
@@ -221,33 +219,76 @@ def tail_resample(df: DataFrame, t: str, tail_fraction: float = 0.05, seed: int
     keys = row_id or [c for c in df.columns]
     numbered = rank_within_group(tails, ["_one"], _order(tails.drop("_one"), keys, seed),
                                  name="_pick")
-    draws = _draws(df.sparkSession, "_one", T.IntegerType(), [(1, n_tails, need)], seed)
-    extra = draws.join(numbered, ["_one", "_pick"]).select(*df.columns)
-    return df.unionByName(extra)
+    needs = df.sparkSession.createDataFrame([(1, n_tails, need)], "_one int, n bigint, k bigint")
+    return df.unionByName(_drawn(numbered, needs, "_one", seed).select(*df.columns))
+
+
+# Technique names of the balancing request, per target type.
+TECHNIQUE_NAMES = {
+    "categorical": ["random oversampling", "random undersampling", "smote", "smotenc", "adasyn",
+                    "cluster-based oversampling"],
+    "continuous": ["smoter", "gaussian noise injection", "kde-based resampling",
+                   "quantile-based binning + oversampling", "tail-focused resampling"],
+}
+#: names of this library for the same techniques
+OWN_NAMES = {
+    "random_oversample": "random oversampling", "random_undersample": "random undersampling",
+    "cluster_oversample": "cluster-based oversampling", "gaussian_noise": "gaussian noise injection",
+    "kde_resample": "kde-based resampling", "quantile_bin_oversample": "quantile-based binning + oversampling",
+    "tail_resample": "tail-focused resampling",
+}
+NOT_BUILT = ("smoter",)
+
+
+def technique_of(name: str) -> tuple[str, str]:
+    """(target type, technique) of a technique name, in any case and with blanks, hyphens or underscores."""
+    plain = lambda x: " ".join(x.lower().replace("_", " ").replace("-", " ").split())
+    for kind, names in TECHNIQUE_NAMES.items():
+        for n in names:
+            if plain(name) == plain(n) or OWN_NAMES.get(name.strip().lower()) == n:
+                return kind, n
+    raise ValueError(f"Unknown balancing technique: {name}")
 
 
 def balance(df: DataFrame, t: str, technique: str, seed: int = 42,
             row_id: list[str] | None = None, binary: bool = False) -> DataFrame:
-    """Dispatch by technique name (lower-cased); ``binary`` cleans the target first."""
-    from .target import clean_binary_target, flatten_target_cell
+    """Dispatch by technique name after a check against the type of the target.
+
+    ``binary`` cleans the target first.  A categorical numeric target is bigint in the
+    result, rounded half to even."""
+    from . import neighbours as NB
+    from .target import clean_binary_target, flatten_target_cell, target_type
     if binary:
         df = clean_binary_target(flatten_target_cell(df, t), t)
-    name = technique.strip().lower().replace(" ", "_").replace("-", "_")
-    table = {
-        "random_oversample": lambda: random_oversample(df, t, seed, row_id),
-        "random_oversampling": lambda: random_oversample(df, t, seed, row_id),
-        "random_undersample": lambda: random_undersample(df, t, seed, row_id),
-        "random_undersampling": lambda: random_undersample(df, t, seed, row_id),
-        "gaussian_noise": lambda: gaussian_noise(df, t, seed=seed, row_id=row_id),
-        "kde_resample": lambda: kde_resample(df, t, seed=seed, row_id=row_id),
-        "quantile_bin_oversample": lambda: quantile_bin_oversample(df, t, seed=seed, row_id=row_id),
-        "tail_resample": lambda: tail_resample(df, t, seed=seed, row_id=row_id),
-        "cluster_oversample": lambda: cluster_oversample(df, t, seed=seed, row_id=row_id),
-        "cluster_based_oversampling": lambda: cluster_oversample(df, t, seed=seed, row_id=row_id),
+    wanted, name = technique_of(technique)
+    if name in NOT_BUILT:
+        raise NotImplementedError(f"{name} is not built")
+    kind = target_type(df, t)
+    if kind != wanted:
+        raise ValueError(f"Unsupported {kind} technique: {technique}")
+    build = {
+        "random oversampling": lambda: random_oversample(df, t, seed, row_id),
+        "random undersampling": lambda: random_undersample(df, t, seed, row_id),
+        "smote": lambda: NB.smote(df, t, row_id, seed=seed),
+        "smotenc": lambda: NB.smotenc(df, t, row_id, category_columns(df, t), seed=seed),
+        "adasyn": lambda: NB.adasyn(df, t, row_id, seed=seed),
+        "cluster-based oversampling": lambda: cluster_oversample(df, t, seed=seed, row_id=row_id),
+        "gaussian noise injection": lambda: gaussian_noise(df, t, seed=seed, row_id=row_id),
+        "kde-based resampling": lambda: kde_resample(df, t, seed=seed, row_id=row_id),
+        "quantile-based binning + oversampling": lambda: quantile_bin_oversample(df, t, seed=seed, row_id=row_id),
+        "tail-focused resampling": lambda: tail_resample(df, t, seed=seed, row_id=row_id),
     }
-    if name not in table:
-        raise ValueError(f"Unknown balancing technique: {technique}")
-    return table[name]()
+    out = build[name]()
+    if kind == "categorical" and is_numeric(df, t):
+        out = out.withColumn(t, F.bround(F.col(t).cast("double")).cast("bigint"))
+    return out
+
+
+def balance_report(df: DataFrame, balanced: DataFrame, t: str) -> DataFrame:
+    """The imbalance check before and after, one row each (``stage``)."""
+    from .target import run_imbalance_analysis
+    return (run_imbalance_analysis(df, t).withColumn("stage", F.lit("before"))
+            .unionByName(run_imbalance_analysis(balanced, t).withColumn("stage", F.lit("after"))))
 
 
 def category_columns(df: DataFrame, t: str) -> list[str]:
@@ -257,51 +298,57 @@ def category_columns(df: DataFrame, t: str) -> list[str]:
 
 
 def cluster_oversample(df: DataFrame, t: str, n_clusters: int = 5, seed: int = 42,
-                       row_id: list[str] | None = None, max_levels: int = 1000) -> DataFrame:
-    """Per non-majority class, k-means (k = min(5, n)) on one-hot features;
-    ceil((max - n) / k) draws with replacement from every non-empty cluster;
-    then exactly ``max`` rows without replacement from originals + draws.
-
-    K-means runs with ``pyspark.ml`` (distributed Lloyd iterations); draws and
-    the final cut are hash-ranked, so they do not depend on the layout.
+                       row_id: list[str] | None = None) -> DataFrame:
+    """Per non-majority class, k-means (k = min(5, n)) on one-hot features; draws with
+    replacement in equal shares from every cluster found, at least as many as are missing;
+    then exactly as many rows as the majority has, without replacement, from originals + draws.
+
+    K-means runs with ``pyspark.ml`` (distributed Lloyd iterations) on sparse one-hot
+    vectors, so a column may have any number of levels; draws and the final cut are
+    hash-ranked, so they do not depend on the layout.  One model is fitted per minority class.
     """
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 
-    from .transforms import TemplateSet
+    from .transforms import Step, level_table
 
+    spark = df.sparkSession
     base = df.where(clean_value(df, t).isNotNull())
-    counts = _class_counts(base, t)
-    if not counts:
+    counts = class_table(base, t)
+    mx = counts.agg(F.max("n")).first()[0]
+    if mx is None:
         return base
-    mx = max(n for _, n in counts)
-    feats = [c for c in df.columns if c != t]
     cats = [f.name for f in df.schema.fields
             if f.name != t and isinstance(f.dataType, (T.StringType, T.BooleanType))]
-    nums = [c for c in feats if c not in cats and df.schema[c].dataType.typeName() in
-            ("integer", "long", "double", "float", "short", "byte", "decimal")]
-    dummies = TemplateSet([{"column_name": c, "fe_method": "dummies", "max_levels": max_levels}
-                           for c in cats]).fit(base)
-    encoded = dummies.transform(base)
-    vec_cols = nums + [c for c in encoded.columns if c not in df.columns]
+    nums = [c for c in df.columns if c != t and c not in cats and is_numeric(df, c)]
+    encoded = base
+    for i, c in enumerate(cats):
+        codes = level_table(Step(c, "label_encoding", "label_encoding"), base)
+        encoded = (encoded.withColumn("_key", F.coalesce(canonical_str(encoded, c), F.lit("")))
+                   .join(codes.withColumnRenamed("_code", f"_code{i}"), "_key").drop("_key")
+                   .withColumn(f"_code{i}", F.col(f"_code{i}").cast("double")))
+    vectors = [f"_hot{i}" for i in range(len(cats))]
+    if cats:
+        encoded = OneHotEncoder(inputCols=[f"_code{i}" for i in range(len(cats))], outputCols=vectors,
+                                dropLast=False).fit(encoded).transform(encoded)
+    encoded = encoded.withColumns({f"_num{i}": F.coalesce(clean_value(df, c).cast("double"), F.lit(0.0))
+                                   for i, c in enumerate(nums)})
+    encoded = VectorAssembler(inputCols=[f"_num{i}" for i in range(len(nums))] + vectors,
+                              outputCol="_features").transform(encoded).select(*df.columns, "_features")
     keys = _row_key(df, row_id)
-    out = base.where(F.col(t).isin([c for c, n in counts if n == mx]))
-    for cls, n in counts:
-        if n == mx:
-            continue
-        part = encoded.where(F.col(t) == F.lit(cls)).na.fill(0.0, subset=vec_cols)
-        k = min(n_clusters, n)
-        assembled = VectorAssembler(inputCols=vec_cols, outputCol="_features").transform(part)
-        model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="_cluster").fit(assembled)
-        labelled = model.transform(assembled).select(*df.columns, "_cluster")
-        per = math.ceil((mx - n) / k)
-        sizes = dict((r["_cluster"], r["n"]) for r in
-                     labelled.groupBy("_cluster").agg(F.count(F.lit(1)).alias("n")).collect())
-        needs = [(c, size, per) for c, size in sorted(sizes.items())]
+    out = base.join(small_side(counts.where(F.col("n") == mx).select(t)), t, "left_semi")
+    for row in counts.where(F.col("n") < mx).orderBy(t).toLocalIterator():
+        part = encoded.where(F.col(t) == F.lit(row[t]))
+        model = KMeans(k=min(n_clusters, row["n"]), seed=seed, featuresCol="_features",
+                       predictionCol="_cluster").fit(part) if row["n"] > 1 else None
+        labelled = (model.transform(part) if model else part.withColumn("_cluster", F.lit(0))).select(*df.columns, "_cluster")
+        sizes = class_table(labelled, "_cluster")          # n_clusters rows at most
+        found = sizes.count()
+        needs = sizes.withColumn("k", F.lit(math.ceil((mx - row["n"]) / found)).cast("bigint"))
         numbered = rank_within_group(labelled, ["_cluster"], _order(df, keys, seed), name="_pick")
-        draws = _draws(df.sparkSession, "_cluster", T.IntegerType(), needs, seed)
-        extra = (draws.join(numbered, ["_cluster", "_pick"])
-                 .withColumn("_h", hash_bigint(F.lit("draw"), F.col("_cluster"), F.col("_pick"),
+        numbered = numbered.withColumn("_number", F.col("_pick"))
+        extra = (_drawn(numbered, needs, "_cluster", seed)
+                 .withColumn("_h", hash_bigint(F.lit("draw"), F.col("_cluster"), F.col("_number"),
                                                *[F.col(c) for c in keys], F.lit(seed)))
                  .select(*df.columns, "_h"))
         orig = labelled.withColumn("_h", hash_bigint(F.lit("orig"), *[F.col(c) for c in keys],

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clean_value, column_types
-from ..functions.stats import exact_quantiles, safe_corr
+from ..functions.numbering import small_side
+from ..functions.stats import quantile_table, safe_corr
 from .profile import top_values
 
 
@@ -112,19 +113,13 @@ def boxplot_stats(df: DataFrame, target: str, cols: list[str] | None = None) ->
     structs = [F.struct(F.lit(c).alias("column_name"), clean_value(df, c).cast("double").alias("v"))
                for c in cols]
     long = (df.select(cls.alias("class"), F.explode(F.array(*structs)).alias("s"))
-            .select("class", "s.*").where("v IS NOT NULL AND class IS NOT NULL")
-            .withColumn("k", F.concat_ws("\u0001", "column_name", "class")))
-    q = exact_quantiles(long.select("k", "v"), [0.25, 0.5, 0.75])
-    spark = df.sparkSession
-    rows = []
-    for k, (q1, med, q3) in q.items():
-        c, klass = k.split("\u0001", 1)
-        iqr = q3 - q1
-        rows.append((k, q1, med, q3, q1 - 1.5 * iqr, q3 + 1.5 * iqr))
-    bounds = spark.createDataFrame(rows, "k string, q1 double, median double, q3 double, "
-                                         "lo double, hi double")
-    # one row per (column, class): bounded by columns x classes
-    j = long.join(F.broadcast(bounds), "k")
+            .select("class", "s.*").where("v IS NOT NULL AND class IS NOT NULL"))
+    q = quantile_table(long, ["column_name", "class"], [0.25, 0.5, 0.75])
+    iqr = F.col("q")[2] - F.col("q")[0]
+    bounds = q.select("column_name", "class", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
+                      F.col("q")[2].alias("q3"), (F.col("q")[0] - 1.5 * iqr).alias("lo"),
+                      (F.col("q")[2] + 1.5 * iqr).alias("hi"))
+    j = long.join(small_side(bounds), ["column_name", "class"])
     inside = (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))
     return j.groupBy("column_name", "class").agg(
         F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
@@ -137,8 +132,9 @@ def chi_square(df: DataFrame, target: str, cats: list[str] | None = None,
                yates: bool = True) -> DataFrame:
     """Chi-square statistic per categorical column against the target.
 
-    Full level x class grid (missing cells count as 0); Yates continuity
-    correction when the grid has one degree of freedom.
+    Only observed cells are visited: an absent cell adds its expected count, and all
+    expected counts add up to n.  Yates continuity correction for one degree of freedom,
+    where all four cells are equally far from their expectation.
     """
     cats = cats if cats is not None else [c for c in column_types(df)["categorical"] if c != target]
     y = F.col(target).cast("string")
@@ -146,24 +142,25 @@ def chi_square(df: DataFrame, target: str, cats: list[str] | None = None,
                for c in cats]
     long = (df.select(F.explode(F.array(*structs)).alias("s"), y.alias("class"))
             .select("s.*", "class").where("value IS NOT NULL AND class IS NOT NULL"))
-    obs = long.groupBy("column_name", "value", "class").agg(F.count(F.lit(1)).alias("o"))
+    obs = long.groupBy("column_name", "value", "class").agg(F.count(F.lit(1)).cast("double").alias("o"))
     rows_t = obs.groupBy("column_name", "value").agg(F.sum("o").alias("rt"))
     cols_t = obs.groupBy("column_name", "class").agg(F.sum("o").alias("ct"))
-    tot = obs.groupBy("column_name").agg(F.sum("o").alias("n"))
-    dims = (rows_t.groupBy("column_name").agg(F.count(F.lit(1)).alias("r"))
-            .join(cols_t.groupBy("column_name").agg(F.count(F.lit(1)).alias("c")), "column_name")
-            .join(tot, "column_name"))
-    # the class side is small (target levels); AQE broadcasts it
-    grid = rows_t.join(cols_t, "column_name").join(obs, ["column_name", "value", "class"], "left") \
-        .join(dims, "column_name")
-    o = F.coalesce(F.col("o"), F.lit(0)).cast("double")
+    # one row per column: bounded, safe to broadcast
+    dims = F.broadcast(
+        rows_t.groupBy("column_name").agg(F.count(F.lit(1)).alias("r"), F.sum("rt").alias("n"), F.sum(1 / F.col("rt")).alias("ir"))
+        .join(cols_t.groupBy("column_name").agg(F.count(F.lit(1)).alias("c"), F.sum(1 / F.col("ct")).alias("ic")), "column_name"))
+    cells = (obs.join(rows_t, ["column_name", "value"]).join(cols_t, ["column_name", "class"])
+             .join(dims, "column_name"))
     e = F.col("rt") * F.col("ct") / F.col("n")
-    dof = (F.col("r") - 1) * (F.col("c") - 1)
-    d = F.abs(o - e)
+    stat = cells.groupBy("column_name").agg(
+        F.sum((F.col("o") - e) * (F.col("o") - e) / e).alias("seen"), F.sum(e).alias("expected"),
+        F.max(F.abs(F.col("o") - e)).alias("d"), F.first("n").alias("n"),
+        F.first((F.col("r") - 1) * (F.col("c") - 1)).alias("dof"), F.first(F.col("ir") * F.col("ic")).alias("inverse"))
+    chi2 = F.col("seen") + F.greatest(F.col("n") - F.col("expected"), F.lit(0.0))
     if yates:
-        d = F.when(dof == 1, d - F.least(F.lit(0.5), d)).otherwise(d)
-    stat = grid.groupBy("column_name").agg(F.sum(d * d / e).alias("chi2"), F.first(dof).alias("dof"))
-    return stat.select("column_name", F.when(F.col("dof") > 0, F.col("chi2")).otherwise(0.0).alias("chi2"),
+        d = F.col("d") - F.least(F.lit(0.5), F.col("d"))
+        chi2 = F.when(F.col("dof") == 1, d * d * F.col("n") * F.col("inverse")).otherwise(chi2)
+    return stat.select("column_name", F.when(F.col("dof") > 0, chi2).otherwise(0.0).alias("chi2"),
                        F.col("dof").cast("bigint").alias("dof"))
 
 
@@ -174,8 +171,8 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("count")))
 
 
-def crosstab_wide(df: DataFrame, a: str, b: str, max_levels: int = 1000) -> DataFrame:
-    """C8 wide form: one column per level of ``b`` (levels checked bounded first)."""
+def crosstab_wide(df: DataFrame, a: str, b: str, max_levels: int) -> DataFrame:
+    """C8 wide form: one column per level of ``b``; the caller says how many columns it can take."""
     levels = [r[0] for r in df.where(F.col(b).isNotNull()).select(F.col(b).cast("string"))
               .distinct().limit(max_levels + 1).collect()]
     if len(levels) > max_levels:

@@ -54,16 +54,8 @@ def leak_high_correlation(df: DataFrame, target: str, threshold: float = HIGH_CO
 
 def leak_suspicious_name(df: DataFrame, target: str) -> DataFrame:
     """K2: lower-cased name contains a suspicious fragment (first match only)."""
-    rows = []
-    for c in df.columns:
-        if c == target:
-            continue
-        low = c.lower()
-        for kw in SUSPICIOUS:
-            if kw in low:
-                rows.append((c, "suspicious_name", "medium", None,
-                             f"column name contains '{kw}'"))
-                break
+    named = {c: next((w for w in SUSPICIOUS if w in c.lower()), None) for c in df.columns if c != target}
+    rows = [(c, "suspicious_name", "medium", None, f"column name contains '{w}'") for c, w in named.items() if w]
     return df.sparkSession.createDataFrame(rows, _SCHEMA)
 
 

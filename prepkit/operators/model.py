@@ -13,15 +13,15 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as MC
 from pyspark.ml import regression as MR
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import clean_value, hash_bigint
-from ..functions.numbering import rank_within_group
+from ..functions.columns import clean_value, hash_bigint, is_numeric
+from ..functions.numbering import global_row_number, rank_within_group
 from ..session import ensure_checkpoint_dir, shuffle_partitions
-from .target import problem_type
+from .target import few_distinct, problem_type
 
 # --- M1 ------------------------------------------------------------------------
 
@@ -69,17 +69,20 @@ def apply_standard_scale(df: DataFrame, params: dict) -> DataFrame:
 
 # Model names accepted per problem type.
 CLASSIFIERS = ["logistic_regression", "decision_tree", "random_forest", "xgboost", "lightgbm",
-               "catboost", "svm", "naive_bayes", "deep_neural_network"]
+               "catboost", "svm", "naive_bayes", "deep_neural_network", "knn"]
 REGRESSORS = ["linear_regression", "ridge_regression", "lasso_regression", "decision_tree_regressor",
               "random_forest_regressor", "xgboost_regressor", "lightgbm_regressor",
               "catboost_regressor"]
-SCALED = {"logistic_regression", "svm", "knn", "deep_neural_network", "naive_bayes",
-          "linear_regression", "ridge_regression", "lasso_regression", "svr"}
+# Models whose features are scaled.
+SCALED = {"logistic_regression", "svm", "knn", "deep_neural_network",
+          "linear_regression", "ridge_regression", "lasso_regression"}
 
 
 def make_estimator(name: str, problem: str, n_train: int, n_features: int, n_classes: int = 2,
                    label: str = "label", features: str = "features", seed: int = 42):
-    """M4: name -> pyspark.ml estimator (unknown or wrong-type names raise)."""
+    """M4: name -> pyspark.ml estimator (unknown or wrong-type names raise).
+
+    xgboost, lightgbm and catboost are one gradient-boosted tree estimator under three names."""
     kw = {"labelCol": label, "featuresCol": features}
     if problem == "classification":
         if name not in CLASSIFIERS:
@@ -90,7 +93,7 @@ def make_estimator(name: str, problem: str, n_train: int, n_features: int, n_cla
         if name == "decision_tree":
             return MC.DecisionTreeClassifier(maxDepth=30, seed=seed, **kw)
         if name == "random_forest":
-            return MC.RandomForestClassifier(numTrees=100, seed=seed, **kw)
+            return MC.RandomForestClassifier(numTrees=100, maxDepth=30, seed=seed, **kw)
         if name in ("xgboost", "lightgbm", "catboost"):
             return MC.GBTClassifier(seed=seed, **kw)
         if name == "svm":
@@ -111,7 +114,7 @@ def make_estimator(name: str, problem: str, n_train: int, n_features: int, n_cla
     if name == "decision_tree_regressor":
         return MR.DecisionTreeRegressor(maxDepth=30, seed=seed, **kw)
     if name == "random_forest_regressor":
-        return MR.RandomForestRegressor(numTrees=100, seed=seed, **kw)
+        return MR.RandomForestRegressor(numTrees=100, maxDepth=30, seed=seed, **kw)
     return MR.GBTRegressor(seed=seed, **kw)
 
 
@@ -129,21 +132,22 @@ def roc_auc(pred: DataFrame, label: str = "label", score: str = "score") -> Data
     ensure_checkpoint_dir(spark)
     y = F.col(label).cast("double")
     g = pred.groupBy(F.col(score).cast("double").alias("_s")).agg(
-        F.sum(F.when(y == 1, 1).otherwise(0)).alias("_p"),
-        F.sum(F.when(y == 1, 0).otherwise(1)).alias("_n"))
+        F.sum(F.when(y == 1, 1.0).otherwise(0.0)).alias("_p"),
+        F.sum(F.when(y == 1, 0.0).otherwise(1.0)).alias("_n"))
     ranged = (g.repartitionByRange(shuffle_partitions(spark), "_s")
               .withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True))
     tot = ranged.groupBy("_pid").agg(F.sum("_n").alias("_tn")).collect()
-    offs, acc = {}, 0
+    offs, acc = {}, 0.0
     for r in sorted(tot, key=lambda r: r["_pid"]):
         offs[r["_pid"]] = acc
         acc += r["_tn"]
     if not offs:
         return spark.createDataFrame([(None,)], "roc_auc double")
-    arr = F.array(*[F.lit(offs.get(i, 0)).cast("bigint") for i in range(max(offs) + 1)])
+    # one row per partition; counts are doubles, so their products do not overflow
+    table = F.broadcast(spark.createDataFrame(sorted(offs.items()), "_pid int, _off double"))
     w = Window.partitionBy("_pid").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.element_at(arr, F.col("_pid") + 1) + F.coalesce(F.sum("_n").over(w), F.lit(0))
-    contrib = ranged.withColumn("_c", F.col("_p") * (below + F.col("_n") * 0.5))
+    below = F.col("_off") + F.coalesce(F.sum("_n").over(w), F.lit(0.0))
+    contrib = ranged.join(table, "_pid").withColumn("_c", F.col("_p") * (below + F.col("_n") * 0.5))
     return contrib.agg(F.try_divide(F.sum("_c"), F.sum("_p") * F.sum("_n")).alias("roc_auc"))
 
 
@@ -181,16 +185,20 @@ def regression_metrics(pred: DataFrame, label: str = "label", prediction: str =
 
 def fit_behaviour(train_score: Column, test_score: Column) -> Column:
     """M7: underfitting / overfitting / good_fit from the two scores."""
-    return (F.when((train_score < 0.7) & (test_score < 0.7), "underfitting")
-            .when((train_score > 0.9) & (test_score < 0.75), "overfitting").otherwise("good_fit"))
+    return (F.when((train_score < UNDER) & (test_score < UNDER), "underfitting")
+            .when((train_score > OVER_TRAIN) & (test_score < OVER_TEST), "overfitting").otherwise("good_fit"))
 
 
 # --- M3 / M8 -------------------------------------------------------------------
 
 
+# Scores that tell a fit apart.
+UNDER, OVER_TRAIN, OVER_TEST = 0.7, 0.9, 0.75
+
+
 @dataclass
 class TrainResult:
-    model: PipelineModel
+    model: PipelineModel | None     #: fill + scale + assemble + estimator; None for knn, which has no model
     scaler: dict
     metrics: DataFrame
     predictions: DataFrame
@@ -204,47 +212,77 @@ def _score_col(model_name: str) -> Column:
     return F.element_at(vector_to_array(F.col("probability")), 2)
 
 
+def _prepared(feats: list[str], scaler: dict, fill_missing: float | None) -> SQLTransformer:
+    """Pipeline stage that adds ``_x0, _x1, ...``: the features as doubles, filled and scaled.
+
+    It is saved with the model, so raw rows are scored as the training rows were."""
+    exprs = []
+    for i, c in enumerate(feats):
+        v = f"nanvl(CAST(`{c}` AS DOUBLE), CAST(NULL AS DOUBLE))"
+        if fill_missing is not None:
+            v = f"coalesce({v}, {float(fill_missing)!r}D)"
+        if c in scaler:
+            mean, std = scaler[c]
+            v = f"({v} - ({float(mean or 0.0)!r}D)) / {float(std)!r}D"
+        exprs.append(f"{v} AS _x{i}")
+    return SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__")
+
+
 def train(df: DataFrame, t: str, model_name: str, features: list[str] | None = None,
-          seed: int = 42, row_id: list[str] | None = None, test: float = 0.2) -> TrainResult:
-    """M3: split -> scale (train stats) -> fit -> predict -> metrics -> fit check."""
+          seed: int = 42, row_id: list[str] | None = None, test: float = 0.2,
+          fill_missing: float | None = None) -> TrainResult:
+    """M3: split -> scale (train stats) -> fit -> predict -> metrics -> fit check.
+
+    The row id is no feature by default.  A missing feature value is an error unless
+    ``fill_missing`` says what to use instead.  The input columns stay as they are in
+    ``predictions``.
+    """
     problem = problem_type(df, t)
-    feats = features or [f.name for f in df.schema.fields
-                         if f.name != t and f.dataType.typeName() in
-                         ("integer", "long", "double", "float", "short", "byte", "decimal")]
+    feats = features or [c for c in df.columns if c != t and c not in (row_id or []) and is_numeric(df, c)]
     base = df.where(clean_value(df, t).isNotNull())
     parts = split(base, t, test=test, seed=seed, stratify=problem == "classification", row_id=row_id)
     parts = parts.withColumn("label", F.col(t).cast("double"))
     tr = parts.where(F.col("split") == "train")
     scaler = fit_standard_scale(tr, feats) if model_name in SCALED else {}
-    scaled = apply_standard_scale(parts, scaler) if scaler else parts
-    scaled = scaled.na.fill(0.0, subset=feats)
-    n_train = tr.count()
-    n_classes = int(base.select(t).distinct().count()) if problem == "classification" else 0
-    est = make_estimator(model_name, problem, n_train, len(feats), max(n_classes, 2), seed=seed)
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="features"), est])
-    model = pipe.fit(scaled.where(F.col("split") == "train"))
-    pred = model.transform(scaled)
-    if problem == "classification":
-        pred = pred.withColumn("score", _score_col(model_name))
-        m = {s: classification_metrics(pred.where(F.col("split") == s)) for s in ("train", "test")}
-        key = "accuracy"
+    stages = [_prepared(feats, scaler, fill_missing)]
+    names = [f"_x{i}" for i in range(len(feats))]
+    model = None
+    if model_name == "knn":
+        if problem != "classification":
+            raise ValueError("Unknown regression model: knn")
+        pred = _knn_both(stages[0].transform(parts), names, row_id)
     else:
-        m = {s: regression_metrics(pred.where(F.col("split") == s)) for s in ("train", "test")}
-        key = "r2_score"
+        n_classes = len(few_distinct(base, t, 1000) or []) if problem == "classification" and is_numeric(base, t) else 2
+        est = make_estimator(model_name, problem, tr.count(), len(feats), max(n_classes, 2), seed=seed)
+        model = Pipeline(stages=[*stages, VectorAssembler(inputCols=names, outputCol="features"), est]).fit(tr)
+        pred = model.transform(parts)
+        if problem == "classification":
+            pred = pred.withColumn("score", _score_col(model_name))
+    pred = pred.drop(*names)
+    metrics, key = ((classification_metrics, "accuracy") if problem == "classification" else (regression_metrics, "r2_score"))
+    m = {s: metrics(pred.where(F.col("split") == s)) for s in ("train", "test")}
     both = (m["test"].crossJoin(m["train"].select(F.col(key).alias("train_score")))
             .withColumn("fit_status", fit_behaviour(F.col("train_score"), F.col(key)))
             .withColumn("model_name", F.lit(model_name)))
     return TrainResult(model, scaler, both, pred, problem)
 
 
+def _knn_both(rows: DataFrame, names: list[str], row_id: list[str] | None) -> DataFrame:
+    """All rows with the vote of their 5 nearest training rows (a training row votes for others only)."""
+    from .neighbours import knn_predict
+    order = [F.col(c) for c in (row_id or [])] or [F.xxhash64(*[c for c in rows.columns if c != "split"])]
+    numbered = global_row_number(rows, order, name="_n")
+    out = knn_predict(numbered.where("split = 'train'"), numbered, "label", names)
+    return out.drop("_n")
+
+
 def save_model(result: TrainResult, path: str) -> None:
-    """M8: pipeline (assembler + estimator) written with overwrite; scaler as JSON."""
-    import json
+    """M8: the whole pipeline (fill, scale, assemble, estimator), written with overwrite."""
+    if result.model is None:
+        raise ValueError("a knn result has no model to save")
     result.model.write().overwrite().save(f"{path}/model")
-    spark = result.metrics.sparkSession
-    spark.createDataFrame([(json.dumps(result.scaler),)], "scaler string") \
-        .write.mode("overwrite").json(f"{path}/scaler")
 
 
 def load_model(path: str) -> PipelineModel:
+    """M8: the pipeline; it scores raw rows."""
     return PipelineModel.load(f"{path}/model")

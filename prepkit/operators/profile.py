@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import (clean_value, column_types, datetime_columns,
                                  is_missing, round_half_even)
-from ..functions.stats import (corrected_kurt, corrected_skew, quantile_exprs)
+from ..functions.stats import column_quantiles, corrected_kurt, corrected_skew, quantile_exprs, unpivot_values
 from ..functions.topk import top_k, value_counts
 
 
@@ -69,20 +69,18 @@ def univariate_numerical(df: DataFrame, cols: list[str] | None = None,
             [], "column_name string, count bigint, mean double, std double, min double, "
                 "max double, median double, q25 double, q75 double, skewness double, "
                 "kurtosis double")
-    q = quantile_exprs(df, cols, [0.25, 0.5, 0.75], row_count)
-    aggs, names = [], []
-    for i, c in enumerate(cols):
-        v = clean_value(df, c).cast("double")
-        aggs.append(F.struct(
-            F.lit(c).alias("column_name"), F.count(v).alias("count"), F.avg(v).alias("mean"),
-            F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
-            q[c].alias("_q"), F.skewness(v).alias("_g1"), F.kurtosis(v).alias("_g2"),
-        ).alias(f"_s{i}"))
-        names.append(f"_s{i}")
-    t = _explode_structs(df.agg(*aggs), names).where(F.col("count") > 0)
+    # one row per (column, value): a wide aggregate over many columns is too large to be compiled
+    long = unpivot_values(df, cols, key="column_name")
+    moments = long.groupBy("column_name").agg(
+        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"),
+        F.max("v").alias("max"), F.skewness("v").alias("_g1"), F.kurtosis("v").alias("_g2"))
+    q = column_quantiles(df, cols, [0.25, 0.5, 0.75])
+    table = df.sparkSession.createDataFrame([(c, *v) for c, v in q.items()],
+                                            "column_name string, q25 double, median double, q75 double")
+    # one row per column
+    t = moments.join(F.broadcast(table), "column_name")
     return t.select(
-        "column_name", "count", "mean", "std", "min", "max",
-        F.col("_q")[1].alias("median"), F.col("_q")[0].alias("q25"), F.col("_q")[2].alias("q75"),
+        "column_name", "count", "mean", "std", "min", "max", "median", "q25", "q75",
         corrected_skew(F.col("count"), F.col("_g1")).alias("skewness"),
         corrected_kurt(F.col("count"), F.col("_g2")).alias("kurtosis"))
 
@@ -203,7 +201,6 @@ def dataset_context(df: DataFrame, target: str, class_limit: int = 20) -> DataFr
     cat = [c for c in roles["categorical"] if c != target]
     tv = clean_value(df, target)
     counts = df.where(tv.isNotNull()).groupBy(tv.alias("_t")).agg(F.count(F.lit(1)).alias("_c"))
-    # the class table is checked small (< class_limit rows) before use
     stats = counts.agg(F.count(F.lit(1)).alias("n_distinct"), F.max("_c").alias("_mx"),
                        F.min("_c").alias("_mn"))
     base = df.agg(F.count(F.lit(1)).alias("num_rows"))

@@ -74,16 +74,12 @@ def find_target(columns: list[str]) -> str | None:
 
 
 def resolve_target(columns: list[str], candidate: str | None) -> str | None:
-    """Exact, then case-insensitive match; else the first column."""
-    if not columns:
-        return None
-    cand = (candidate or "").strip().replace(" ", "_")
-    if cand in columns:
-        return cand
-    for c in columns:
-        if c.lower() == cand.lower():
-            return c
-    return columns[0]
+    """The column named like the candidate (exactly, else in any case); the first column if none is.
+
+    Blanks inside the candidate stand for underscores."""
+    wanted = (candidate or "").strip().replace(" ", "_")
+    ranked = sorted(range(len(columns)), key=lambda i: (columns[i] != wanted, columns[i].lower() != wanted.lower(), i))
+    return columns[ranked[0]] if ranked else None
 
 
 def encode_binary_target(df: DataFrame, t: str, name: str = "target") -> Column:
@@ -129,30 +125,34 @@ def check_continuous_imbalance(df: DataFrame, t: str, skew_threshold: float = 1.
         skew.alias("skewness"), "rare_ratio")
 
 
+def few_distinct(df: DataFrame, t: str, most: int) -> list[float] | None:
+    """The different values of a numeric target if there are at most ``most``, else None.
+
+    A sketch answers first, so a continuous target is never shuffled as a whole; its error is far
+    below the factor of ten that is left between it and the exact answer."""
+    v = clean_value(df, t).cast("double")
+    if df.agg(F.approx_count_distinct(v)).first()[0] > 10 * most:
+        return None
+    found = df.select(v.alias("v")).where("v IS NOT NULL").distinct().limit(most + 1).collect()
+    return None if len(found) > most else [r["v"] for r in found]
+
+
 def target_type(df: DataFrame, t: str, rule: str = "default") -> str:
     """I4: categorical / continuous ('default' rule has the <=10 distinct test)."""
     if not isinstance(df.schema[t].dataType, NUMERIC_TYPES):
         return "categorical"
-    v = clean_value(df, t).cast("double")
-    row = df.agg(F.count_distinct(v).alias("nd"),
-                 F.bool_and(F.coalesce(v.isin(0.0, 1.0), F.lit(True))).alias("binary")).first()
-    if row["binary"] or (rule == "default" and row["nd"] <= 10):
-        return "categorical"
-    return "continuous"
+    values = few_distinct(df, t, 10 if rule == "default" else 2)
+    if values is None:
+        return "continuous"
+    return "categorical" if rule == "default" or set(values) <= {0.0, 1.0} else "continuous"
 
 
 def problem_type(df: DataFrame, t: str) -> str:
     """Text -> classification; <=20 values exactly 0..k-1 -> classification."""
     if isinstance(df.schema[t].dataType, (T.StringType, T.BooleanType)):
         return "classification"
-    v = clean_value(df, t)
-    row = df.agg(F.count_distinct(v).alias("nd"), F.min(v).alias("mn"), F.max(v).alias("mx"),
-                 F.bool_and(F.coalesce(v.cast("double") == F.floor(v.cast("double")),
-                                       F.lit(True))).alias("ints")).first()
-    nd = row["nd"]
-    if nd and nd <= 20 and row["ints"] and float(row["mn"]) == 0 and float(row["mx"]) == nd - 1:
-        return "classification"
-    return "regression"
+    values = few_distinct(df, t, 20)
+    return "classification" if values and sorted(values) == list(range(len(values))) else "regression"
 
 
 def run_imbalance_analysis(df: DataFrame, t: str) -> DataFrame:

@@ -7,9 +7,10 @@ one pass (``StatsRequest``), and the result is ``df.select("*", *new_cols)``.
 Statistics that the SQL templates take from ``OVER ()`` windows (mean, std,
 min/max, percentiles) are fitted once and inlined as literals, so the output
 is a narrow projection: no single-partition window anywhere.  Per-level
-encodings (label, frequency, target) are small grouped tables joined back;
-AQE broadcasts them when their measured size allows and otherwise keeps a
-shuffle join (with skew-join splitting for hot keys).
+encodings (label, frequency, target) are grouped tables made by ``fit`` and joined
+with a left join, so no row is lost on new data (a level the fit has not seen
+gives NULL); AQE broadcasts them when their measured size allows and otherwise
+keeps a shuffle join (with skew-join splitting for hot keys).
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import canonical_str, clean_value, hash_bigint, is_float, trim_ws
 from ..functions.fitting import StatsRequest
 from ..functions.numbering import global_row_number, join_null_safe, ntile_from_rank
+from ..session import ensure_checkpoint_dir
 
 log = logging.getLogger(__name__)
 
@@ -122,8 +124,8 @@ class Step:
 @dataclass
 class Fitted:
     stats: dict
-    tables: dict  # step index -> DataFrame (level table)
-    levels: dict  # step index -> list of levels (dummies)
+    tables: dict  # id of the step -> DataFrame (level table)
+    levels: dict  # id of the step -> list of levels (dummies)
 
 
 # --- expression builders ----------------------------------------------------
@@ -206,8 +208,8 @@ def _expr(step: Step, df: DataFrame, fit: Fitted) -> list[Column]:
         return [F.when(_str(df, c).isin(TRUTHY), 1).otherwise(0).alias(f"{c}_binary")]
     if t in ("hash_encoding", "one_hot_encoding"):
         n = int(p["num_buckets"])
-        return [F.pmod(hash_bigint(_str(df, c)), F.lit(n))
-                .alias(f"{c}_hash")]
+        v = _str(df, c)
+        return [F.when(v.isNotNull(), F.pmod(hash_bigint(v), F.lit(n))).alias(f"{c}_hash")]
     if t == "lowercase":
         return [F.lower(_str(df, c)).alias(f"{c}_lower")]
     if t == "uppercase":
@@ -235,9 +237,7 @@ def _expr(step: Step, df: DataFrame, fit: Fitted) -> list[Column]:
         return [F.coalesce(v, F.lit(fill).cast(df.schema[c].dataType)).alias(f"{c}_imputed")]
     if t == "impute_constant":
         v = clean_value(df, c)
-        fv = p["fill_value"]
-        fill = F.lit(fv) if isinstance(fv, str) else F.lit(fv)
-        return [F.coalesce(v, fill).alias(f"{c}_imputed")]
+        return [F.coalesce(v, F.lit(p["fill_value"])).alias(f"{c}_imputed")]
     if t == "missing_indicator":
         v = clean_value(df, c)
         return [F.when(v.isNull(), 1).otherwise(0).alias(f"{c}_is_missing")]
@@ -286,29 +286,37 @@ def _level_name(level: str) -> str:
 JOIN_TEMPLATES = ("label_encoding", "frequency_encoding", "target_encoding")
 
 
-def _join_encoding(step: Step, df: DataFrame, src: DataFrame) -> DataFrame:
-    """Level table for label / frequency / target encoding, joined back to ``df``."""
-    c, t, p = step.column, step.template, step.params
+def level_table(step: Step, src: DataFrame) -> DataFrame:
+    """Fitted levels ``(_key, _code)`` of a label, frequency or target encoding.
+
+    Checkpointed, so every later ``transform`` uses the values of the fit.  The key
+    of label encoding is the text with NULL as the empty string.
+    """
+    c, t = step.column, step.template
     if t == "label_encoding":
-        key = F.coalesce(_str(src, c), F.lit(""))
-        levels = src.select(key.alias("_lvl")).distinct()
-        coded = global_row_number(levels, ["_lvl"], name="_code")
-        coded = coded.select(F.col("_lvl").alias("_key"),
-                             (F.col("_code") - 1).cast("bigint").alias(f"{c}_encoded"))
-        keyed = df.withColumn("_key", F.coalesce(_str(df, c), F.lit("")))
-        return keyed.join(coded, "_key").drop("_key")
+        levels = src.select(F.coalesce(_str(src, c), F.lit("")).alias("_key")).distinct()
+        coded = global_row_number(levels, ["_key"], name="_rn")
+        return coded.select("_key", (F.col("_rn") - 1).cast("bigint").alias("_code"))
+    groups = src.groupBy(_str(src, c).alias("_key"))
     if t == "frequency_encoding":
-        table = src.groupBy(_str(src, c).alias("_key")).agg(
-            F.count(F.lit(1)).alias(f"{c}_freq"))
-        keyed = df.withColumn("_key", _str(df, c))
-        return join_null_safe(keyed, table, ["_key"]).drop("_key")
-    if t == "target_encoding":
-        tgt = p["target_column"]
-        table = src.groupBy(F.col(c).alias("_key")).agg(
-            F.avg(_num(src, tgt)).alias(f"{c}_target_encoded"))
-        keyed = df.withColumn("_key", F.col(c))
-        return join_null_safe(keyed, table, ["_key"]).drop("_key")
-    raise ValueError(t)
+        table = groups.agg(F.count(F.lit(1)).alias("_code"))
+    else:
+        table = groups.agg(F.avg(_num(src, step.params["target_column"])).alias("_code"))
+    ensure_checkpoint_dir(src.sparkSession)
+    return table.checkpoint(eager=True)
+
+
+CODE_SUFFIX = {"label_encoding": "encoded", "frequency_encoding": "freq", "target_encoding": "target_encoded"}
+
+
+def _join_encoding(step: Step, df: DataFrame, table: DataFrame) -> DataFrame:
+    """Left join with the fitted levels: every row stays, a level unseen in the fit gives NULL."""
+    c = step.column
+    key = _str(df, c)
+    if step.template == "label_encoding":
+        key = F.coalesce(key, F.lit(""))
+    named = table.withColumnRenamed("_code", f"{c}_{CODE_SUFFIX[step.template]}")
+    return join_null_safe(df.withColumn("_key", key), named, ["_key"], how="left").drop("_key")
 
 
 def _binning(step: Step, df: DataFrame, order_by: list[str]) -> DataFrame:
@@ -370,7 +378,8 @@ class TemplateSet:
                 if len(got) > cap:
                     raise ValueError(f"{st.column} has more than {cap} levels; use hash encoding")
                 levels[id(st)] = sorted(r["v"] for r in got)
-        return FittedTemplates(self, df, Fitted(stats, {}, levels))
+        tables = {id(st): level_table(st, df) for st in self.steps if st.template in JOIN_TEMPLATES}
+        return FittedTemplates(self, Fitted(stats, tables, levels))
 
 
 def _missing_params(tmpl: str, params: dict) -> list[str]:
@@ -380,8 +389,8 @@ def _missing_params(tmpl: str, params: dict) -> list[str]:
 
 
 class FittedTemplates:
-    def __init__(self, spec: TemplateSet, src: DataFrame, fit: Fitted):
-        self.spec, self.src, self.fit = spec, src, fit
+    def __init__(self, spec: TemplateSet, fit: Fitted):
+        self.spec, self.fit = spec, fit
 
     def transform(self, df: DataFrame, include_original: bool = True) -> DataFrame:
         out_cols: list[Column] = []
@@ -396,7 +405,7 @@ class FittedTemplates:
         base_cols = list(df.columns)
         res = df.select("*", *out_cols) if out_cols else df
         for st in join_steps:
-            res = _join_encoding(st, res, self.src)
+            res = _join_encoding(st, res, self.fit.tables[id(st)])
         for st in bin_steps:
             res = _binning(st, res, self.spec.order_by)
         if not include_original:

@@ -1,101 +1,107 @@
 """Two-stage "ML-ready" feature plan (PL1-PL8).
 
-Stage 1 imputes every planned column (first imputation wins), stage 2 scales
-or encodes the imputed column; the output holds only the derived columns and
-the auto-encoded ``target``.  ``fit`` runs one aggregation for every scalar
-statistic of every column (plus one grouped table per encoded column);
-``transform`` is two projections and, for label/frequency/target encoding,
-joins with those small tables.  Because ``transform`` only needs the fitted
-values, it also runs on new data and on streaming DataFrames.
+Stage 1 imputes every planned column (first imputation wins), stage 2 applies one
+more template to the imputed column; the output holds only the derived columns and
+the auto-encoded ``target``.  Every method name is resolved through the template
+registry, which also gives its place in the order and its suffix; a name that it
+does not know is reported in ``skipped``.
+
+``fit`` runs one aggregation for every scalar statistic of every column (plus one
+grouped table per encoded column); ``transform`` is a few projections and, for label,
+frequency and target encoding, left joins with those tables.  Because ``transform`` only
+needs fitted values, it also runs on new data and on streaming DataFrames.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from dataclasses import dataclass
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import (canonical_str, clean_value, hash_bigint, sanitize_column_name,
-                                 validate_column_name)
+from ..functions.columns import canonical_str, clean_value, is_missing, sanitize_column_name, sanitize_columns
 from ..functions.fitting import StatsRequest
 from ..functions.numbering import global_row_number, join_null_safe
-from ..operators.transforms import TRUTHY
-
-# Ordering priority of methods (unknown methods get 2).
-PRIORITY = {
-    "impute_mean": 1, "impute_median": 1, "impute_mode": 1, "impute_constant": 1,
-    "mean_imputation": 1, "median_imputation": 1, "mode_imputation": 1,
-    "standardization": 2, "normalization": 2, "min_max_normalization": 2,
-    "log_transformation": 2, "sqrt_transformation": 2,
-    "winsorize": 2, "clip_outliers": 2, "clip_iqr": 2, "robust_scaling": 2,
-    "label_encoding": 3, "frequency_encoding": 3, "hash_encoding": 3,
-    "binary_encoding": 3, "one_hot_encoding": 3, "target_encoding": 3,
+from ..operators.transforms import (DEFAULTS, JOIN_TEMPLATES, TRUTHY, Fitted, Step, _binning, _expr,
+                                    _missing_params, _needs, level_table, resolve_template)
+from ..session import ensure_checkpoint_dir
+
+#: (place in the order, suffix) per template; every other template has (2, no suffix)
+FAMILY = {
+    **{t: (1, "imputed") for t in ("impute_mean", "impute_median", "impute_mode", "impute_constant")},
+    **{t: (2, "scaled") for t in ("standardization", "normalization", "robust_scaling")},
+    "log_transformation": (2, "log"),
+    "sqrt_transformation": (2, "sqrt"),
+    **{t: (3, "encoded") for t in ("label_encoding", "frequency_encoding", "target_encoding", "binary_encoding",
+                                   "hash_encoding", "one_hot_encoding")},
 }
-# Target text that counts as the positive class.
-TARGET_TRUTHY = ["1"] + [t for t in TRUTHY if t != "1"]
+#: buckets of hash and one-hot encoding inside a plan (fixed value)
+PLAN_BUCKETS = 50
 
 
-def _norm(m: str) -> str:
-    return str(m).lower().replace(" ", "_").replace("-", "_")
+def _family(step: Step) -> tuple[int, str | None]:
+    return FAMILY.get(step.template, (2, None))
 
 
-def kind_of(method: str) -> str:
-    n = _norm(method)
-    if "impute" in n or "imputation" in n:
-        return "impute"
-    if "encoding" in n or "encode" in n:
-        return "encode"
-    if any(x in n for x in ("standard", "normal", "min_max", "scale", "robust")):
-        return "scale"
-    if "log" in n:
-        return "log"
-    if "sqrt" in n:
-        return "sqrt"
-    return "other"
-
-
-SUFFIX = {"impute": "imputed", "encode": "encoded", "scale": "scaled", "log": "log",
-          "sqrt": "sqrt"}
-
-
-@dataclass
-class PlanStep:
-    column: str
-    method: str
-    params: dict
+def _imputes(step: Step) -> bool:
+    return _family(step)[0] == 1
 
 
 class FeaturePlan:
-    """PL1: ``FeaturePlan(transformations, target_column).fit(df).transform(df)``."""
+    """PL1: ``FeaturePlan(transformations, target_column).fit(df).transform(df)``.
+
+    ``chain=True`` applies the steps after the imputation one after the other, each
+    fitted on what the step before it gives; by default the last one replaces the
+    earlier ones and works on the imputed column.  Invalid column names are made valid
+    in the plan and in every DataFrame it sees.
+    """
 
     def __init__(self, transformations: list[dict], target_column: str | None = None,
                  include_target: bool = True, exact_median: bool = True,
-                 keep: list[str] | None = None):
-        self.target = target_column
+                 keep: list[str] | None = None, chain: bool = False):
+        self.target = sanitize_column_name(target_column) if target_column else target_column
         self.include_target = include_target
         self.exact_median = exact_median
-        self.keep = keep or []
+        self.keep = [sanitize_column_name(k) for k in keep or []]
+        self.chain = chain
         self.skipped: list[dict] = []
-        valid: list[PlanStep] = []
+        by_column: dict[str, list[Step]] = defaultdict(list)
         for t in transformations:
-            col, method = t.get("column_name", ""), t.get("fe_method", "")
-            if not col or not method:
-                self.skipped.append({"column": col, "reason": "Missing column_name or fe_method"})
-                continue
-            if not validate_column_name(col):
-                col = sanitize_column_name(col)
-            params = {k: v for k, v in t.items() if k not in ("column_name", "fe_method")}
-            valid.append(PlanStep(col, method, params))
-        if not valid:
+            step = self._step(t)
+            if step:
+                by_column[step.column].append(step)
+        if not by_column:
             raise ValueError("No valid transformations provided")
-        grouped: dict[str, list[PlanStep]] = defaultdict(list)
-        for s in valid:
-            grouped[s.column].append(s)
-        for col in grouped:
-            grouped[col].sort(key=lambda s: PRIORITY.get(_norm(s.method), 2))
-        self.grouped = dict(grouped)
+        self.grouped = {c: sorted(steps, key=lambda s: _family(s)[0]) for c, steps in by_column.items()}
+
+    def _step(self, t: dict) -> Step | None:
+        col, method = t.get("column_name", ""), t.get("fe_method", "")
+
+        def skip(reason):
+            self.skipped.append({"column": col, "reason": reason})
+
+        if not col or not method:
+            return skip("Missing column_name or fe_method")
+        try:
+            template = resolve_template(method)
+        except ValueError as e:
+            return skip(str(e))
+        params = {**DEFAULTS.get(template, {}), **{k: v for k, v in t.items() if k not in ("column_name", "fe_method")}}
+        if template in ("hash_encoding", "one_hot_encoding"):
+            params["num_buckets"] = t.get("num_buckets", PLAN_BUCKETS)
+        if template == "target_encoding":
+            if not self.target:
+                return skip("target_encoding needs target_column")
+            params.setdefault("target_column", self.target)
+        if template == "binning":
+            params["order_by"] = [params["order_by"]] if isinstance(params.get("order_by"), str) else params.get("order_by")
+            if not params["order_by"] or not set(params["order_by"]) <= set(self.keep):
+                return skip("binning needs order_by, a row id among the kept columns")
+        missing = _missing_params(template, params)
+        if missing:
+            return skip(f"Missing required parameter: {missing}")
+        return Step(sanitize_column_name(col), method, template, params)
 
     # PL7
     def lineage(self, spark) -> DataFrame:
@@ -109,166 +115,154 @@ class FeaturePlan:
         return spark.createDataFrame(
             rows, "original_column string, output_column string, transformations array<string>")
 
-    def _output_name(self, col: str, steps: list[PlanStep]) -> str:
-        sfx = []
-        for s in steps:
-            k = kind_of(s.method)
-            if k in SUFFIX and SUFFIX[k] not in sfx:
-                sfx.append(SUFFIX[k])
-        return f"{col}_{'_'.join(sfx)}" if sfx else col
+    def _output_name(self, col: str, steps: list[Step]) -> str:
+        suffixes = list(dict.fromkeys(s for s in (_family(x)[1] for x in steps) if s))
+        return "_".join([col, *suffixes])
 
     def columns(self) -> list[str]:
         return [c for c in self.grouped if c != self.target]
 
+    def layers(self) -> list[dict[str, Step]]:
+        """Steps after the imputation, by column: one layer, or as many as the longest chain."""
+        rest = {c: [s for s in self.grouped[c] if not _imputes(s)] for c in self.columns()}
+        if not self.chain:
+            rest = {c: steps[-1:] for c, steps in rest.items()}
+        depth = max((len(steps) for steps in rest.values()), default=0)
+        return [{c: steps[i] for c, steps in rest.items() if len(steps) > i} for i in range(depth)]
+
+    def imputations(self) -> dict[str, Step]:
+        return {c: s for c in self.columns() for s in reversed(self.grouped[c]) if _imputes(s)}
+
     def fit(self, df: DataFrame) -> "FittedPlan":
+        df = sanitize_columns(df)
+        fitted = FittedPlan(self)
+        layers = self.layers()
         req = StatsRequest(df)
-        imputes: dict[str, PlanStep] = {}
-        for col in self.columns():
-            for s in self.grouped[col]:
-                k, n = kind_of(s.method), _norm(s.method)
-                if k == "impute" and col not in imputes:
-                    imputes[col] = s
-                    if "median" in n:
-                        req.need("median_lower" if self.exact_median else "median_approx", col)
-                    elif "mean" in n:
-                        req.need("mean", col)
-                    elif "mode" in n:
-                        req.need("mode", col)
-                elif k == "scale":
-                    if "robust" in n:
-                        for q in (0.25, 0.5, 0.75):
-                            req.need("q", col, q)
-                    elif "standard" in n or "z_score" in n:
-                        req.need("mean", col)
-                        req.need("std", col)
-                    else:
-                        req.need("min", col)
-                        req.need("max", col)
-        stats = req.run()
-        fitted = FittedPlan(self, stats, imputes)
-        fitted.tables = fitted._level_tables(df)
+        for col, s in self.imputations().items():
+            if s.template == "impute_median":
+                req.need("median_lower" if self.exact_median else "median_approx", col)
+            else:
+                _needs(s, req, df)
+        if layers and not self.chain:
+            for s in layers[0].values():
+                _needs(s, req, df)
+        fitted.stats = req.run()
+        now = fitted.stage1(df)
+        for layer in layers:
+            stats = fitted.stats
+            if self.chain:
+                req = StatsRequest(now)
+                for s in layer.values():
+                    _needs(_on_imputed(s), req, now)
+                stats = {(k, c.removesuffix("_imputed"), q): v for (k, c, q), v in req.run().items()}
+            tables = {c: self._levels(s, now) for c, s in layer.items() if s.template in JOIN_TEMPLATES}
+            levels = {c: sorted(r[0] for r in now.select(canonical_str(now, f"{c}_imputed").alias("v"))
+                                .where("v IS NOT NULL").distinct().collect())
+                      for c, s in layer.items() if s.template == "dummies"}
+            fitted.layers.append((layer, stats, tables, levels))
+            if self.chain:
+                now = fitted.apply(now, fitted.layers[-1])
         return fitted
 
+    def _levels(self, step: Step, now: DataFrame) -> DataFrame:
+        s = _on_imputed(step)
+        if step.template == "label_encoding":
+            # without the template's empty string: NULL is a level of its own and sorts first
+            levels = now.select(canonical_str(now, s.column).alias("_key")).distinct()
+            coded = global_row_number(levels, [F.col("_key").asc_nulls_first()], name="_rn")
+            ensure_checkpoint_dir(now.sparkSession)
+            return coded.select("_key", (F.col("_rn") - 1).alias("_code"))
+        if step.template == "target_encoding":
+            s = replace(s, params={**s.params, "target_column": f"{self.target}_raw"})
+        return level_table(s, now)
+
+
+def _on_imputed(step: Step) -> Step:
+    params = {k: f"{v}_imputed" if k in ("column1", "column2") else v for k, v in step.params.items()}
+    return replace(step, column=f"{step.column}_imputed", params=params)
+
 
 class FittedPlan:
-    def __init__(self, plan: FeaturePlan, stats: dict, imputes: dict):
-        self.plan, self.stats, self.imputes = plan, stats, imputes
-        self.tables: dict = {}
+    """Fitted values; ``layers`` holds (steps, statistics, level tables, dummy levels) per layer."""
+
+    def __init__(self, plan: FeaturePlan):
+        self.plan = plan
+        self.stats: dict = {}
+        self.layers: list[tuple[dict, dict, dict, dict]] = []
 
     # stage 1 ---------------------------------------------------------------
     def _impute_expr(self, df: DataFrame, col: str) -> Column:
         v = clean_value(df, col)
-        s = self.imputes.get(col)
+        s = self.plan.imputations().get(col)
         if s is None:
             return v
-        n = _norm(s.method)
-        if "median" in n:
-            key = ("median_lower" if self.plan.exact_median else "median_approx", col, None)
-            return F.coalesce(v, F.lit(self.stats[key]).cast(df.schema[col].dataType)
-                              if self.stats[key] is not None else v)
-        if "mean" in n:
-            m = self.stats[("mean", col, None)]
-            return F.coalesce(v.cast("double"), F.lit(m).cast("double"))
-        if "mode" in n:
-            m = self.stats[("mode", col, None)]
-            return F.coalesce(v, F.lit(m).cast(df.schema[col].dataType))
-        if "constant" in n:
-            return F.coalesce(v, F.lit(s.params.get("fill_value", 0)))
-        return v
+        if s.template == "impute_median":
+            fill = self.stats[("median_lower" if self.plan.exact_median else "median_approx", col, None)]
+            return F.coalesce(v, F.lit(fill).cast(df.schema[col].dataType))
+        if s.template == "impute_mode" and s.params.get("method", "mode") != "mode":
+            raise ValueError("a plan imputes the true mode only")
+        return _expr(s, df, Fitted(self.stats, {}, {}))[0]
+
+    def _partners(self) -> set[str]:
+        """Columns that an interaction or a ratio reads without being planned themselves."""
+        named = {s.params[k] for steps in self.plan.grouped.values() for s in steps for k in ("column1", "column2")
+                 if k in s.params}
+        return named - set(self.plan.columns())
+
+    def _flagged(self) -> list[str]:
+        return [c for c in self.plan.columns() if any(s.template == "missing_indicator" for s in self.plan.grouped[c])]
 
     def stage1(self, df: DataFrame) -> DataFrame:
         cols = [self._impute_expr(df, c).alias(f"{c}_imputed") for c in self.plan.columns()]
+        cols += [clean_value(df, c).alias(f"{c}_imputed") for c in sorted(self._partners())]
+        cols += [is_missing(df, c).cast("int").alias(f"{c}_was_missing") for c in self._flagged()]
         keep = [F.col(k) for k in self.plan.keep]
         if self.plan.target:
             keep.append(F.col(self.plan.target).alias(f"{self.plan.target}_raw"))
         return df.select(*keep, *cols)
 
-    def _level_tables(self, df: DataFrame) -> dict:
-        s1 = self.stage1(df)
-        tables = {}
-        for col in self.plan.columns():
-            step = self._final_step(col)
-            if step is None or kind_of(step.method) != "encode":
-                continue
-            n = _norm(step.method)
-            imp = F.col(f"{col}_imputed")
-            if "hash" in n or "one_hot" in n or "binary" in n:
-                continue
-            if "label" in n or "ordinal" in n:
-                lv = s1.select(imp.cast("string").alias("_key")).distinct()
-                # NULL sorts first, as in the warehouse dialect
-                coded = global_row_number(lv, [F.col("_key").asc_nulls_first()], name="_rn")
-                tables[col] = coded.select("_key", (F.col("_rn") - 1).alias("_code"))
-            elif "frequency" in n:
-                tables[col] = s1.groupBy(imp.cast("string").alias("_key")).agg(
-                    F.count(F.lit(1)).alias("_code"))
-            elif "target" in n:
-                if not self.plan.target:
-                    raise ValueError("target_encoding needs target_column")
-                tgt = F.col(f"{self.plan.target}_raw").cast("double")
-                tables[col] = s1.groupBy(imp.cast("string").alias("_key")).agg(
-                    F.avg(tgt).alias("_code"))
-        return tables
-
-    def _final_step(self, col: str) -> PlanStep | None:
-        last = None
-        for s in self.plan.grouped[col]:
-            if kind_of(s.method) in ("encode", "scale", "log", "sqrt"):
-                last = s
-        return last
-
     # stage 2 ---------------------------------------------------------------
-    def _scale_expr(self, col: str, step: PlanStep) -> Column:
-        imp = F.col(f"{col}_imputed").cast("double")
-        n, st = _norm(step.method), self.stats
-        k = kind_of(step.method)
-        if k == "log":
-            return F.ln(imp + 1)
-        if k == "sqrt":
-            return F.sqrt(F.abs(imp))
-        if "robust" in n:
-            q1, med, q3 = st[("q", col, 0.25)], st[("q", col, 0.5)], st[("q", col, 0.75)]
-            iqr = None if q1 is None else q3 - q1
-            return (imp - F.lit(med)) / F.nullif(F.lit(iqr).cast("double"), F.lit(0.0))
-        if "standard" in n or "z_score" in n:
-            return (imp - F.lit(st[("mean", col, None)]).cast("double")) / F.nullif(
-                F.lit(st[("std", col, None)]).cast("double"), F.lit(0.0))
-        lo, hi = st[("min", col, None)], st[("max", col, None)]
-        rng = None if lo is None else float(hi) - float(lo)
-        return (imp - F.lit(lo).cast("double")) / F.nullif(F.lit(rng).cast("double"), F.lit(0.0))
+    def outputs(self, now: DataFrame, layer: tuple) -> tuple[DataFrame, dict[str, list[tuple[str, Column]]]]:
+        """The (suffix, expression) pairs of a layer per column, and the rows with the joined codes."""
+        steps, stats, tables, levels = layer
+        out, found = now, {}
+        for col, step in steps.items():
+            imp = f"{col}_imputed"
+            if step.template in JOIN_TEMPLATES:
+                table = tables[col].withColumnRenamed("_code", f"_code_{col}")
+                out = join_null_safe(out.withColumn("_key", canonical_str(now, imp)), table, ["_key"], how="left").drop("_key")
+                found[col] = [("", F.col(f"_code_{col}"))]
+            elif step.template == "binning":
+                out = _binning(_on_imputed(step), out, step.params["order_by"])
+                found[col] = [("", F.col(f"{imp}_bin"))]
+            elif step.template == "missing_indicator":
+                found[col] = [("", F.col(f"{col}_was_missing"))]
+            else:
+                s = _on_imputed(step)
+                keyed = {(k, f"{c}_imputed", q): v for (k, c, q), v in stats.items()}
+                exprs = _expr(s, now, Fitted(keyed, {}, {id(s): levels.get(col, [])}))
+                names = now.select(*exprs).columns
+                found[col] = [("" if len(exprs) == 1 else n.replace(f"{imp}_", "", 1), e) for n, e in zip(names, exprs)]
+        return out, found
+
+    def apply(self, now: DataFrame, layer: tuple) -> DataFrame:
+        """A chained layer: every column is replaced by what its step gives (of several columns, the first)."""
+        out, found = self.outputs(now, layer)
+        return out.withColumns({f"{c}_imputed": pairs[0][1] for c, pairs in found.items()}).select(*now.columns)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        s1 = self.stage1(df)
-        out = s1
+        now = self.stage1(sanitize_columns(df))
+        for layer in self.layers[:-1]:
+            now = self.apply(now, layer)
+        out, found = self.outputs(now, self.layers[-1]) if self.layers else (now, {})
         finals: list[Column] = [F.col(k) for k in self.plan.keep]
         for col in self.plan.columns():
-            steps = self.plan.grouped[col]
-            name = self.plan._output_name(col, steps)
-            step = self._final_step(col)
-            imp = F.col(f"{col}_imputed")
-            if step is None:
-                finals.append(imp.alias(name))
-                continue
-            k, n = kind_of(step.method), _norm(step.method)
-            if k == "encode":
-                if "hash" in n or "one_hot" in n:
-                    buckets = int(step.params.get("num_buckets", 50))
-                    finals.append(F.pmod(hash_bigint(imp.cast("string")), F.lit(buckets)).alias(name))
-                elif "binary" in n:
-                    finals.append(F.when(imp.cast("string").isin(TRUTHY), 1).otherwise(0).alias(name))
-                elif col in self.tables:
-                    tbl = self.tables[col].withColumnRenamed("_code", f"_code_{col}")
-                    out = join_null_safe(out.withColumn("_key", imp.cast("string")), tbl, ["_key"],
-                                         how="left").drop("_key")
-                    finals.append(F.col(f"_code_{col}").alias(name))
-                else:
-                    finals.append(imp.alias(name))
-            else:
-                finals.append(self._scale_expr(col, step).alias(name))
+            name = self.plan._output_name(col, self.plan.grouped[col])
+            for suffix, e in found.get(col, [("", F.col(f"{col}_imputed"))]):
+                finals.append(e.alias(f"{name}_{suffix}" if suffix else name))
         if self.plan.target and self.plan.include_target:
             raw = f"{self.plan.target}_raw"
-            finals.append(F.when(canonical_str(out, raw).isin(TARGET_TRUTHY), 1).otherwise(0)
-                          .alias("target"))
+            finals.append(F.when(canonical_str(out, raw).isin(TRUTHY), 1).otherwise(0).alias("target"))
         return out.select(*finals)
 
     def validate(self, df_out: DataFrame) -> DataFrame:

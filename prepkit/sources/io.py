@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,7 +125,7 @@ def audit_rows(report: DataFrame, dataset: str, table_name: str) -> DataFrame:
         bucket("low").alias("low_risk_features"),
         F.to_json(F.collect_list(F.struct("risk", "feature", "reason"))).alias("ld_full_output"))
     return agg.select(
-        (F.xxhash64(F.expr("uuid()")) & F.lit(0x7FFFFFFFFFFFFFFF)).alias("id"),
+        F.xxhash64(F.expr("uuid()")).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)).alias("id"),
         F.lit(dataset).alias("dataset"), F.lit(table_name).alias("table_name"),
         F.struct(F.size("high_risk_features").cast("int").alias("high_risk"),
                  F.size("medium_risk_features").cast("int").alias("medium_risk"),
@@ -154,8 +154,8 @@ def upsert_status(spark: SparkSession, path: str, table_name: str, phase: str,
 
 def latest_status(log: DataFrame) -> DataFrame:
     """S7 view: last row per (table_name, phase)."""
-    w = Window.partitionBy("table_name", "phase").orderBy(F.desc("last_updated"))
-    return log.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    return log.groupBy("table_name", "phase").agg(
+        F.max_by("status", F.struct("last_updated", "status")).alias("status"), F.max("last_updated").alias("last_updated"))
 
 
 def write_report(df: DataFrame, path: str) -> None:

@@ -163,3 +163,4 @@ for _name, _table, _keys, _t, _exprs, _order in CASES:
 
 from . import registry_analysis  # noqa: E402,F401  (registers more queries)
 from . import registry_model  # noqa: E402,F401
+from . import registry_extra  # noqa: E402,F401
