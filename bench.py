@@ -18,11 +18,14 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from prepkit.operators import balance as B  # noqa: E402
 from prepkit.operators import bivariate as C  # noqa: E402
+from prepkit.operators import neighbours as NB  # noqa: E402
 from prepkit.operators.profile import univariate_numerical  # noqa: E402
 from prepkit.plans.feature_plan import FeaturePlan  # noqa: E402
-from prepkit.session import get_session  # noqa: E402
+from prepkit.session import get_session, ship_package  # noqa: E402
 from prepkit.sources import fixtures as FX  # noqa: E402
 from prepkit.sources.io import read_table  # noqa: E402
 
@@ -53,16 +56,24 @@ def q_pl1(spark):
 
 
 def q_b1(spark):
-    return B.random_oversample(FX.doc_binary(spark, SF_DIR), "target", row_id=["doc_id"])
+    li = read_table(spark, SF_DIR, "lineitem")
+    return B.random_oversample(li, "l_returnflag")
 
 
 def q_b2(spark):
-    return B.random_undersample(FX.doc_binary(spark, SF_DIR), "target", row_id=["doc_id"])
+    li = read_table(spark, SF_DIR, "lineitem")
+    return B.random_undersample(li, "l_returnflag")
 
 
-def q_b1_lineitem(spark):
-    li = read_table(spark, SF_DIR, "lineitem")
-    return B.random_oversample(li, "l_returnflag")
+def q_b2_many(spark):
+    return B.random_undersample(read_table(spark, SF_DIR, "orders"), "o_custkey", row_id=["o_orderkey"])
+
+
+def q_b3(spark):
+    """SMOTE on a skewed binary target: 1 of about 28 rows."""
+    li = read_table(spark, SF_DIR, "lineitem").select(
+        "l_orderkey", "l_quantity", "l_extendedprice", (F.col("l_linenumber") == 7).cast("int").alias("y"))
+    return NB.smote(li, "y", row_id=["l_orderkey"])
 
 
 def q_c7(spark):
@@ -71,8 +82,8 @@ def q_c7(spark):
 
 
 QUERIES = {"e6_univariate_numerical": q_e6, "pl1_feature_plan": q_pl1,
-           "b1_random_oversample_docs": q_b1, "b2_random_undersample_docs": q_b2,
-           "b1_random_oversample_lineitem": q_b1_lineitem, "c7_chi_square": q_c7}
+           "b1_random_oversample_lineitem": q_b1, "b2_random_undersample_lineitem": q_b2,
+           "b2_random_undersample_many_classes": q_b2_many, "b3_smote_lineitem": q_b3, "c7_chi_square": q_c7}
 
 
 def plan_hash(df) -> str:
@@ -82,6 +93,7 @@ def plan_hash(df) -> str:
 
 def main():
     spark = get_session("prepkit-bench", master=f"local[{CPUS}]", shuffle_partitions=int(CPUS) * 2)
+    ship_package(spark)
     times, plans = {}, {}
     for name, fn in QUERIES.items():
         runs = []

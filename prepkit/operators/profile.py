@@ -216,6 +216,42 @@ def dataset_context(df: DataFrame, target: str, class_limit: int = 20) -> DataFr
         F.lit(len(datetime_columns(df))).alias("n_datetime"))
 
 
+SKEWED = 1.0
+
+
+def dataset_details(df: DataFrame, target: str) -> DataFrame:
+    """The lists of a dataset context as rows ``(section, item)``.
+
+    Sections: numerical_features, categorical_features, datetime_features, binary_features (two
+    values), high_cardinality_categoricals, skewed_features (|skewness| > 1), outliers_detected,
+    columns_with_missing, and the flag imbalanced ('true' or 'false', by the minority share).
+    """
+    from .target import check_imbalance
+    spark = df.sparkSession
+    roles = column_types(df)
+    num = [c for c in roles["numerical"] if c != target]
+    cat = [c for c in roles["categorical"] if c != target]
+    listed = [("numerical_features", c) for c in num] + [("categorical_features", c) for c in cat]
+    listed += [("datetime_features", c) for c in datetime_columns(df)]
+    rows = spark.createDataFrame(listed, "section string, item string")
+    unique = cardinality(df, num + cat)
+
+    def part(section, table, where):
+        return table.where(where).select(F.lit(section).alias("section"), F.col("column_name").alias("item"))
+
+    named = F.col("column_name").isin(cat)
+    parts = [part("binary_features", unique, F.col("unique_values") == 2),
+             part("high_cardinality_categoricals", unique, F.col("is_high_cardinality") & named),
+             part("skewed_features", univariate_numerical(df, num), F.abs("skewness") > SKEWED),
+             part("outliers_detected", outliers(df, num), F.col("outlier_count") > 0),
+             part("columns_with_missing", missing_values(df), F.col("missing_count") > 0),
+             check_imbalance(df, target).select(F.lit("imbalanced").alias("section"),
+                                                (~F.col("is_balanced")).cast("string").alias("item"))]
+    for p in parts:
+        rows = rows.unionByName(p)
+    return rows
+
+
 def class_distribution(df: DataFrame, target: str) -> DataFrame:
     """Share of every class (NULLs excluded)."""
     tv = clean_value(df, target)
@@ -227,30 +263,48 @@ def class_distribution(df: DataFrame, target: str) -> DataFrame:
         (F.col("count") / F.col("_total")).alias("share"))
 
 
-def eda_report(df: DataFrame, target: str | None = None, row_count: int | None = None) -> DataFrame:
-    """Every section assembled into one JSON row (plus the fallback sentence)."""
+def eda_report(df: DataFrame, target: str | None = None, row_count: int | None = None,
+               sample_by: list[str] | None = None) -> DataFrame:
+    """Every section assembled into one JSON row (plus the fallback sentence).
+
+    ``columns`` has names and types, ``sample`` the first rows in the order ``sample_by``;
+    with a target, ``bivariate`` holds correlations and means per category for a numeric one,
+    chi-square and box plots per class for any other."""
+    from . import bivariate as C
     if row_count is None:
         row_count = df.count()
+    missing = missing_values(df)
     sections = {
         "overview": overview(df),
-        "missing_values": missing_values(df),
+        "columns": overview_columns(df),
+        "missing_values": missing,
         "outliers": outliers(df, row_count=row_count),
         "cardinality": cardinality(df),
         "univariate_numerical": univariate_numerical(df, row_count=row_count),
         "univariate_categorical": univariate_categorical(df),
         "top_values": top_values(df),
     }
+    if sample_by:
+        sections["sample"] = sample_rows(df, sample_by)
+    if target is not None:
+        if target in column_types(df)["numerical"]:
+            sections["bivariate"] = C.correlation_with_target(df, target)
+            sections["bivariate_categories"] = C.mean_by_category(df, target)
+        else:
+            sections["bivariate"] = C.chi_square(df, target)
+            sections["bivariate_categories"] = C.boxplot_stats(df, target)
     parts = []
     for name, sdf in sections.items():
         parts.append(sdf.agg(F.to_json(F.collect_list(F.struct(*sdf.columns))).alias(name)))
     out = parts[0]
     for p in parts[1:]:
-        out = out.crossJoin(p)
-    miss = missing_summary(df)
-    out = out.crossJoin(miss).crossJoin(overview(df))
+        out = out.crossJoin(p)            # one row each
+    totals = missing.agg(F.sum("missing_count").cast("bigint").alias("total_missing_cells"),
+                         F.count_if(F.col("missing_count") > 0).alias("columns_with_missing"))
+    out = out.crossJoin(totals)
     summary = F.format_string(
         "The dataset has %d rows and %d columns; %d cells are missing across %d columns.",
-        F.col("n_rows"), F.col("n_columns"), F.col("total_missing_cells"),
+        F.lit(row_count).cast("bigint"), F.lit(len(df.columns)).cast("bigint"), F.col("total_missing_cells"),
         F.col("columns_with_missing"))
     return out.select(F.lit(target).alias("target_column"), *sections.keys(),
                       summary.alias("summary"))

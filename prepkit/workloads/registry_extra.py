@@ -329,6 +329,35 @@ def _q(spark, sf):
     return C.boxplot_stats(read_table(spark, sf, "lineitem"), "l_suppkey", ["l_quantity"])
 
 
+_DETAIL_NUM = [c for c in S.LINEITEM if c[1] in ("i", "f")]
+_LONG = S.long_numeric("li", _DETAIL_NUM)
+
+
+@register("dataset_details_li_nulls",
+          f"WITH {LI}, long AS ({_LONG}), u AS ({S.univariate_numerical(S.LI_NULLS, S.LINEITEM)}), o AS ({S.outliers(S.LI_NULLS, S.LINEITEM)}), "
+          f"m AS ({S.missing_values(S.LI_NULLS, S.LINEITEM)}), k AS ({S.cardinality(S.LI_NULLS, S.LINEITEM)}), "
+          "c AS (SELECT l_returnflag, count(*) AS n FROM li WHERE l_returnflag IS NOT NULL GROUP BY 1) "
+          "SELECT 'numerical_features' AS section, column_name AS item FROM u UNION ALL SELECT 'categorical_features', 'l_linestatus' "
+          "UNION ALL SELECT 'datetime_features', 'l_shipdate' "
+          "UNION ALL SELECT 'binary_features', column_name FROM k WHERE unique_values = 2 AND column_name NOT IN ('l_returnflag', 'l_shipdate') "
+          "UNION ALL SELECT 'high_cardinality_categoricals', column_name FROM k WHERE column_name = 'l_linestatus' AND is_high_cardinality "
+          "UNION ALL SELECT 'skewed_features', column_name FROM u WHERE abs(skewness) > 1 "
+          "UNION ALL SELECT 'outliers_detected', column_name FROM o WHERE outlier_count > 0 "
+          "UNION ALL SELECT 'columns_with_missing', column_name FROM m WHERE missing_count > 0 "
+          "UNION ALL SELECT 'imbalanced', CASE WHEN min(n) / sum(n) >= 0.45 THEN 'false' ELSE 'true' END FROM c")
+def _q(spark, sf):
+    return P.dataset_details(FX.li_nulls(spark, sf), "l_returnflag")
+
+
+@register("eda_report_bivariate_events", "SELECT column_name, correlation FROM ("
+          + " UNION ALL ".join(f"SELECT '{c}' AS column_name, covar_pop(CAST({c} AS DOUBLE), value) / NULLIF(stddev_pop(CAST({c} AS DOUBLE)) * "
+                               "stddev_pop(value), 0) AS correlation FROM events" for c in ("event_id", "user_id")) + ")")
+def _q(spark, sf):
+    e = read_table(spark, sf, "events").drop("props")
+    report = P.eda_report(e, target="value", sample_by=["event_id"])
+    return report.select(F.inline(F.from_json("bivariate", "array<struct<column_name: string, correlation: double>>")))
+
+
 # --- B: many classes, techniques by name ---------------------------------------------------
 
 _CUST = "SELECT o_orderkey, o_custkey, o_totalprice FROM orders"
