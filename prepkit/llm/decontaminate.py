@@ -86,12 +86,15 @@ def containment(docs: DataFrame, items: DataFrame) -> DataFrame:
         wide = base.withColumn("wh", F.expr(f"transform({WORDS}, w -> xxhash64(w))"))
     for b in bounds:         # one pass for each shingle length that occurs, five at most; nearly always one
         keep = -(-b["least"] * num // den) + b["gram"] - 1      # words of the smallest document that can match
-        hashes = wide.where(F.size("wh") >= keep).select("_id", "_h", F.expr(
-            f"filter({_hashed(b['gram'])}, x -> x <= {b['top']}L)").alias("hs"), F.size("wh").alias("words"))
+        # explode_outer: for explode the optimizer adds a filter on the array and pushes it through the
+        # projections, where the word hashes would be made anew for every element
+        hashes = wide.select("_id", "_h", F.size("wh").alias("words"), F.expr(
+            f"if(size(wh) >= {keep}, filter({_hashed(b['gram'])}, x -> x <= {b['top']}L), null)").alias("hs"))
+        hashes = hashes.select("_id", "_h", "words", F.explode_outer("hs").alias("hash")).where("hash is not null")
         looked = sketch.where(F.col("gram") == b["gram"]).select("hash", "item_id", "n")
         if b["rows"] <= BROADCAST_ROWS:
             looked = F.broadcast(looked)
-        hits = (hashes.select("_id", "_h", "words", F.explode("hs").alias("hash")).join(looked, "hash")
+        hits = (hashes.join(looked, "hash")
                 .where(F.expr(f"(words - {b['gram']} + 1) * {den} >= n * {num}"))
                 .select("_id", "_h", "item_id").distinct())
         found = hits if found is None else found.union(hits)
@@ -110,7 +113,7 @@ def _verified(base: DataFrame, candidates: DataFrame, shingles: DataFrame) -> Da
     words = base.join(keys, ["_id", "_h"], "left_semi").select("_id", "_h", F.expr(WORDS).alias("words"))
     grams = candidates.join(shingles.select("item_id", "gram").distinct(), "item_id").select("_id", "_h", "gram").distinct()
     held = words.join(grams, ["_id", "_h"]).where("size(words) >= gram").select(
-        "_id", "_h", "gram", F.explode(F.array_distinct(F.expr(_grams("words", "gram", "words")))).alias("shingle")).distinct()
+        "_id", "_h", "gram", F.explode_outer(F.array_distinct(F.expr(_grams("words", "gram", "words")))).alias("shingle")).distinct()
     looked = shingles.select("item_id", "gram", "shingle", "n")
     if looked.count() <= BROADCAST_ROWS:
         looked = F.broadcast(looked)
