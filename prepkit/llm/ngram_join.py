@@ -10,13 +10,17 @@ columns are shingles.  The product is never formed whole:
     emitted, for both its sizes n.  A column that stands in one class is dropped, and
     so is a class with fewer columns left than that.  Of the rest, ordered from
     rare to frequent, all but the last ``ceil(t n) - left_out(n) - 1`` suffice.
-2.  Blocks of equal columns (and neighbouring size) first make a star: each class
-    with the block's least class.  The overlap counts of these pairs are summed
-    over the blocks, and every class is checked against its best partner.
-3.  Links found so far are contracted to components.  Only pairs of *different*
-    components that share a block are then multiplied, with all of them checked.
-    So a group of thousands of near copies costs a star, not all its pairs, and
-    no link that could join two components is lost.
+2.  Classes that share a block of equal columns, directly or through others, make a
+    cluster; links never leave it.  The sets of a cluster are made anew from the
+    texts and multiplied in one task: overlap counts of a row with all rows of
+    fitting size at once, pairs below the bound discarded.  Rows that links have
+    already brought together are left out, so a cluster of near copies costs little
+    more than one row times the others, and what leaves the task are the links of a
+    spanning forest, never all pairs.
+3.  A cluster beyond ``ROWS`` sets or ``WEIGHT`` shingles is cut into parts by size, and
+    pairs of parts are multiplied.  Before that every class is checked against the
+    middle of the star it shares most blocks with, and the links are contracted; parts
+    that lie in one component are not paired.
 
 The check of a pair is exact on the sets of 64-bit shingle hashes.  Columns held
 by many classes of one task are salted before the shuffle: from ``HOT`` classes
@@ -29,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,6 +46,8 @@ WHOLE = 64             #: sets up to this size emit all their columns
 HOT = 256              #: a column of so many classes counts as frequent, however many it has
 SALTS = 97
 STAR = 512             #: partners that one task compares with the middle of a star
+ROWS = 512             #: sets that are multiplied in one task (two parts: twice as many)
+WEIGHT = 1 << 18       #: their shingles together
 #: classes to be checked are found by a broadcast join up to so many (40 bytes each), by a shuffled one beyond
 BROADCAST_CLASSES = 500_000
 NO_ID = -2**63
@@ -130,6 +136,61 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def spanning_links(sets: list[np.ndarray], labels: np.ndarray, sides: np.ndarray) -> list[tuple[int, int]]:
+    """Links between rows of different labels that join all that is linked; with two sides, only across."""
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    n = np.array([len(sets[i]) for i in order], np.int64)
+    labels, sides, cross = labels[order], sides[order], bool(sides.any())
+    starts = np.concatenate(([0], np.cumsum(n)))
+    _, col = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    mark = np.zeros(int(col.max()) + 1, np.int32)
+    fits = np.searchsorted(n, n * DEN // NUM, "right")        # rows that are not too large
+    out = []
+    for i in range(len(n) - 1):
+        end = fits[i]
+        open_ = labels[i + 1:end] != labels[i]
+        if cross:
+            open_ &= sides[i + 1:end] != sides[i]
+        rows = np.flatnonzero(open_) + i + 1
+        if not len(rows):
+            continue
+        mark[col[starts[i]:starts[i + 1]]] = 1
+        if len(rows) * 4 < end - i:
+            both = np.array([mark[col[starts[j]:starts[j + 1]]].sum() for j in rows])
+        else:
+            both = np.add.reduceat(mark[col[starts[i + 1]:starts[end]]], starts[i + 1:end] - starts[i + 1])[rows - i - 1]
+        mark[col[starts[i]:starts[i + 1]]] = 0
+        for j in rows[DEN * both >= NUM * (n[i] + n[rows] - both)]:
+            if labels[j] != labels[i]:
+                out.append((int(order[i]), int(order[j])))
+                labels[labels == labels[j]] = labels[i]
+    return out
+
+
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (place, side, cls, label, members) sorted by place -> links (a, b) of the classes of a place."""
+    place, rows = None, []
+
+    def links() -> pa.RecordBatch:
+        seen = {r[1]: r for r in rows}.values()
+        side, cls, label, members = zip(*seen)
+        sets = [np.frombuffer(m, np.uint64) for m in members]
+        found = spanning_links(sets, np.array(label, np.int64), np.array(side)) if len(sets) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([cls[i] for i, _ in found], pa.int64()),
+                                           pa.array([cls[j] for _, j in found], pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        keys = zip(*(batch.column(i).to_pylist() for i in range(4)))
+        for (here, side, cls, label), raw in zip(keys, batch.column(4)):
+            if here != place:
+                if rows:
+                    yield links()
+                place, rows = here, []
+            rows.append((side, cls, label, raw.as_buffer().to_pybytes()))
+    if rows:
+        yield links()
+
+
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, _, sets in _sets(batches, 0):
         yield pa.RecordBatch.from_arrays(
@@ -164,7 +225,7 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
             .mapInArrow(_overlap, "a long, b long").distinct().checkpoint())
 
 
-def _size_ok(n: str, m: str) -> F.Column:
+def _size_ok(n: str, m: str) -> Column:
     return F.expr(f"least({n}, {m}) * {DEN} >= greatest({n}, {m}) * {NUM}")
 
 
@@ -187,36 +248,75 @@ def blocks(docs: DataFrame) -> DataFrame:
     return rows.where(F.expr(f"at <= left - ({COMMON}) + 1")).select("col", "cls", "n").checkpoint()
 
 
+def _band(n: str) -> Column:
+    """Sizes that a link may join lie in the same band or in neighbouring ones."""
+    return F.floor(F.log(F.col(n).cast("double")) / F.log(F.lit(1.26)))
+
+
+def _star_links(docs: DataFrame, classes: DataFrame, block: DataFrame) -> DataFrame:
+    """Links (a, b) of every class with the middle of the star that it shares most blocks with."""
+    banded = block.select("col", "cls", "n", _band("n").alias("band"))
+    middle = banded.groupBy("col", "band").agg(F.min(F.struct("cls", "n")).alias("p"))
+    middles = middle.select("col", F.explode(F.array("band", F.col("band") + 1)).alias("band"),
+                            F.col("p.cls").alias("a"), F.col("p.n").alias("m"))
+    star = (banded.join(middles, ["col", "band"]).where("a <> cls").where(_size_ok("n", "m"))
+            .groupBy("a", F.col("cls").alias("b")).agg(F.count(F.lit(1)).alias("common")))
+    best = star.groupBy("b").agg(F.max_by("a", F.struct("common", "a")).alias("a"))
+    return _linked(docs, classes, best)
+
+
+def _places_of_parts(members: DataFrame, known: DataFrame) -> DataFrame:
+    """place, side, cls, label: large clusters cut into parts, each pair of parts a place.
+
+    members: (cls, cluster, n); known: (node, component) of the links found so far."""
+    rows = (members.join(known.select(F.col("node").alias("cls"), F.col("component").alias("c")), "cls", "left")
+            .select("cls", "cluster", "n", F.coalesce("c", "cls").alias("label"), _band("n").alias("band")))
+    large = rows.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= ROWS)
+    # classes of one large component stand in parts of their own
+    rows = rows.join(large.select("cluster", "label", F.col("label").alias("own")), ["cluster", "label"], "left")
+    rows = rows.withColumn("own", F.coalesce("own", F.lit(0).cast("long")))
+    parts = rows.groupBy("cluster", "own", "band").agg(
+        F.greatest(F.floor(F.count(F.lit(1)) / ROWS), F.floor(F.sum("n") / WEIGHT)).cast("int").alias("more"))
+    rows = rows.join(parts, ["cluster", "own", "band"]).withColumn(
+        "part", F.struct("own", "band", F.pmod(F.xxhash64("cls"), F.col("more") + 1).cast("int").alias("salt")))
+    each = parts.select("cluster", "own", "band", F.explode(F.expr("sequence(0, more)")).alias("salt")).select(
+        "cluster", "band", F.struct("own", "band", "salt").alias("part"))
+    first = each.select("cluster", F.col("part").alias("p"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    pairs = first.join(each.withColumnRenamed("part", "q"), ["cluster", "band"]).where("p <= q or p.band < q.band").where(
+        "p.own <> q.own or p.own = 0")
+    pairs = pairs.select("cluster", "p", "q", F.xxhash64("cluster", "p", "q").alias("place"))
+    sides = pairs.select("cluster", "place", F.col("p").alias("part"), F.lit(0).alias("side")).union(
+        pairs.where("p <> q").select("cluster", "place", "q", F.lit(1)))
+    return rows.join(sides, ["cluster", "part"]).select("place", "side", "cls", "label")
+
+
 def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, component) of the classes that link with another one.
 
     classes: (cls, n, least_id), a row a class."""
     block = blocks(docs)
-    # a star in every block and band of sizes; a band meets the next one too
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.125))).alias("band")
-    banded = block.select("col", "cls", "n", band)
-    pivot = banded.groupBy("col", "band").agg(F.min(F.struct("cls", "n")).alias("p"))
-    pivots = pivot.select("col", F.explode(F.array("band", F.col("band") + 1)).alias("band"),
-                          F.col("p.cls").alias("a"), F.col("p.n").alias("m"))
-    star = (banded.join(pivots, ["col", "band"]).where("a <> cls").where(_size_ok("n", "m"))
-            .groupBy("a", F.col("cls").alias("b")).agg(F.count(F.lit(1)).alias("common")))
-    best = star.groupBy("b").agg(F.max_by("a", F.struct("common", "a")).alias("a"))
-    first = _linked(docs, classes, best)
-    known = components(first)
-    # pairs of different components that share a block
-    marked = (block.join(known.withColumnRenamed("node", "cls"), "cls", "left")
-              .withColumn("comp", F.coalesce("component", "cls")).select("col", "cls", "n", "comp"))
-    mixed = marked.groupBy("col").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    marked = marked.join(mixed.select("col"), "col", "left_semi").checkpoint()
-    parts = marked.select("col", "comp").distinct()
-    meet = parts.withColumnRenamed("comp", "ca").join(parts.withColumnRenamed("comp", "cb"), "col").where("ca < cb")
-    left = marked.select("col", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    right = marked.select("col", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    across = (meet.join(left, ["col", "ca"]).join(right, ["col", "cb"]).where(_size_ok("na", "nb"))
-              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = _linked(docs, classes, across.join(tried, ["a", "b"], "left_anti"))
-    return components(first.union(second))
+    least = block.groupBy("col").agg(F.min("cls").alias("a"))
+    clusters = components(block.join(least, "col").where("a <> cls").select("a", F.col("cls").alias("b")))
+    members = clusters.select(F.col("node").alias("cls"), F.col("component").alias("cluster")).join(
+        classes.select("cls", F.col("n").cast("long").alias("n"), F.col("least_id").alias("_id")), "cls").checkpoint()
+    large = (members.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("weight"))
+             .where((F.col("rows") > ROWS) | (F.col("weight") > WEIGHT)).select("cluster").checkpoint())
+    small = members.join(large, "cluster", "left_anti")
+    moves = small.select(F.col("cluster").alias("place"), F.lit(0).alias("side"), "cls", F.col("cls").alias("label"))
+    first = None
+    if large.count():
+        split = members.join(large, "cluster", "left_semi").checkpoint()
+        first = _star_links(docs, classes, block.join(split.select("cls"), "cls", "left_semi"))
+        moves = moves.union(_places_of_parts(split.select("cls", "cluster", "n"), components(first)))
+    moves = moves.join(members.select("cls", "_id"), "cls").checkpoint()
+    ids, asked = moves.select("_id").distinct(), moves.select("place", "side", "cls", "label")
+    if moves.count() <= BROADCAST_CLASSES:
+        ids, asked = F.broadcast(ids), F.broadcast(asked)
+    sets = (_texts(docs).join(ids, "_id", "left_semi").select("_text")
+            .mapInArrow(_set_rows, "cls long, members binary"))
+    links = (sets.join(asked, "cls").select("place", "side", "cls", "label", "members")
+             .repartition("place").sortWithinPartitions("place").mapInArrow(_products, "a long, b long").checkpoint())
+    return components(links if first is None else links.union(first))
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -229,7 +329,7 @@ def grouped(docs: DataFrame) -> DataFrame:
             .mapInArrow(_classes, "_id long, _h long, n long, cls long").checkpoint())
     classes = rows.where("n > 0").groupBy("cls").agg(
         F.first("n").alias("n"), F.min(F.nullif("_id", F.lit(NO_ID))).alias("least"),
-        F.min(F.struct("_id", "_h")).alias("head")).withColumn("least_id", F.col("head._id"))
+        F.min(F.struct("_id", "_h")).alias("head")).withColumn("least_id", F.col("head._id")).checkpoint()
     linked = link_classes(docs, classes)
     named = classes.join(linked.withColumnRenamed("node", "cls"), "cls", "left").select(
         "cls", "least", "head", F.coalesce("component", "cls").alias("comp")).checkpoint()

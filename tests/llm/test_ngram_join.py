@@ -45,7 +45,7 @@ def families(seed):
     words = [f"w{i}" for i in range(250)]
     passage = " ".join(rnd.choice(words) for _ in range(40))
     rows = []
-    for g in range(60):
+    for g in range(40):
         base = [rnd.choice(words) for _ in range(rnd.choice([3, 5, 8, 20, 60, 200]))]
         for _ in range(25 if g < 5 else rnd.choice([1, 1, 2, 3])):
             t = list(base)
@@ -71,6 +71,15 @@ def test_many_holders_of_a_column(spark, monkeypatch):
     assert result(df) == brute(rows)
 
 
+def test_large_clusters_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(J, "ROWS", 5)
+    monkeypatch.setattr(J, "WEIGHT", 600)
+    monkeypatch.setattr(J, "STAR", 3)
+    rows = families(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert result(df) == brute(rows)
+
+
 def test_odd_rows(odd, empty):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert result(odd) == brute(rows)
