@@ -4,11 +4,14 @@ Every line gets a hash; a rolling hash over two neighbouring line hashes chooses
 chunk boundaries where it is the least of three in a row (so boundaries depend on
 nearby lines only, and at least every third line ends a chunk), and lines of
 ``LONG`` words or more are chunks of their own.  What is looked up globally are the
-*runs* around a boundary: every suffix of the chunk before it with the next line,
-and the line before it with every prefix of the next chunk; besides, single lines of
-more than ``MIN_WORDS`` words.  A passage of two lines or more, of more than
-``MIN_WORDS`` words together, has a boundary inside, whatever stands around it, so all
-its lines lie in such runs.
+*runs* of up to five lines around a boundary: the lines before it with the next line,
+and the line before it with the next ones; besides, single lines of more than
+``MIN_WORDS`` words.  A run ends at the boundaries of long lines, which are the same
+wherever the line stands; other boundaries near the ends of a passage may depend on
+what stands around it, so a run looks past them.  A passage of two lines or more, of
+more than ``MIN_WORDS`` words together, has a boundary inside that all its copies share,
+and another one every three lines at most, so all its lines lie in runs that the copies
+have in common.
 
 A run is redundant where the same sequence of line hashes stands earlier (in the
 order of doc_id and line), provided that the bytes behind these hashes are equal.
@@ -59,13 +62,26 @@ def _least(i: str, others: list[str]) -> str:
 #: places i whose line ends a chunk: the last, before and after a long line, or the least of three in a row
 BOUNDARIES = f"""filter(sequence(0, size(r) - 1), i -> i = size(r) - 1 or r[i] = -1 or r[i + 1] = -1
     or ({_least('i', ['i - 1', 'i - 2'])}) or ({_least('i', ['i - 1', 'i + 1'])}) or ({_least('i', ['i + 1', 'i + 2'])}))"""
-#: [from, to] of the runs at boundary number k; single lines are runs if they are long enough
-RUNS = f"""flatten(transform(ends, (b, k) -> concat(
-    if(words[b] > {MIN_WORDS}, array(struct(b as a, b as z)), cast(array() as array<struct<a: int, z: int>>)),
-    if(b = size(hashes) - 1, cast(array() as array<struct<a: int, z: int>>), concat(
-        transform(sequence(if(k > 0, ends[k - 1], -1) + 1, b), j -> struct(j as a, b + 1 as z)),
-        if(ends[k + 1] > b + 1, transform(sequence(b + 2, ends[k + 1]), j -> struct(b as a, j as z)),
-           cast(array() as array<struct<a: int, z: int>>)))))))"""
+
+
+def _hard(i: str) -> str:
+    """Whether line i ends a chunk because it or the next line is long."""
+    return f"(coalesce(get(r, {i}), 0) = -1 or coalesce(get(r, {i} + 1), 0) = -1)"
+
+
+#: first and last line that a run at boundary b reaches
+REACH = 3
+FIRST = "greatest(0, b - {r}, {m})".format(r=REACH, m=", ".join(
+    f"if({_hard(f'b - {d}')}, b - {d} + 1, 0)" for d in range(1, REACH + 1)))
+LAST = "least(size(r) - 1, b + {r}, {m})".format(r=REACH, m=", ".join(
+    f"if({_hard(f'b + {d}')}, b + {d}, size(r))" for d in range(1, REACH + 1)))
+NONE = "cast(array() as array<struct<a: int, z: int>>)"
+#: [from, to] of the runs at every boundary; single lines are runs if they are long enough
+RUNS = f"""array_distinct(flatten(transform(ends, b -> concat(
+    if(words[b] > {MIN_WORDS}, array(struct(b as a, b as z)), {NONE}),
+    if(b = size(hashes) - 1, {NONE}, concat(
+        transform(sequence({FIRST}, b), j -> struct(j as a, b + 1 as z)),
+        if({LAST} > b + 1, transform(sequence(b + 2, {LAST}), j -> struct(b as a, j as z)), {NONE})))))))"""
 
 
 def runs(docs: DataFrame) -> DataFrame:
@@ -73,7 +89,7 @@ def runs(docs: DataFrame) -> DataFrame:
     rows = (_lines(docs).where("size(lines) > 1 or length(lines[0]) > 0")
             .select("_id", "_h", F.expr(HASHES).alias("hashes"), F.expr(_words("lines")).alias("words")))
     rows = rows.select("_id", "_h", "hashes", "words", F.expr(ROLLING).alias("r"))
-    rows = rows.select("_id", "_h", "hashes", "words", F.expr(BOUNDARIES).alias("ends"))
+    rows = rows.select("_id", "_h", "hashes", "words", "r", F.expr(BOUNDARIES).alias("ends"))
     rows = rows.select("_id", "_h", F.explode(F.expr(
         f"transform({RUNS}, x -> struct(x.a as a, x.z as z, slice(hashes, x.a + 1, x.z - x.a + 1) as run))")).alias("x"))
     return rows.select("_id", "_h", "x.a", "x.z", "x.run")

@@ -5,27 +5,30 @@ import random
 from prepkit.llm import line_dedup as L
 
 
-def boundaries(lines):
-    """Numbers of the lines that end a chunk."""
+def runs(lines):
+    """(first, last) line of every run around the ends of chunks, and of long lines."""
+    n = len(lines)
     words = [x.count(" ") + 1 for x in lines]
     h = [int(hashlib.md5(x.encode()).hexdigest()[:15], 16) for x in lines]
     r = [-1 if w >= L.LONG else ((h[i - 1] % L.PRIME if i else 0) * 31 + h[i] % L.PRIME) % L.PRIME for i, w in enumerate(words)]
 
     def least(i, others):
-        return all(r[i] <= (r[j] if 0 <= j < len(r) else L.PRIME) for j in others)
-
-    return [i for i in range(len(r)) if i == len(r) - 1 or r[i] == -1 or r[i + 1] == -1 or least(i, (i - 1, i - 2))
-            or least(i, (i - 1, i + 1)) or least(i, (i + 1, i + 2))]
-
-
-def runs(lines):
-    ends = boundaries(lines)
-    for k, b in enumerate(ends):
-        if lines[b].count(" ") + 1 > L.MIN_WORDS:
-            yield b, b
-        if k + 1 < len(ends):
-            yield from ((j, b + 1) for j in range(ends[k - 1] + 1 if k else 0, b + 1))
-            yield from ((b, j) for j in range(b + 2, ends[k + 1] + 1))
+        return all(r[i] <= (r[j] if 0 <= j < n else L.PRIME) for j in others)
+
+    def hard(i):
+        return 0 <= i < n and r[i] == -1 or 0 <= i + 1 < n and r[i + 1] == -1
+
+    out = set()
+    for b in range(n):
+        if not (b == n - 1 or hard(b) or least(b, (b - 1, b - 2)) or least(b, (b - 1, b + 1)) or least(b, (b + 1, b + 2))):
+            continue
+        if words[b] > L.MIN_WORDS:
+            out.add((b, b))
+        if b < n - 1:
+            first = max([0, b - 3] + [b - d + 1 for d in (1, 2, 3) if hard(b - d)])
+            last = min([n - 1, b + 3] + [b + d for d in (1, 2, 3) if hard(b + d)])
+            out |= {(j, b + 1) for j in range(first, b + 1)} | {(b, j) for j in range(b + 2, last + 1)}
+    return out
 
 
 def brute(rows):
