@@ -22,7 +22,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         hung = hung.select(F.col("b").alias("a"), F.col("m").alias("b")).union(
             least.select("a", F.col("m").alias("b")))
-    return hung.where("a <> b").distinct()
+    return hung.where("a <> b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = edges.select("a", "b").where("a <> b").distinct().checkpoint()
     mark = None
     while True:
-        now = _star(_star(now, True), False).checkpoint()
+        now = _star(_star(now, True), False).distinct().checkpoint()
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
             break

@@ -18,7 +18,8 @@ columns are shingles.  The product is never formed whole:
     more than one row times the others, and what leaves the task are the links of a
     spanning forest, never all pairs.
 3.  A cluster beyond ``ROWS`` sets or ``WEIGHT`` shingles is cut into parts by size, and
-    pairs of parts are multiplied.  Before that every class is checked against the
+    pairs of parts are multiplied; their links are joined to components afterwards.  In a
+    cluster beyond ``STAR_FROM`` times that, every class is checked first against the
     middle of the star it shares most blocks with, and the links are contracted; parts
     that lie in one component are not paired.
 
@@ -48,6 +49,7 @@ SALTS = 97
 STAR = 512             #: partners that one task compares with the middle of a star
 ROWS = 512             #: sets that are multiplied in one task (two parts: twice as many)
 WEIGHT = 1 << 18       #: their shingles together
+STAR_FROM = 64         #: times these, stars are tried before parts are paired
 #: classes to be checked are found by a broadcast join up to so many (40 bytes each), by a shuffled one beyond
 BROADCAST_CLASSES = 500_000
 NO_ID = -2**63
@@ -168,27 +170,43 @@ def spanning_links(sets: list[np.ndarray], labels: np.ndarray, sides: np.ndarray
 
 
 def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (place, side, cls, label, members) sorted by place -> links (a, b) of the classes of a place."""
+    """Rows (place, whole, side, cls, label, members) sorted by place -> (whole, a, b).
+
+    Of a place that is a whole cluster, (class, component) of all that link with another
+    class; of a pair of parts the links between classes."""
     place, rows = None, []
 
-    def links() -> pa.RecordBatch:
-        seen = {r[1]: r for r in rows}.values()
-        side, cls, label, members = zip(*seen)
+    def found() -> pa.RecordBatch:
+        whole, side, cls, label, members = zip(*{r[2]: r for r in rows}.values())
         sets = [np.frombuffer(m, np.uint64) for m in members]
-        found = spanning_links(sets, np.array(label, np.int64), np.array(side)) if len(sets) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([cls[i] for i, _ in found], pa.int64()),
-                                           pa.array([cls[j] for _, j in found], pa.int64())], ["a", "b"])
+        links = spanning_links(sets, np.array(label, np.int64), np.array(side)) if len(sets) > 1 else []
+        pairs = [(cls[i], cls[j]) for i, j in links]
+        if whole[0]:
+            up: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while (y := up.get(x, x)) != x:
+                    x = y
+                return x
+
+            for x, y in pairs:
+                x, y = sorted((top(x), top(y)))
+                up[y] = up[x] = x
+            pairs = [(x, top(x)) for x in up]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([bool(whole[0])] * len(pairs), pa.bool_()), pa.array([x for x, _ in pairs], pa.int64()),
+             pa.array([y for _, y in pairs], pa.int64())], ["whole", "a", "b"])
 
     for batch in batches:
-        keys = zip(*(batch.column(i).to_pylist() for i in range(4)))
-        for (here, side, cls, label), raw in zip(keys, batch.column(4)):
+        keys = zip(*(batch.column(i).to_pylist() for i in range(5)))
+        for (here, whole, side, cls, label), raw in zip(keys, batch.column(5)):
             if here != place:
                 if rows:
-                    yield links()
+                    yield found()
                 place, rows = here, []
-            rows.append((side, cls, label, raw.as_buffer().to_pybytes()))
+            rows.append((whole, side, cls, label, raw.as_buffer().to_pybytes()))
     if rows:
-        yield links()
+        yield found()
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,24 +317,38 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     clusters = components(block.join(least, "col").where("a <> cls").select("a", F.col("cls").alias("b")))
     members = clusters.select(F.col("node").alias("cls"), F.col("component").alias("cluster")).join(
         classes.select("cls", F.col("n").cast("long").alias("n"), F.col("least_id").alias("_id")), "cls").checkpoint()
-    large = (members.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("weight"))
-             .where((F.col("rows") > ROWS) | (F.col("weight") > WEIGHT)).select("cluster").checkpoint())
-    small = members.join(large, "cluster", "left_anti")
-    moves = small.select(F.col("cluster").alias("place"), F.lit(0).alias("side"), "cls", F.col("cls").alias("label"))
+    size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("weight"))
+    large = (size.where((F.col("rows") > ROWS) | (F.col("weight") > WEIGHT))
+             .withColumn("huge", (F.col("rows") > STAR_FROM * ROWS) | (F.col("weight") > STAR_FROM * WEIGHT))
+             .select("cluster", "huge").checkpoint())
+    n_large, n_huge = large.agg(F.count(F.lit(1)), F.count_if("huge")).first()
+    small = members.join(large, "cluster", "left_anti") if n_large else members
+    moves = small.select(F.col("cluster").alias("place"), F.lit(True).alias("whole"), F.lit(0).alias("side"), "cls",
+                         F.col("cls").alias("label"), "_id")
     first = None
-    if large.count():
-        split = members.join(large, "cluster", "left_semi").checkpoint()
-        first = _star_links(docs, classes, block.join(split.select("cls"), "cls", "left_semi"))
-        moves = moves.union(_places_of_parts(split.select("cls", "cluster", "n"), components(first)))
-    moves = moves.join(members.select("cls", "_id"), "cls").checkpoint()
-    ids, asked = moves.select("_id").distinct(), moves.select("place", "side", "cls", "label")
+    if n_large:
+        split = members.join(large, "cluster").checkpoint()
+        known = docs.sparkSession.createDataFrame([], "node long, component long")
+        if n_huge:
+            first = _star_links(docs, classes, block.join(split.where("huge").select("cls"), "cls", "left_semi"))
+            known = components(first)
+        parts = _places_of_parts(split.select("cls", "cluster", "n"), known)
+        moves = moves.union(parts.join(split.select("cls", "_id"), "cls").select(
+            "place", F.lit(False).alias("whole"), "side", "cls", "label", "_id"))
+    moves = moves.checkpoint()
+    ids, asked = moves.select("_id").distinct(), moves.drop("_id")
     if moves.count() <= BROADCAST_CLASSES:
         ids, asked = F.broadcast(ids), F.broadcast(asked)
     sets = (_texts(docs).join(ids, "_id", "left_semi").select("_text")
             .mapInArrow(_set_rows, "cls long, members binary"))
-    links = (sets.join(asked, "cls").select("place", "side", "cls", "label", "members")
-             .repartition("place").sortWithinPartitions("place").mapInArrow(_products, "a long, b long").checkpoint())
-    return components(links if first is None else links.union(first))
+    out = (sets.join(asked, "cls").select("place", "whole", "side", "cls", "label", "members")
+           .repartition("place").sortWithinPartitions("place").mapInArrow(_products, "whole boolean, a long, b long")
+           .checkpoint())
+    done = out.where("whole").select(F.col("a").alias("node"), F.col("b").alias("component"))
+    if not n_large:
+        return done
+    links = out.where("not whole").select("a", "b")
+    return done.union(components(links if first is None else links.union(first)))
 
 
 def grouped(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@ import collections
 import random
 import re
 
+import pytest
+
 from prepkit.llm import ngram_join as J
 from prepkit.llm.components import components
 
@@ -71,10 +73,12 @@ def test_many_holders_of_a_column(spark, monkeypatch):
     assert result(df) == brute(rows)
 
 
-def test_large_clusters_in_parts(spark, monkeypatch):
+@pytest.mark.parametrize("star_from", [1, 64])
+def test_large_clusters_in_parts(spark, monkeypatch, star_from):
     monkeypatch.setattr(J, "ROWS", 5)
     monkeypatch.setattr(J, "WEIGHT", 600)
     monkeypatch.setattr(J, "STAR", 3)
+    monkeypatch.setattr(J, "STAR_FROM", star_from)
     rows = families(3)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     assert result(df) == brute(rows)
