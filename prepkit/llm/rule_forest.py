@@ -1,8 +1,11 @@
 """Operator 10: quality rules and an isolation forest over their statistics.
 
-The statistics of every text are counted exactly.  A forest of random splits is
-grown on a bounded sample of labelled rows; a text that few splits separate from
-the sample is an anomaly.  The threshold on the anomaly score is calibrated on the
+The statistics of every text are counted exactly.  A forest of random splits over all
+their ratios is grown on the good rows of a bounded sample of labelled rows; a text that
+few splits separate from them is an anomaly.  Ratios are measured in units of their
+spread among these rows, and the wider a ratio of a node the likelier it is cut, also
+between the rows of the node and a text beyond them: one ratio far off is enough, and
+what varies little costs nothing.  The threshold on the anomaly score is calibrated on the
 same labelled rows: it rejects as many low-quality rows as possible while it
 loses at most ``GOOD_LOSS`` of the good ones.
 """
@@ -24,9 +27,9 @@ TREES = 100
 TREE_ROWS = 256
 GOOD_LOSS = 0.002
 MIN_WORDS = 20
-#: features of the forest: ratios that rules look at and that vary little among good texts
-USED = ["symbols", "symbols_a_char", "pipes", "equal_next", "distinct_words"]
-_COLUMNS = [S.RATIOS.index(f) for f in USED]
+LEAST_SPREAD = 0.05     #: of a ratio, so that one that is the same in all good rows has a unit
+SCORED_ROWS = 2048      #: scored at a time
+_ENDS = (1, 99)         #: percentiles between which the spread is measured
 
 
 def _expected_depth(n: np.ndarray) -> np.ndarray:
@@ -44,54 +47,72 @@ class Forest:
     cut: np.ndarray
     left: np.ndarray
     depth: np.ndarray      #: of a leaf, with the expected rest for the rows left in it
+    low: np.ndarray        #: least value of each feature among the rows of a node
+    high: np.ndarray
+    unit: np.ndarray       #: of each feature
     roots: np.ndarray
     levels: int
     norm: float
     threshold: float = 1.0
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """Anomaly in 0..1 of each row, 2 ** (- mean path / expected path)."""
+        """Anomaly in 0..1 of each row, 2 ** (- mean expected path / expected path of a sampled row)."""
+        parts = [self._score(x[i:i + SCORED_ROWS] / self.unit) for i in range(0, len(x), SCORED_ROWS)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _score(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
         rows = np.arange(len(x))
+        span = (self.high - self.low).sum(1)
         for root in self.roots:
             node = np.full(len(x), root)
-            for _ in range(self.levels):
+            together = np.ones(len(x))      # odds that no cut so far went between the row and the node's rows
+            for level in range(self.levels):
                 inner = self.left[node] >= 0
+                beyond = (np.maximum(self.low[node] - x, 0) + np.maximum(x - self.high[node], 0)).sum(1)
+                apart = np.where(inner, beyond / np.maximum(beyond + span[node], 1e-300), 0.0)
+                total += together * apart * (level + 1)
+                together *= 1 - apart
                 right = x[rows, self.feature[node]] >= self.cut[node]
                 node = np.where(inner, self.left[node] + right, node)
-            total += self.depth[node]
+            total += together * self.depth[node]
         return 2.0 ** (-total / len(self.roots) / self.norm)
 
 
 def grow(x: np.ndarray, seed: int = 7) -> Forest:
     """Isolation trees over samples of TREE_ROWS rows of x."""
     rng = np.random.default_rng(seed)
-    feature, cut, left, depth, roots = [], [], [], [], []
+    ends = np.percentile(x, _ENDS, axis=0)
+    unit = np.maximum(ends[1] - ends[0], LEAST_SPREAD)
+    x = x / unit
+    feature, cut, left, depth, roots, lows, highs = [], [], [], [], [], [], []
     size = min(TREE_ROWS, len(x))
     levels = max(1, int(np.ceil(np.log2(max(size, 2)))))
     for _ in range(TREES):
         rows = x[rng.choice(len(x), size, replace=False)]
         roots.append(len(left))
         todo = [(len(left), rows, 0)]
-        for part in (feature, cut, left, depth):
+        for part in (feature, cut, left, depth, lows, highs):
             part.append(0)
         while todo:
             at, rows, level = todo.pop()
             low, high = rows.min(0), rows.max(0)
-            open_ = np.flatnonzero(high > low)
-            if level >= levels or len(rows) < 2 or not len(open_):
+            lows[at], highs[at] = low, high
+            wide = high - low
+            if level >= levels or len(rows) < 2 or not wide.any():
                 feature[at], cut[at], left[at] = 0, 0.0, -1
                 depth[at] = level + float(_expected_depth(len(rows)))
                 continue
-            f = int(rng.choice(open_))
+            f = int(rng.choice(len(wide), p=wide / wide.sum()))
             # (low, high]: both sides get rows
-            c = float(high[f] - rng.random() * (high[f] - low[f]))
+            c = float(high[f] - rng.random() * wide[f])
             feature[at], cut[at], left[at], depth[at] = f, c, len(left), 0.0
             for side in (rows[rows[:, f] < c], rows[rows[:, f] >= c]):
                 todo.append((len(left), side, level + 1))
-                for part in (feature, cut, left, depth):
+                for part in (feature, cut, left, depth, lows, highs):
                     part.append(0)
     return Forest(np.array(feature), np.array(cut, float), np.array(left), np.array(depth, float),
+                  np.array(lows, float), np.array(highs, float), unit,
                   np.array(roots), levels, max(float(_expected_depth(size)), 1e-9))
 
 
@@ -106,13 +127,11 @@ def calibrated(score: np.ndarray, good: np.ndarray) -> float:
 
 def fit(columns: dict[str, np.ndarray], quality: np.ndarray) -> Forest | None:
     """The forest of a labelled sample; None without good rows (then only the base rules judge)."""
-    x = S.ratios(columns)[:, _COLUMNS]
-    base = base_failed(columns)
-    use = ~base
-    good = use & (quality == 1)
+    x = S.ratios(columns)
+    good = ~base_failed(columns) & (quality == 1)
     if not good.any():
         return None
-    forest = grow(x[use])
+    forest = grow(x[good])
     forest.threshold = calibrated(forest.score(x[good]), np.ones(int(good.sum()), bool))
     return forest
 
@@ -141,7 +160,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
             if forest is None or not len(failed):
                 score, odd = np.zeros(len(failed)), np.zeros(len(failed), bool)
             else:
-                score = forest.score(S.ratios(c)[:, _COLUMNS])
+                score = forest.score(S.ratios(c))
                 odd = score > forest.threshold
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(batch.column(f) for f in names), pa.array(failed), pa.array(score),

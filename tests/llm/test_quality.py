@@ -92,3 +92,25 @@ def test_gam_learns_an_interaction():
     assert (0, 1) in model.pairs
     assert np.mean((model.score(x[3000:]) > 0.5) == y[3000:]) > 0.9
     assert S.ratios({f: np.zeros(2) for f in S.FIELDS}).shape == (2, len(S.RATIOS))
+
+
+def test_forest_judges_every_statistic():
+    """A text that is far off in one statistic only is odder than all good texts, whichever it is."""
+    rng = np.random.default_rng(5)
+    n = 3000
+    words = rng.integers(100, 400, n)
+    c = {"n_words": words, "word_chars": words * 5 + rng.integers(-30, 30, n), "n_symbols": np.zeros(n, int),
+         "n_dup_lines": np.zeros(n, int), "n_repeat_words": np.zeros(n, int), "n_lines": words // 20,
+         "n_distinct_words": words * 4 // 5, "n_equal_next": words // 200, "n_pipes": np.zeros(n, int),
+         "n_digits": rng.integers(0, 20, n), "n_upper": words // 12, "n_stops": words // 7, "max_word": rng.integers(9, 20, n)}
+    forest = rule_forest.fit(c, np.ones(n, int))
+    plain = {"n_words": 200, "word_chars": 1000, "n_symbols": 0, "n_dup_lines": 0, "n_repeat_words": 0, "n_lines": 10,
+             "n_distinct_words": 160, "n_equal_next": 1, "n_pipes": 0, "n_digits": 10, "n_upper": 16, "n_stops": 28, "max_word": 14}
+    off = [{}, {"n_dup_lines": 8}, {"n_repeat_words": 50}, {"n_digits": 950}, {"n_upper": 200}, {"max_word": 900},
+           {"n_symbols": 150}, {"word_chars": 3000}, {"n_words": 40_000, "word_chars": 200_000, "n_lines": 2000,
+           "n_distinct_words": 32_000, "n_equal_next": 200, "n_digits": 2000, "n_upper": 3300, "n_stops": 5700}]
+    rows = [plain | x for x in off]
+    columns = {f: np.array([r[f] for r in rows]) for f in S.FIELDS}
+    assert not rule_forest.base_failed(columns).any()
+    odd_ = forest.score(S.ratios(columns)) > forest.threshold
+    assert odd_.tolist() == [False] + [True] * 8
