@@ -3,17 +3,19 @@
 Fixed rules decide what they fit.  The other urls are judged by what the rules say
 of urls built alike:
 
-1.  Per host a tree of path segments grows level by level.  A segment that looks like
-    an id, or is one of very many rare segments of its node, becomes a wildcard;
-    what is deeper than ``LEVELS`` is one wildcard.
+1.  Per host a tree of path segments grows level by level.  A segment keeps its own branch
+    where its urls give evidence of their own: ``LABELLED`` of them are decided by rules,
+    or there are ``ENOUGH`` of them, or their share of blocked ones differs significantly from
+    that of the rest of the node.  All others, and segments that look like an id and have
+    no ``LABELLED`` decided urls, are one wildcard.  How large the node is, and how many
+    children it has, does not matter.
 2.  Branches that differ in their first literal segment only, and whose shares of
     blocked urls do not differ significantly, are merged.
 3.  A template is rejected if the smoothed share of blocked urls among its labelled
     ones (those that a rule decides) reaches ``REJECT_AT``; without labelled urls it
     is allowed.
 
-All steps are DataFrame aggregations and joins; what is joined to the urls is the
-table of literal segments, whose size per node is bounded by 1 / ``SHARE`` + ``KIDS``.
+All steps are DataFrame aggregations and joins.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ from pyspark.sql import functions as F
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"),
          ("block", "com/de/")]
 LEVELS = 4
-KIDS = 32           #: a node with no more children keeps them all
-SHARE = 0.02        #: in larger nodes a child is literal from this share of the node's urls
+LABELLED = 5        #: a child with so many urls that a rule decides is literal
+ENOUGH = 20         #: a child with so many urls is literal, but for ids
+TESTED = 3          #: a child's share of blocked urls is tested from so many decided ones
 REJECT_AT = 0.8
 PRIOR = 4.0         #: pseudo urls with the overall share of blocked ones
 SIGNIFICANT = 1.96  #: standard errors
@@ -53,16 +56,28 @@ def rule_column(host: Column, path: Column, rules: list[tuple[str, str]], what:
     return out
 
 
+def _literal(rows: DataFrame) -> DataFrame:
+    """node, seg of the children that are branches of their own."""
+    counts = rows.groupBy("node", "seg").agg(
+        F.count(F.lit(1)).alias("urls"), F.count("said").alias("n"), F.count_if(F.col("said") == "block").alias("b"))
+    nodes = counts.groupBy("node").agg(F.sum("n").alias("n0"), F.sum("b").alias("b0"))
+    rest = (counts.where((F.col("n") >= TESTED) | (F.col("urls") >= ENOUGH)).join(nodes, "node")
+            .withColumn("n0", F.col("n0") - F.col("n")).withColumn("b0", F.col("b0") - F.col("b")))
+    # two proportions, with the correction for small counts
+    pooled = (F.col("b") + F.col("b0")) / (F.col("n") + F.col("n0"))
+    both = 1 / F.col("n") + 1 / F.col("n0")
+    differs = F.abs(F.col("b") / F.col("n") - F.col("b0") / F.col("n0")) - both / 2 > SIGNIFICANT * F.sqrt(pooled * (1 - pooled) * both)
+    differs = F.when((F.col("n") >= TESTED) & (F.col("n0") > 0), differs).otherwise(F.lit(False))
+    own = (F.col("n") >= LABELLED) | (~F.col("seg").rlike(ID_LIKE) & ((F.col("urls") >= ENOUGH) | differs))
+    return rest.where(own).select("node", "seg", F.lit(True).alias("literal"))
+
+
 def _templates(urls: DataFrame) -> DataFrame:
-    """Adds ``template`` (segments joined by /) to rows of host, segments."""
+    """Adds ``template`` (segments joined by /) to rows of host, segments, said."""
     urls = urls.withColumn("node", F.col("host"))
     for level in range(LEVELS):
         urls = urls.withColumn("seg", F.get("segments", F.lit(level)))
-        named = urls.where("seg is not null").where(~F.col("seg").rlike(ID_LIKE))
-        counts = named.groupBy("node", "seg").agg(F.count(F.lit(1)).alias("n"))
-        nodes = counts.groupBy("node").agg(F.count(F.lit(1)).alias("kids"), F.sum("n").alias("total"))
-        literal = (counts.join(nodes, "node").where((F.col("kids") <= KIDS) | (F.col("n") >= SHARE * F.col("total")))
-                   .select("node", "seg", F.lit(True).alias("literal")))
+        literal = _literal(urls.where("seg is not null"))
         urls = urls.join(literal, ["node", "seg"], "left").withColumn(
             "node", F.when(F.col("seg").isNull(), F.col("node")).otherwise(
                 F.concat("node", F.lit("/"), F.when(F.col("literal"), F.col("seg")).otherwise("*")))).drop("literal").checkpoint()

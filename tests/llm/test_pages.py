@@ -111,3 +111,15 @@ def test_rare_segments_become_wildcards(spark):
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = {r.template for r in url_filter.filter_urls(df).collect()}
     assert got == {"a.test/*/x", "a.test/about/x"}
+
+
+def test_small_sections_of_a_large_node_keep_their_own_verdict(spark):
+    """A blocked section of 1.9 % stays apart whether its host has 32 sections or many more."""
+    for sections in (31, 32, 60):
+        rules = [("block", "hot.test/spam/1")] + [("allow", f"hot.test/part-{chr(97 + k // 26)}{chr(97 + k % 26)}/") for k in range(sections)]
+        urls = [f"http://hot.test/spam/{i}" for i in [*range(100, 130), *range(200, 208)]]
+        urls += [f"http://hot.test/part-{chr(97 + i % sections // 26)}{chr(97 + i % sections % 26)}/{i}" for i in range(1962)]
+        df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+        got = {urls[r.page_id]: r for r in url_filter.filter_urls(df, rules).collect()}
+        assert {(r.template, r.verdict) for u, r in got.items() if "/spam/" in u} == {("hot.test/spam/*", "block")}, sections
+        assert {r.verdict for u, r in got.items() if "/part-" in u} == {"allow"}
