@@ -15,7 +15,8 @@ of urls built alike:
     ones (those that a rule decides) reaches ``REJECT_AT``; without labelled urls it
     is allowed.
 
-All steps are DataFrame aggregations and joins.
+All segments of a path are looked at, however deep.  All steps are DataFrame
+aggregations and joins.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ from pyspark.sql import functions as F
 #: (verdict, host and path) of the rules (fixed values of the contract)
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"),
          ("block", "com/de/")]
-LEVELS = 4
 LABELLED = 5        #: a child with so many urls that a rule decides is literal
 ENOUGH = 20         #: a child with so many urls is literal, but for ids
 TESTED = 3          #: a child's share of blocked urls is tested from so many decided ones
@@ -73,16 +73,28 @@ def _literal(rows: DataFrame) -> DataFrame:
 
 
 def _templates(urls: DataFrame) -> DataFrame:
-    """Adds ``template`` (segments joined by /) to rows of host, segments, said."""
-    urls = urls.withColumn("node", F.col("host"))
-    for level in range(LEVELS):
-        urls = urls.withColumn("seg", F.get("segments", F.lit(level)))
-        literal = _literal(urls.where("seg is not null"))
-        urls = urls.join(literal, ["node", "seg"], "left").withColumn(
-            "node", F.when(F.col("seg").isNull(), F.col("node")).otherwise(
-                F.concat("node", F.lit("/"), F.when(F.col("literal"), F.col("seg")).otherwise("*")))).drop("literal").checkpoint()
-    return urls.withColumn("template", F.when(F.size("segments") > LEVELS, F.concat("node", F.lit("/**")))
-                           .otherwise(F.col("node"))).drop("node", "seg")
+    """Adds ``template`` (segments joined by /) to rows of host, segments, said.
+
+    Ends when no url has segments left.  Below a node with fewer urls than any literal child
+    has, all segments are wildcards, so its urls are finished at once.
+    """
+    rows, level, finished = urls.withColumn("node", F.col("host")), 0, None
+    while True:
+        # checkpointed: an aggregation in the stage of the join would keep a large node from being split
+        grows = (rows.groupBy("node").agg(F.count(F.lit(1)).alias("urls"), F.count("said").alias("n"))
+                 .where((F.col("urls") >= ENOUGH) | (F.col("n") >= TESTED)).select("node", F.lit(True).alias("grows")).checkpoint())
+        rows = rows.join(grows, "node", "left").withColumn("seg", F.get("segments", F.lit(level))).checkpoint()
+        more = F.col("grows").isNotNull() & F.col("seg").isNotNull()
+        ended = rows.where(~more).withColumn(
+            "template", F.expr(f"concat(node, repeat('/*', greatest(size(segments) - {level}, 0)))")).drop("node", "seg", "grows")
+        finished = ended if finished is None else finished.union(ended)
+        rows = rows.where(more).drop("grows")
+        if rows.isEmpty():
+            return finished
+        rows = rows.join(_literal(rows), ["node", "seg"], "left")
+        name = F.when(F.col("literal"), F.col("seg")).otherwise("*")
+        rows = rows.withColumn("node", F.concat("node", F.lit("/"), name)).select(*urls.columns, "node")
+        level += 1
 
 
 def _judged(rows: DataFrame) -> DataFrame:

@@ -123,3 +123,19 @@ def test_small_sections_of_a_large_node_keep_their_own_verdict(spark):
         got = {urls[r.page_id]: r for r in url_filter.filter_urls(df, rules).collect()}
         assert {(r.template, r.verdict) for u, r in got.items() if "/spam/" in u} == {("hot.test/spam/*", "block")}, sections
         assert {r.verdict for u, r in got.items() if "/part-" in u} == {"allow"}
+
+
+def test_deep_paths_are_judged_by_all_their_segments(spark):
+    rules = [("block", "deep.test/a/b/c/d/spam/x/1"), ("allow", "deep.test/a/b/c/d/docs/y/1")]
+    urls = [f"http://deep.test/a/b/c/d/{s}/{i}/e/f" for s in ("spam/x", "docs/y") for i in range(100, 260)]
+    urls += ["http://deep.test/" + "z/" * 500, "http://deep.test/a/b"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = url_filter.filter_urls(df, rules).collect()
+    got = {urls[r.page_id]: r for r in rows}
+    assert len(got) == len(rows) == len(urls)
+    for r in rows:
+        if "/spam/" in urls[r.page_id]:
+            assert (r.template, r.verdict) == ("deep.test/a/b/c/d/spam/x/*/e/f", "block")
+        elif "/docs/" in urls[r.page_id]:
+            assert (r.template, r.verdict) == ("deep.test/a/b/c/d/docs/y/*/e/f", "allow")
+    assert got["http://deep.test/" + "z/" * 500].template == "deep.test" + "/*" * 500
