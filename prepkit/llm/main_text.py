@@ -5,8 +5,10 @@ lines (one per block of the page) with text and a count of tags; text inside
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 comments is dropped as it passes.  The ratio of text to tags per line is smoothed
 with a Gaussian kernel and clustered into two by a threshold; lines above it mark
-the content regions, and a region (an article, the main element, or else the
-container of such lines) is taken whole, so that its short lines stay.
+the content regions, and every region with such a line (an article, the main element, or
+the container of such lines outside them) is taken whole, so that its short lines stay.
+What only a class, id or role names as no content stays dropped unless it holds most of
+the page's text; articles and the main element are never dropped by such a name.
 """
 
 from __future__ import annotations
@@ -36,12 +38,16 @@ OUT_WORDS = re.compile(
     r"breadcrumbs|sidebar|footer|masthead|topbar|comment|comments|disqus|replies|respond|discussion|share|sharing|"
     r"social|related|recommended|subscribe|newsletter|signup|login|search|pagination|pager|toolbar|widget|"
     r"contentinfo|complementary|dialog)(?:[_-]\S*)?|(?:site|page|main)[_-]header", re.I)
+#: comments can be longer than what they comment on, so their length says nothing
+COMMENT_WORDS = re.compile(r"(?:\S*[_-])?(?:comment|comments|disqus|replies|respond|discussion)(?:[_-]\S*)?", re.I)
 CLOSES_P = BLOCKS - {"body", "html", "caption", "dd", "dt", "li", "tbody", "td", "tfoot", "th", "thead", "tr"}
 #: an open element of the key is closed by a sibling of the value
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"},
              "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 REGIONS = frozenset(["article", "main"])
+#: elements that hold blocks of text
+CONTAINERS = frozenset("center details div fieldset section".split())
 
 
 #: tags without attributes, outside the elements whose content is no markup
@@ -51,19 +57,21 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes noscrip
 
 
 class _Lines(HTMLParser):
-    """Events -> lines of [texts, tags, region, characters in links, open elements].
+    """Events -> lines of [texts, tags, region, characters in links, open elements, open containers, doubtful].
 
-    Regions (an article, or the main element) are numbered from 1."""
+    Regions (an article, or the main element) are numbered from 1.  Doubtful are the open
+    elements that their names alone call no content."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[list] = [[[], 0, 0, 0, ()]]
+        self.lines: list[list] = [[[], 0, 0, 0, (), (), ()]]
         self.open: list[tuple[str, int, int, int]] = []     #: (tag, whether its text is out, region, number)
         self.elements = 0
         self.links = 0
         self.out = 0
         self.region = 0
         self.regions = 0
+        self.doubtful: tuple[int, ...] = ()
 
     def updatepos(self, i, j):
         return j                    # nobody asks for line numbers
@@ -85,27 +93,35 @@ class _Lines(HTMLParser):
     def _break(self):
         line = self.lines[-1]
         if line[0]:
-            self.lines.append([[], 0, self.region, 0, ()])
+            self.lines.append([[], 0, self.region, 0, (), (), self.doubtful])
         else:
-            line[2] = self.region
+            line[2], line[6] = self.region, self.doubtful
 
-    def _leaves(self, tag: str, attrs) -> bool:
+    def _leaves(self, tag: str, attrs) -> tuple[bool, bool]:
+        """Whether the text of an element is out, and whether only its length can save it."""
         if tag in OUT:
-            return True
+            return True, False
         if tag in ("body", "html"):
-            return False
+            return False, False
+        named = []
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-            if value and name in ("class", "id", "role") and any(OUT_WORDS.fullmatch(x) for x in value.split()):
-                return True
-        return False
+                return True, False
+            if value and name in ("class", "id", "role"):
+                named += [x for x in value.split() if OUT_WORDS.fullmatch(x)]
+        if not named or tag in REGIONS:
+            return False, False
+        sure = tag not in BLOCKS or any(COMMENT_WORDS.fullmatch(x) for x in named)
+        return sure, not sure
 
     def _pop(self, at: int):
         for tag, out, _, _ in self.open[at:]:
             self.out -= out
             self.links -= tag == "a"
         self.region = self.open[at][2]
+        if self.doubtful:
+            first = self.open[at][3]
+            self.doubtful = tuple(x for x in self.doubtful if x < first)
         del self.open[at:]
 
     def _close_implied(self, tag: str):
@@ -134,7 +150,7 @@ class _Lines(HTMLParser):
             if tag == "br":
                 self.handle_data("\n")
             return
-        out = self._leaves(tag, attrs)
+        out, doubtful = self._leaves(tag, attrs)
         self.elements += 1
         self.links += tag == "a"
         if self.out and tag in HEADINGS and self.region and self.open[-1][:2] == ("header", 1) and self.out == 1:
@@ -144,6 +160,9 @@ class _Lines(HTMLParser):
             return
         self.open.append((tag, int(out), self.region, self.elements))
         self.out += out
+        if doubtful:
+            self.doubtful += (self.elements,)
+            self.lines[-1][6] = self.doubtful
         if tag in REGIONS and not self.region and not self.out:
             self.regions += 1
             self.region = self.regions
@@ -168,7 +187,7 @@ class _Lines(HTMLParser):
                 self.lines[-1][1] += 1
                 self._pop(i)
                 if tag in BLOCKS:
-                    self.lines[-1][2] = self.region
+                    self.lines[-1][2], self.lines[-1][6] = self.region, self.doubtful
                 return
             if self.open[i][0] in REGIONS and tag not in BLOCKS:
                 return
@@ -178,6 +197,7 @@ class _Lines(HTMLParser):
             line = self.lines[-1]
             if not line[0] and not self.region:
                 line[4] = tuple(x[3] for x in self.open if x[0] in BLOCKS)
+                line[5] = tuple(x[3] for x in self.open if x[0] in CONTAINERS)
             line[0].append(data)
             if self.links:
                 line[3] += len(data)
@@ -206,6 +226,39 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def _around(paths: list[tuple]) -> tuple:
+    """The innermost element around all paths."""
+    around = paths[0]
+    for path in paths[1:]:
+        n = next((i for i, (x, y) in enumerate(zip(around, path)) if x != y), min(len(around), len(path)))
+        around = around[:n]
+    return around
+
+
+def _content(lines: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Length of each line, and whether its smoothed ratio is in the upper cluster."""
+    lengths = np.array([len(x[0]) for x in lines], float)
+    smooth = ratios(lengths, np.array([x[1] for x in lines], float))
+    return lengths, smooth >= threshold(smooth)
+
+
+def _without_doubtful(lines: list[tuple]) -> list[tuple]:
+    """The lines outside doubtful elements, and inside those that hold most of the text and of the
+    content lines while no article elsewhere holds a content line or a line as long as one."""
+    doubtful = {e for x in lines for e in x[6]}
+    if not doubtful:
+        return lines
+    lengths, content = _content(lines)
+    told = (np.array([x[2] for x in lines]) > 0) & (content | (lengths >= threshold(lengths)))
+    saved = set()
+    for e in doubtful:
+        inside = np.array([e in x[6] for x in lines])
+        if (2 * lengths[inside].sum() > lengths.sum() and 2 * lengths[inside & content].sum() > lengths[content].sum()
+                and not (told & ~inside).any()):
+            saved.add(e)
+    return [x for x in lines if saved.issuperset(x[6])]
+
+
 def extract(html: str) -> str:
     """Blocks of the content regions in page order, joined by an empty line."""
     if not html:
@@ -214,27 +267,27 @@ def extract(html: str) -> str:
     parser.feed(html)
     parser.close()
     lines = [(" ".join("".join(x[0]).split()), *x[1:]) for x in parser.lines]
-    lines = [x for x in lines if x[0]]
+    lines = _without_doubtful([x for x in lines if x[0]])
     if not lines:
         return ""
-    lengths = np.array([len(x[0]) for x in lines], float)
+    lengths, content = _content(lines)
     region = np.array([x[2] for x in lines])
-    smooth = ratios(lengths, np.array([x[1] for x in lines], float))
-    content = smooth >= threshold(smooth)
+    links = np.array([x[3] for x in lines]) > 0.5 * lengths
     if region.any():
-        # content regions are whole articles; where none stands out, the one with most text
+        # whole articles with content lines, and whole containers of such lines outside articles
         chosen = set(region[content & (region > 0)].tolist())
-        if not chosen:
+        outside = content & ~links & (region == 0)
+        if not chosen and not outside.any():
             chosen = {int(np.argmax(np.bincount(region, np.where(region > 0, lengths, 0))))}
-        keep = [x[2] in chosen for x in lines]
+        keep = outside | np.isin(region, list(chosen))
+        if outside.any():
+            paths = [lines[i][5] for i in np.flatnonzero(outside)]
+            # lines of different parts of the page have no container in common but the page
+            around = {_around(paths)} if _around(paths) else set(paths) - {()}
+            keep |= (region == 0) & ~links & np.array([any(x[5][:n] in around for n in range(1, len(x[5]) + 1)) for x in lines])
     else:
         # the innermost element around all content lines, without its lists of links
-        paths = [lines[i][4] for i in np.flatnonzero(content)]
-        around = paths[0]
-        for path in paths[1:]:
-            n = next((i for i, (x, y) in enumerate(zip(around, path)) if x != y), min(len(around), len(path)))
-            around = around[:n]
-        links = np.array([x[3] for x in lines]) > 0.5 * lengths
+        around = _around([lines[i][4] for i in np.flatnonzero(content)])
         keep = np.array([x[4][:len(around)] == around for x in lines]) & (content | ~links)
     return "\n\n".join(x[0] for x, k in zip(lines, keep) if k)
 

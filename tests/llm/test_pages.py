@@ -28,6 +28,32 @@ def test_without_article():
         "Head", "A paragraph that is long enough to stand out as content of the page.", "End."]
 
 
+LONG_P = "<p>A paragraph of the body that is long enough to stand out as content of the page, %s in words.</p>"
+
+
+def test_content_outside_articles_stays():
+    """Articles are cards only: the body in a div is the content; a long article and a long div both stay."""
+    body = "<div class=body><h1>Head</h1>" + "".join(LONG_P % i for i in range(4)) + "<h2>Short</h2>" + LONG_P % "last" + "</div>"
+    cards = "<div><article class=card><a href=a>Card one</a></article><article class=card><p>Card two</p></article></div>"
+    for page in (f"<body>{body}{cards}</body>", f"<body>{cards}{body}</body>"):
+        got = main_text.extract(page).split("\n\n")
+        assert [x[:5] for x in got] == ["Head", *["A par"] * 4, "Short", "A par"]
+    both = f"<body><article><h1>Title</h1>{LONG_P % 'x'}{LONG_P % 'y'}</article>{body}</body>"
+    assert len(main_text.extract(both).split("\n\n")) == 10
+
+
+def test_class_words_do_not_drop_the_content():
+    inner = "<h1>Head</h1>" + LONG_P % "one" + LONG_P % "two"
+    for page in (f"<article class='post category-social'>{inner}</article>", f"<main class='has widget'>{inner}</main>",
+                 f"<div class='content-widget'>{inner}</div>", f"<div class='content-widget'><article>{inner}</article></div>"):
+        got = main_text.extract(f"<body>{page}<div class=social>Share this</div><div>Foot</div></body>").split("\n\n")
+        assert got[0] == "Head" and len(got) == 3, page
+    ad = "<div class=ad>" + LONG_P % "of an advert" * 5 + "</div>"
+    comments = "<div id=comments>" + LONG_P % "of a reader" * 9 + "</div>"
+    assert "advert" not in main_text.extract(f"<body>{ad}<article>{inner}</article></body>")
+    assert "reader" not in main_text.extract(f"<body><div class=post>{inner}</div>{comments}</body>")
+
+
 def test_broken_pages():
     assert main_text.extract("") == ""
     assert main_text.extract("<p>never closed") == "never closed"
