@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 LONG = 13            #: words; of a passage of 2 to 4 lines and over 50 words one line at least is so long
-MIN_WORDS = 50       #: passages of more words are removed
+MIN_WORDS = 50       #: passages of more words are removed; words stand between space and \\t-\\r
 PRIME = 2147483647
 NO_ID = -2**63
 
@@ -44,9 +44,16 @@ def _lines(docs: DataFrame) -> DataFrame:
 BROADCAST_DOCS = 200_000
 
 
+#: lines whose words are not their blanks plus one; no pattern, which would copy every line
+ODD_BLANKS = "y = '' or startswith(y, ' ') or endswith(y, ' ') or " + " or ".join(
+    f"contains(y, '{x}')" for x in ("  ", "\t", "\v", "\f", "\r"))
+
+
 def _words(lines: str) -> str:
-    """Words of each line: blanks plus one."""
-    return f"transform({lines}, y -> octet_length(y) - octet_length(replace(y, ' ', '')) + 1)"
+    """Words of each line: runs of anything but space and \\t-\\r.  Only lines with odd blanks are split."""
+    split = r"size(filter(split(y, '[ \\t-\\r]+'), w -> w <> ''))"
+    return (f"transform({lines}, y -> if({ODD_BLANKS}, {split}, "
+            "octet_length(y) - octet_length(replace(y, ' ', '')) + 1))")
 
 
 HASHES = "transform(lines, x -> cast(conv(substring(md5(x), 1, 15), 16, 10) as bigint))"
@@ -177,7 +184,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with all their columns, repeated passages cut out of ``text`` (and ``n_chars``
     counted anew); a document that loses all its words goes."""
     rows = cleaned(docs)
-    left = (F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0)
+    left = (F.col("n_removed") == 0) | (F.col("text").rlike(r"[^ \t-\r]"))
     text = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         text["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(

@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import random
+import re
 
 from prepkit.llm import line_dedup as L
 
@@ -129,3 +130,35 @@ def test_real_documents(spark):
     for r in L.line_dedup(docs).collect():
         text = next(t for d, t in rows if d == r.doc_id)
         assert r.text == "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone.get((r.doc_id, text), ())), r.doc_id
+
+
+def words(text):
+    return [w for w in re.split("[\x20\x09-\x0d]", text) if w]
+
+
+def test_words_are_counted_whatever_stands_between_them(spark):
+    lines = ["", " ", "a", "a b", " a  b ", "a\tb c", "\t\t", "a\r", "  a", "a  b", "é\u2028x\x0bz", "a\x0cb", "\u00a0 x", "a "]
+    df = spark.createDataFrame([(x,) for x in lines], "x string")
+    got = [r[0] for r in df.selectExpr(L._words("array(x)") + "[0]").collect()]
+    assert got == [len(words(x)) for x in lines]
+
+
+def test_tabs_padding_and_blank_lines(spark):
+    rnd = random.Random(9)
+    one = line(rnd, 60).replace(" ", "\t")
+    two = line(rnd, 30).replace(" ", "\t") + "\n" + line(rnd, 25).replace(" ", "\t")
+    code = "\n".join(" " * 12 + line(rnd, 5).replace(" ", "   ") for _ in range(4))
+    table = line(rnd, 20).replace(" ", "    ")
+    sparse = ("\n" * 10).join(line(rnd, 4) for _ in range(6))
+    rows = []
+    for k, (text, goes) in enumerate([(one, True), (two, True), (code, False), (table, False), (sparse, False)]):
+        for copy in range(2):
+            rows.append((10 * k + copy, f"{line(rnd, 6)}\n{text}\n{line(rnd, 7)}", text, goes and copy == 1))
+    rows += [(100, "\n\t\n" + one + "\n \n", one, True)]      # no word is left
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r for r in L.line_dedup(df).collect()}
+    for d, text, passage, goes in rows:
+        assert (passage not in got[d].text) == goes, d
+        assert len(words(got[d].text)) == len(words(text)) - got[d].words_removed, d
+        assert got[d].words_removed == (len(words(passage)) if goes else 0), d
+    assert {r.doc_id for r in L.without_repeats(df).collect()} == {r[0] for r in rows} - {100}
