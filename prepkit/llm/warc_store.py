@@ -8,7 +8,8 @@ Two Parquet tables in a shared folder make up an archive:
   its payload.  Of the records of one payload the one with the largest id is a
   ``response``; the others are ``revisit`` records that name it.
 
-``read_records`` joins the two again and gives the records byte for byte.  All of
+``read_records`` joins the two again and gives the records byte for byte; ``read_index``
+puts them together the same way and takes what it returns from them.  All of
 it is DataFrame work; the payload bytes are shuffled once, when written, and the
 copies of a hot payload are merged before that shuffle.
 """
@@ -92,37 +93,54 @@ def _header_field(name: str) -> Column:
     return F.nullif(F.regexp_extract("header", rf"\r\n{name}: ([^\r]*)", 1), F.lit(""))
 
 
+def _joined(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, header, http, payload_digest (as named by the header), record_type, refers_to, sha256,
+    block (what a record holds of its payload) and payload, of every record."""
+    payloads = spark.read.parquet(f"{path}/payloads").select("sha256", "payload")
+    kind = _header_field("WARC-Type")
+    return spark.read.parquet(f"{path}/records").join(payloads, "sha256", "left").select(
+        "page_id", "header", "http", "sha256", "payload", kind.alias("record_type"),
+        F.when(kind == "response", F.col("payload")).otherwise(F.lit(b"")).alias("block"))
+
+
+def _record() -> Column:
+    """The bytes of a whole WARC record."""
+    return F.concat(F.encode("header", "UTF-8"), F.encode("http", "UTF-8"), "block", F.lit(b"\r\n\r\n"))
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """What an archive says of its records, checked against the payload bytes read back.
+    """What an archive says of its records, taken from the reconstructed records.
 
-    page_id, payload_bytes, payload_digest (both of the full payload as stored), record_type,
-    refers_to.  A payload that does not have the digest it is stored under, or a header that
-    names another one, is an error.
+    page_id, payload_bytes, payload_digest (both of the full payload as joined), record_type,
+    refers_to.  Every record is put together from header, HTTP block and payload.  It is an
+    error if a payload is missing or does not have the digest it is stored under or its
+    header names, or if the bytes of a record do not have the lengths that its WARC header
+    and its HTTP header give.
     """
-    stored = spark.read.parquet(f"{path}/payloads").select(
-        "sha256", F.octet_length("payload").cast("long").alias("payload_bytes"),
-        base32_sha1(F.col("payload")).alias("payload_digest"),
-        (F.sha2("payload", 256) == F.col("sha256")).alias("whole"))
-    said = spark.read.parquet(f"{path}/records").select(
-        "page_id", "sha256", _header_field("WARC-Type").alias("record_type"),
-        F.replace(_header_field("WARC-Payload-Digest"), F.lit("sha1:"), F.lit("")).alias("said"),
-        F.regexp_extract("header", r"\r\nWARC-Refers-To: <urn:page:(-?\d+)>", 1).alias("to"))
+    rows = _joined(spark, path).withColumn("record", _record())
+    said = F.replace(_header_field("WARC-Payload-Digest"), F.lit("sha1:"), F.lit(""))
+    at = F.octet_length("header")       # the record's content begins there
+    length = _header_field("Content-Length").cast("long")
+    named = F.regexp_extract("http", r"\r\nContent-Length: (\d+)\r", 1).cast("long")
+    body = F.substring("record", at + F.octet_length("http") + 1, F.octet_length("block"))
+    rows = rows.select(
+        "page_id", "record_type", F.octet_length("payload").cast("long").alias("payload_bytes"),
+        base32_sha1(F.col("payload")).alias("payload_digest"), said.alias("said"),
+        F.regexp_extract("header", r"\r\nWARC-Refers-To: <urn:page:(-?\d+)>", 1).alias("to"),
+        ((F.sha2("payload", 256) == F.col("sha256")) & (body == F.col("block")) & (named == F.octet_length("payload"))
+         & (F.octet_length("record") == at + length + 4)
+         & (F.substring("record", at + length + 1, F.lit(4)) == F.lit(b"\r\n\r\n"))).alias("whole"))
     ok = F.col("whole") & (F.col("said") == F.col("payload_digest"))
-    return said.join(stored, "sha256", "left").select(
+    return rows.select(
         "page_id", F.when(ok, F.col("payload_bytes")).otherwise(
-            F.raise_error(F.lit("a payload does not match its digest")).cast("long")).alias("payload_bytes"),
+            F.raise_error(F.lit("a record does not match its digest or lengths")).cast("long")).alias("payload_bytes"),
         "payload_digest", "record_type",
         F.when(F.col("to") != "", F.col("to")).cast("long").alias("refers_to"))
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """page_id, record (the bytes of the whole WARC record), payload (its full payload)."""
-    payloads = spark.read.parquet(f"{path}/payloads").select("sha256", "payload")
-    own = F.when(F.col("header").startswith("WARC/1.1\r\nWARC-Type: response"), F.col("payload")).otherwise(
-        F.lit(b""))
-    return spark.read.parquet(f"{path}/records").join(payloads, "sha256").select(
-        "page_id", F.concat(F.encode("header", "UTF-8"), F.encode("http", "UTF-8"), own,
-                            F.lit(b"\r\n\r\n")).alias("record"), "payload")
+    return _joined(spark, path).select("page_id", _record().alias("record"), "payload")
 
 
 def oracle_sql() -> str:

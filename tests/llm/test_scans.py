@@ -157,3 +157,16 @@ def test_warc_damage_is_noticed(spark):
     spark.read.parquet(f"{path}/records").write.parquet(f"{broken}/records")
     with pytest.raises(Exception, match="digest"):
         warc_store.read_index(spark, broken).collect()
+
+
+@pytest.mark.parametrize("damage", ["replace(http, 'Content-Length: 2', 'Content-Length: 3') as http", "concat(http, 'x') as http"])
+def test_warc_index_reads_the_whole_records(spark, damage):
+    pages = spark.createDataFrame([(1, "a", "xy"), (2, "b", "xy")], "page_id long, url string, html string")
+    path = warc_store.new_archive(spark)
+    warc_store.write_archive(pages, path)
+    broken = path + "-http"
+    spark.read.parquet(f"{path}/payloads").write.parquet(f"{broken}/payloads")
+    spark.read.parquet(f"{path}/records").selectExpr("page_id", "header", damage, "sha256").write.parquet(f"{broken}/records")
+    assert len(warc_store.read_index(spark, path).collect()) == 2
+    with pytest.raises(Exception, match="lengths"):
+        warc_store.read_index(spark, broken).collect()
