@@ -137,17 +137,20 @@ RATIOS = ["log_words", "word_length", "symbols", "dup_lines", "repeat_words", "d
           "symbols_a_char"]
 
 
+def agreed_labels(labels: DataFrame) -> DataFrame:
+    """doc_id, quality (0 or 1): labels that are null, or contradict each other for one doc_id, are left out."""
+    return (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+            .where("doc_id is not null and quality in (0, 1)").groupBy("doc_id")
+            .agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
+            .where("quality = most").drop("most"))
+
+
 def labelled_sample(stats: DataFrame, labels: DataFrame, bound: int, where: str = "true") -> tuple[dict, np.ndarray]:
     """Statistics and quality (0 or 1) of at most ``bound`` labelled rows, chosen by a hash of doc_id.
 
-    Labels that are null, or contradict each other for one doc_id, are left out.
     The rows that reach the driver are bounded by ``bound``.
     """
-    agreed = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-              .where("doc_id is not null and quality in (0, 1)").groupBy("doc_id")
-              .agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
-              .where("quality = most").drop("most"))
-    rows = (stats.where(where).join(agreed, "doc_id")
+    rows = (stats.where(where).join(agreed_labels(labels), "doc_id")
             .orderBy(F.xxhash64("doc_id"), "doc_id", *FIELDS).limit(bound).toArrow())
     columns = {f: rows.column(f).to_numpy() for f in FIELDS}
     return columns, rows.column("quality").to_numpy().astype(np.int64)

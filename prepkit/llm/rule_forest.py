@@ -5,8 +5,8 @@ their ratios is grown on the good rows of a bounded sample of labelled rows; a t
 few splits separate from them is an anomaly.  Ratios are measured in units of their
 spread among these rows, and the wider a ratio of a node the likelier it is cut, also
 between the rows of the node and a text beyond them: one ratio far off is enough, and
-what varies little costs nothing.  The threshold on the anomaly score is calibrated on the
-same labelled rows: it rejects as many low-quality rows as possible while it
+what varies little costs nothing.  The threshold on the anomaly score is calibrated on
+all labelled rows: it rejects as many low-quality rows as possible while it
 loses at most ``GOOD_LOSS`` of the good ones.
 """
 
@@ -20,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prepkit.functions.stats import exact_quantiles
 from prepkit.llm import docstats as S
 
-SAMPLE_ROWS = 20_000    #: labelled rows that the forest and its threshold are fitted on, at most
+SAMPLE_ROWS = 20_000    #: labelled rows that the forest is grown on, at most
 TREES = 100
 TREE_ROWS = 256
 GOOD_LOSS = 0.002
@@ -53,7 +54,7 @@ class Forest:
     roots: np.ndarray
     levels: int
     norm: float
-    threshold: float = 1.0
+    threshold: float = 1.0      #: for the rows it was grown on; quality_rules takes that of all rows
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Anomaly in 0..1 of each row, 2 ** (- mean expected path / expected path of a sampled row)."""
@@ -151,22 +152,28 @@ def quality_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     """
     stats = S.doc_stats(docs).checkpoint()
     forest = fit(*S.labelled_sample(stats, labels, sample_rows))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
         for batch in batches:
             c = {f: batch.column(f).to_numpy() for f in S.FIELDS}
             failed = base_failed(c)
-            if forest is None or not len(failed):
-                score, odd = np.zeros(len(failed)), np.zeros(len(failed), bool)
-            else:
-                score = forest.score(S.ratios(c))
-                odd = score > forest.threshold
+            score = np.zeros(len(failed)) if forest is None or not len(failed) else forest.score(S.ratios(c))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(batch.column(f) for f in names), pa.array(failed), pa.array(score),
-                 pa.array(~failed & ~odd)],
-                ["doc_id", *names, "base_failed", "anomaly", "kept"])
+                [batch.column("doc_id"), *(batch.column(f) for f in names), pa.array(failed), pa.array(score)],
+                ["doc_id", *names, "base_failed", "anomaly"])
 
-    return stats.select("doc_id", *[F.col(f) for f in S.FIELDS]).mapInArrow(
+    scored = stats.select("doc_id", *[F.col(f) for f in S.FIELDS]).mapInArrow(
         judge, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-               "n_repeat_words long, base_failed boolean, anomaly double, kept boolean")
+               "n_repeat_words long, base_failed boolean, anomaly double")
+    if forest is None:
+        return scored.withColumn("kept", ~F.col("base_failed"))
+    scored = scored.checkpoint()
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= all_good_below(scored, labels)))
+
+
+def all_good_below(scored: DataFrame, labels: DataFrame) -> float:
+    """``calibrated`` over all good labelled rows that pass the base rules, not only a sample."""
+    good = (scored.where("not base_failed").join(S.agreed_labels(labels).where("quality = 1"), "doc_id")
+            .select(F.lit(0).alias("k"), F.col("anomaly").alias("v")))
+    return exact_quantiles(good, [1 - GOOD_LOSS], discrete=True)[0][0]

@@ -114,3 +114,13 @@ def test_forest_judges_every_statistic():
     assert not rule_forest.base_failed(columns).any()
     odd_ = forest.score(S.ratios(columns)) > forest.threshold
     assert odd_.tolist() == [False] + [True] * 8
+
+
+def test_threshold_covers_all_good_rows(spark):
+    """With a forest of few rows the good rows lost are still bounded over all of them."""
+    docs, labels = (spark.read.parquet(f"{SF01}/{t}.parquet") for t in ("documents", "labels"))
+    rows = rule_forest.quality_rules(docs, labels, sample_rows=40).join(labels.where("quality = 1"), "doc_id").where("not base_failed").collect()
+    scores = sorted(r.anomaly for r in rows)
+    allowed = int(len(scores) * rule_forest.GOOD_LOSS)
+    assert sum(not r.kept for r in rows) == allowed
+    assert len(rows) > 300 and all(r.kept == (r.anomaly <= scores[len(scores) - 1 - allowed]) for r in rows)
