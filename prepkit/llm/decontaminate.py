@@ -2,11 +2,12 @@
 
 Items are short, documents long, so what counts is containment: the share of an
 item's shingles that a document holds.  Items are partitioned by their number n of
-shingles.  The sketch of an item is its ``n - ceil(t n) + 1`` smallest shingle hashes: a
+shingles, into classes of n from 2^k to 2^(k+1) - 1.  The sketch of an item is its ``n - ceil(t n) + 1`` smallest shingle hashes: a
 document that holds at least t of the item cannot miss all of them, so the search
-loses nothing.  Every partition has a bound, the largest hash of its sketches;
-document shingles above all bounds are dropped before anything is exploded, and a
-document too small for a partition is never looked up in it.  Candidates are verified
+loses nothing.  Every partition has a bound, the largest hash of its sketches, and a least size;
+the shingles of a document above the bounds of all partitions that it is large enough for
+are dropped before anything is exploded, and a document too small for a partition is
+never looked up in it.  Candidates are verified
 by exact containment of the shingles as texts.
 
 Only DataFrame functions.  Items of fewer than five words are looked up as one
@@ -74,28 +75,42 @@ def sketches(shingles: DataFrame) -> DataFrame:
                        F.explode(least).alias("hash"))
 
 
+def size_bounds(sketch: DataFrame) -> dict[int, list]:
+    """gram -> (size_class, largest hash, least n, rows) of its partitions; at most some 30 for each gram."""
+    out: dict[int, list] = {}
+    for r in (sketch.groupBy("gram", "size_class").agg(F.max("hash").alias("top"), F.min("n").alias("least"),
+                                                       F.count(F.lit(1)).alias("rows")).orderBy("gram", "size_class").collect()):
+        out.setdefault(r["gram"], []).append((r["size_class"], r["top"], r["least"], r["rows"]))
+    return out
+
+
 def containment(docs: DataFrame, items: DataFrame) -> DataFrame:
     """_id, _h, item_id, n, shared of all pairs of a document and an item that it contains."""
     num, den = THRESHOLD
     shingles = item_shingles(items.where("item_id is not null")).checkpoint()
     sketch = sketches(shingles).checkpoint()
-    bounds = sketch.groupBy("gram").agg(F.max("hash").alias("top"), F.min("n").alias("least"), F.count(F.lit(1)).alias("rows")).collect()
+    bounds = size_bounds(sketch)
     found = None
     base = _docs(docs)
     if bounds:
         wide = base.withColumn("wh", F.expr(f"transform({WORDS}, w -> xxhash64(w))"))
-    for b in bounds:         # one pass for each shingle length that occurs, five at most; nearly always one
-        keep = -(-b["least"] * num // den) + b["gram"] - 1      # words of the smallest document that can match
+    # one pass for each shingle length that occurs, five at most; nearly always one
+    for gram, classes in bounds.items():
+        # words of the smallest document that can match an item of a class
+        keep = {size: -(-least * num // den) + gram - 1 for size, _, least, _ in classes}
+        tops = "greatest(cast(null as bigint), cast(null as bigint), " + ", ".join(f"if(size(wh) >= {keep[size]}, {top}L, null)" for size, top, _, _ in classes) + ")"
         # explode_outer: for explode the optimizer adds a filter on the array and pushes it through the
         # projections, where the word hashes would be made anew for every element
-        hashes = wide.select("_id", "_h", F.size("wh").alias("words"), F.expr(
-            f"if(size(wh) >= {keep}, filter({_hashed(b['gram'])}, x -> x <= {b['top']}L), null)").alias("hs"))
+        hashes = wide.select("_id", "_h", "wh", F.expr(tops).alias("top")).select("_id", "_h", F.size("wh").alias("words"), F.expr(
+            f"if(top is not null, filter({_hashed(gram)}, x -> x <= top), null)").alias("hs"))
         hashes = hashes.select("_id", "_h", "words", F.explode_outer("hs").alias("hash")).where("hash is not null")
-        looked = sketch.where(F.col("gram") == b["gram"]).select("hash", "item_id", "n")
-        if b["rows"] <= BROADCAST_ROWS:
+        least_words = F.create_map(*[F.lit(v) for pair in keep.items() for v in pair])
+        looked = sketch.where(F.col("gram") == gram).select(
+            "hash", "item_id", "n", least_words[F.col("size_class")].alias("least_words"))
+        if sum(rows for _, _, _, rows in classes) <= BROADCAST_ROWS:
             looked = F.broadcast(looked)
-        hits = (hashes.join(looked, "hash")
-                .where(F.expr(f"(words - {b['gram']} + 1) * {den} >= n * {num}"))
+        hits = (hashes.join(looked, "hash").where("words >= least_words")
+                .where(F.expr(f"(words - {gram} + 1) * {den} >= n * {num}"))
                 .select("_id", "_h", "item_id").distinct())
         found = hits if found is None else found.union(hits)
     if found is None:

@@ -170,3 +170,16 @@ def test_warc_index_reads_the_whole_records(spark, damage):
     assert len(warc_store.read_index(spark, path).collect()) == 2
     with pytest.raises(Exception, match="lengths"):
         warc_store.read_index(spark, broken).collect()
+
+
+def test_items_are_partitioned_by_size(spark):
+    """Every size class has bounds of its own, and a corpus with items of many sizes loses none."""
+    words = [[f"w{i}x{j}" for j in range(n)] for i, n in enumerate([1, 3, 5, 6, 9, 20, 40, 70, 300])]
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "item_id long, text string")
+    bounds = decontaminate.size_bounds(decontaminate.sketches(decontaminate.item_shingles(items)))
+    assert [(c[0], c[2]) for c in bounds[5]] == [(0, 1), (1, 2), (2, 5), (4, 16), (5, 36), (6, 66), (8, 296)]
+    assert all(c[1] is not None for c in bounds[5]) and set(bounds) == {1, 3, 5}
+    docs = spark.createDataFrame([(i, "a b c " + " ".join(w) + " d e") for i, w in enumerate(words)] + [(50, " ".join(words[8][:200]))],
+                                 "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contained_items(docs, items).collect()}
+    assert got == {(i, i) for i in range(len(words))}
