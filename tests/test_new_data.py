@@ -14,7 +14,7 @@ from prepkit.plans.feature_plan import FeaturePlan
 from prepkit.sources import fixtures as FX
 from prepkit.sources import io
 
-from conftest import SF, SF01
+from folders import SF, SF01
 
 
 def test_unseen_levels_keep_their_rows(spark):

@@ -10,7 +10,7 @@ from prepkit.operators.balance import random_oversample, random_undersample
 from prepkit.operators.transforms import apply_templates
 from prepkit.sources import fixtures as FX
 
-from conftest import SF, SF01
+from folders import SF, SF01
 
 
 @pytest.mark.parametrize("parts", [1, 4, 64])

@@ -7,7 +7,7 @@ from prepkit.plans.feature_plan import FeaturePlan
 from prepkit.sources import fixtures as FX
 from prepkit.streaming.scoring import prepare_stream, read_parquet_stream, write_batches
 
-from conftest import SF
+from folders import SF
 
 PLAN = [{"column_name": "l_quantity", "fe_method": "median_imputation"},
         {"column_name": "l_quantity", "fe_method": "standardization"},
