@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prepkit.llm import (byte_bpe, decontaminate, gam, license_scan, line_dedup, main_text, ngram_join, rule_forest,
+from prepkit.llm import (byte_bpe, decontaminate, filter_audit, gam, license_scan, line_dedup, main_text, ngram_join, rule_forest,
                          url_filter, warc_store)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,6 +15,7 @@ ORACLE: dict[str, str] = {
     "op1_license_scan": license_scan.oracle_sql(),
     "op3_benchmark_decontamination": decontaminate.oracle_sql(),
     "op5_warc_archive": warc_store.oracle_sql(),
+    "op11_filter_audit": filter_audit.oracle_sql(),
 }
 
 
@@ -77,3 +78,8 @@ def op9_quality_classifier(spark, sf_dir):
 @query
 def op10_quality_rules(spark, sf_dir):
     return rule_forest.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
