@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prepkit.llm import (byte_bpe, decontaminate, filter_audit, gam, license_scan, line_dedup, main_text, ngram_join, rule_forest,
+from prepkit.llm import (byte_bpe, centroids, decontaminate, filter_audit, gam, license_scan, line_dedup, main_text, ngram_join, rule_forest,
                          url_filter, warc_store)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,6 +16,7 @@ ORACLE: dict[str, str] = {
     "op3_benchmark_decontamination": decontaminate.oracle_sql(),
     "op5_warc_archive": warc_store.oracle_sql(),
     "op11_filter_audit": filter_audit.oracle_sql(),
+    "op12_centroid_clustering": centroids.oracle_sql(),
 }
 
 
@@ -83,3 +84,8 @@ def op10_quality_rules(spark, sf_dir):
 @query
 def op11_filter_audit(spark, sf_dir):
     return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_centroid_clustering(spark, sf_dir):
+    return centroids.centroid_clustering(_table(spark, sf_dir, "embeddings"))
