@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from prepkit.llm import (byte_bpe, centroids, decontaminate, filter_audit, gam, license_scan, line_dedup, main_text, ngram_join, rule_forest,
-                         url_filter, warc_store)
+                         url_filter, vector_dedup, warc_store)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: without a twin: 2, 6, 7, 8, 9, 10 and 4, which SQL cannot express; tests hold them against brute force
@@ -17,6 +17,7 @@ ORACLE: dict[str, str] = {
     "op5_warc_archive": warc_store.oracle_sql(),
     "op11_filter_audit": filter_audit.oracle_sql(),
     "op12_centroid_clustering": centroids.oracle_sql(),
+    "op13_vector_dedup": vector_dedup.oracle_sql(),
 }
 
 
@@ -89,3 +90,8 @@ def op11_filter_audit(spark, sf_dir):
 @query
 def op12_centroid_clustering(spark, sf_dir):
     return centroids.centroid_clustering(_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_vector_dedup(spark, sf_dir):
+    return vector_dedup.vector_dedup(_table(spark, sf_dir, "embeddings"))
