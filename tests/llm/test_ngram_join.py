@@ -101,3 +101,23 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(1, x) for x in range(200, 300)] + [(7, 7)]
     got = {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {(i, 100) for i in range(100, 141)} | {(x, 1) for x in [1, *range(200, 300)]}
+
+
+def test_components_with_heavy_nodes(spark):
+    """Stars of many leaves, leaves that are smaller than their middle, chains between stars."""
+    rnd = random.Random(8)
+    edges = [(500, i) for i in range(200)] + [(1000, i) for i in range(1001, 1300)] + [(1299, 3000), (3000, 2000), (2000, 2001)]
+    edges += [(5000 + rnd.randrange(300), 5000 + rnd.randrange(300)) for _ in range(150)]
+    up = {}
+
+    def top(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        up[b] = a
+    want = {(x, top(x)) for e in edges if e[0] != e[1] for x in e}
+    got = [tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
