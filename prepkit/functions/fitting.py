@@ -1,8 +1,8 @@
 """Collect every statistic a set of transforms needs and compute them together.
 
-Scalars (mean, std, min, max, quantiles) come from one ``agg`` over the table;
-modes come from one grouped aggregation per column (``min_by`` over the
-value counts, map-side combined).  Only O(columns) values reach the driver.
+Scalars (mean, std, min, max) come from one ``agg`` over the table, all quantiles
+from one radix histogram, all modes from one grouped count.  Only O(columns)
+values reach the driver.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import clean_value
-from .stats import DIRECT_LIMIT, column_quantiles, exact_quantiles, unpivot_values
+from .radix import quantile_table
+from .stats import unpivot_values
 
 SCALAR_AGGS = {
     "mean": F.avg,
@@ -48,10 +49,9 @@ class StatsRequest:
         else:
             raise ValueError(kind)
 
-    def run(self, row_count: int | None = None) -> dict:
+    def run(self) -> dict:
         src = self.df
-        cols = sorted({c for _, c in self.scalars} | set(self.quantiles) | self.lower_medians
-                      | self.approx_medians)
+        cols = sorted({c for _, c in self.scalars} | self.approx_medians)
         # NaN -> NULL once, then plain column references
         df = src.select(*[clean_value(src, c).alias(c) for c in cols]) if cols else src
         out: dict = {}
@@ -62,47 +62,59 @@ class StatsRequest:
                 v = v.cast("double")
             aggs.append(SCALAR_AGGS[kind](v))
             keys.append((kind, col, None))
-        need_rows = bool(self.quantiles or self.lower_medians)
-        if need_rows and row_count is None:
-            row_count = df.count()
-        small = need_rows and row_count <= DIRECT_LIMIT
-        qcols = sorted(self.quantiles)
-        if small:
-            for col in qcols:
-                probs = sorted(self.quantiles[col])
-                aggs.append(F.percentile(clean_value(df, col).cast("double"),
-                                         F.array(*[F.lit(p) for p in probs])))
-                keys.append(("qarr", col, tuple(probs)))
-            for col in sorted(self.lower_medians):
-                v = clean_value(df, col).cast("double")
-                aggs.append(F.expr(f"percentile_disc(0.5) WITHIN GROUP "
-                                   f"(ORDER BY CAST(`{col}` AS DOUBLE))"))
-                keys.append(("median_lower", col, None))
         for col in sorted(self.approx_medians):
             aggs.append(F.percentile_approx(clean_value(df, col).cast("double"), 0.5, 10000))
             keys.append(("median_approx", col, None))
         if aggs:
-            row = df.agg(*aggs).first()
-            for i, k in enumerate(keys):
-                val = row[i]
-                if k[0] == "qarr":
-                    for p, q in zip(k[2], val or [None] * len(k[2])):
-                        out[("q", k[1], p)] = None if q is None else float(q)
-                else:
-                    out[k] = val
-        if need_rows and not small:
-            for col in qcols:
-                probs = sorted(self.quantiles[col])
-                vals = column_quantiles(df, [col], probs).get(col)
-                for i, p in enumerate(probs):
-                    out[("q", col, p)] = None if vals is None else vals[i]
-            for col in sorted(self.lower_medians):
-                vals = exact_quantiles(unpivot_values(df, [col]), [0.5], discrete=True).get(col)
-                out[("median_lower", col, None)] = None if vals is None else vals[0]
-        for col in sorted(self.modes):
-            out[("mode", col, None)] = mode_of(src, col)
+            out.update(zip(keys, df.agg(*aggs).first()))
+        out.update(self._quantiles())
+        out.update(modes_of(src, sorted(self.modes)))
         return out
 
+    def _quantiles(self) -> dict:
+        """All columns and probabilities together: one radix histogram."""
+        cols = sorted(set(self.quantiles) | self.lower_medians)
+        if not cols:
+            return {}
+        probs = sorted(set().union(*self.quantiles.values())) if self.quantiles else []
+        lower = [0.5] if self.lower_medians else []
+        table = quantile_table(unpivot_values(self.df, cols), ["k"], probs, lower=lower)
+        found = {r["k"]: [float(x) for x in r["q"]] for r in table.collect()}       # one row per column
+        none = [None] * (len(probs) + 1)
+        out = {("q", c, p): found.get(c, none)[probs.index(p)] for c in self.quantiles for p in self.quantiles[c]}
+        return out | {("median_lower", c, None): found.get(c, none)[-1] for c in self.lower_medians}
+
+
+#: how values of a type are counted with those of other columns: as text, as long or as double
+_KINDS = {"string": "string", "boolean": "bigint", "tinyint": "bigint", "smallint": "bigint", "int": "bigint", "bigint": "bigint",
+          "float": "double", "double": "double"}
+
+
+def modes_of(df: DataFrame, cols: list[str]) -> dict:
+    """``{("mode", column, None): value}``: the most frequent non-missing value, ties to the smallest.
+
+    All columns of the common types are counted in one aggregation; only a column of another type
+    takes one of its own."""
+    types = {c: df.schema[c].dataType for c in cols}
+    out = {("mode", c, None): mode_of(df, c) for c in cols if types[c].simpleString() not in _KINDS}
+    cols = [c for c in cols if types[c].simpleString() in _KINDS]
+    if not cols:
+        return out
+    kinds = sorted(set(_KINDS.values()))
+    structs = []
+    for c in cols:
+        v, mine = clean_value(df, c), _KINDS[types[c].simpleString()]
+        structs.append(F.struct(F.lit(c).alias("k"), v.isNotNull().alias("has"),
+                                *[(v.cast(kind) if kind == mine else F.lit(None).cast(kind)).alias(kind) for kind in kinds]))
+    long = df.select(F.explode(F.array(*structs)).alias("s")).select("s.*").where("has")
+    counts = long.groupBy("k", *kinds).agg(F.count(F.lit(1)).alias("c"))
+    best = counts.groupBy("k").agg(F.min(F.struct((-F.col("c")).alias("c"), *kinds)).alias("m")).collect()     # one row per column
+    found = {r["k"]: r["m"][_KINDS[types[r["k"]].simpleString()]] for r in best}
+    for c in cols:
+        v = found.get(c)
+        out[("mode", c, None)] = bool(v) if types[c].simpleString() == "boolean" and v is not None else v
+    return out
+
 
 def mode_of(df: DataFrame, col: str):
     """Most frequent non-missing value; ties go to the smallest value."""

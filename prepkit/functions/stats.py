@@ -9,28 +9,16 @@ Rules that keep the numbers identical to the pandas / warehouse semantics:
   gives NULL instead of raising under ANSI mode;
 * percentiles are exact with linear interpolation.
 
-Exact percentiles scale in two ways.  When a key holds at most
-``DIRECT_LIMIT`` rows the built-in ``percentile`` aggregate is used (its
-buffer is bounded by the row count).  Above that, ``exact_quantiles`` narrows
-each requested rank with bucket counts (one grouped count per round, map-side
-combined), which never holds more than ``bins`` counters per requested rank in
-any task and finishes with a bounded collect.  Both give the same value; a
-registered query runs the refinement on whole tables.
+Exact percentiles come from a radix histogram (``radix.py``), one path at every size.
 """
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import clean_value
-
-DIRECT_LIMIT = 2_000_000
-REFINE_BINS = 4096
-COLLECT_LIMIT = 100_000
+from .radix import quantile_table
 
 
 def corrected_skew(n: Column, g1: Column) -> Column:
@@ -66,171 +54,12 @@ def unpivot_values(df: DataFrame, cols: list[str], key: str = "k",
     return out.where(F.col(value).isNotNull())
 
 
-def _rank_targets(n: int, probs: list[float], discrete: bool = False
-                  ) -> list[tuple[float, int, int]]:
-    """0-based ranks needed per probability.
-
-    Continuous: linear interpolation between ranks floor/ceil of (n-1)p.
-    Discrete: the smallest value whose cumulative share reaches p.
-    """
-    out = []
-    for p in probs:
-        if discrete:
-            r = max(int(math.ceil(n * p)) - 1, 0)
-            out.append((float(r), r, r))
-        else:
-            h = (n - 1) * p
-            out.append((h, int(math.floor(h)), int(math.ceil(h))))
-    return out
-
-
-def _interpolate(h: float, lo: int, hi: int, vlo: float, vhi: float) -> float:
-    if lo == hi or vlo == vhi:
-        return vlo
-    return (hi - h) * vlo + (h - lo) * vhi
-
-
-def _bucket(v: Column, bins: int) -> Column:
-    """Bucket of v in [L, U], never falling with v; -1 and ``bins`` hold the infinities.
-
-    On wide ranges the cuts are even in asinh(v), so a heavy tail does not put all
-    other values into one bucket; where asinh cannot tell the ends apart they are even in v."""
-    low, high = F.col("L"), F.col("U")
-    a, b = F.asinh(low), F.asinh(high)
-    wide = (b - a) > 1.0
-    share = F.when(wide, F.try_divide(F.asinh(v) - a, b - a)).otherwise(F.try_divide(v - low, high - low))
-    cut = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
-    return F.when(v > high, bins).when(v < low, -1).otherwise(F.greatest(cut, F.lit(0)))
-
-
-def quantile_table(long: DataFrame, keys: list[str], probs: list[float], value: str = "v",
-                   large: int = COLLECT_LIMIT) -> DataFrame:
-    """``keys, q array<double>``: exact quantiles per group, as a table of as many rows as there are groups.
+def exact_quantiles(long: DataFrame, probs: list[float], key: str = "k", value: str = "v", discrete: bool = False) -> dict:
+    """``{key: [q(p) for p in probs]}``: exact quantiles of ``value`` per ``key``, for keys that are few (columns).
 
-    A group of at most ``large`` rows is one buffer of the ``percentile`` aggregate; larger groups (of
-    which there are at most rows / ``large``) are refined by bucket counts."""
-    sizes = long.groupBy(*keys).agg(F.count(value).alias("_size"))
-    big = sizes.where(F.col("_size") > large).select(*keys)
-    arr = F.array(*[F.lit(float(p)) for p in probs])
-    found = big.collect()
-    if not found:
-        return long.groupBy(*keys).agg(F.percentile(value, arr).alias("q"))
-    spark = long.sparkSession
-    types = ", ".join(f"`{k}` {long.schema[k].dataType.simpleString()}" for k in keys)
-    numbered = spark.createDataFrame([(*r, i) for i, r in enumerate(found)], f"{types}, _group int")
-    inside = long.join(F.broadcast(numbered), keys)
-    got = exact_quantiles(inside.select(F.col("_group").alias("k"), F.col(value).alias("v")), probs, direct_limit=0)
-    rows = [(*r, got[i]) for i, r in enumerate(found) if i in got]
-    rest = long.join(F.broadcast(numbered.drop("_group")), keys, "left_anti")
-    return rest.groupBy(*keys).agg(F.percentile(value, arr).alias("q")).unionByName(
-        spark.createDataFrame(rows, f"{types}, q array<double>"))
-
-
-def exact_quantiles(long: DataFrame, probs: list[float], key: str = "k",
-                    value: str = "v", bins: int = REFINE_BINS,
-                    collect_limit: int = COLLECT_LIMIT,
-                    direct_limit: int = DIRECT_LIMIT, discrete: bool = False) -> dict:
-    """Exact linear-interpolated quantiles of ``value`` per ``key``.
-
-    Returns ``{key: [q(p) for p in probs]}``; keys with no non-null values are
-    absent.  ``long`` must already exclude NULL values.
-    """
-    probs = [float(p) for p in probs]
-    finite = F.when(F.abs(F.col(value)) < F.lit(float("inf")), F.col(value))
-    stats = long.groupBy(key).agg(F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"),
-                                  F.min(finite).alias("flo"), F.max(finite).alias("fhi")).collect()
-    if not stats:
-        return {}
-    if max(r["n"] for r in stats) <= direct_limit:
-        if discrete:
-            rows = long.groupBy(key).agg(
-                F.array(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{value}`)")
-                          for p in probs]).alias("q")).collect()
-        else:
-            rows = long.groupBy(key).agg(
-                F.percentile(value, F.array(*[F.lit(p) for p in probs])).alias("q")).collect()
-        return {r[key]: [float(x) for x in r["q"]] for r in rows}
-
-    # rank -> value, per key
-    found: dict = defaultdict(dict)
-    # pending interval: (key, L, U, below, count) -> set of ranks
-    pending: dict = defaultdict(set)
-    meta = {}
-    for r in stats:
-        k, n = r[key], r["n"]
-        meta[k] = n
-        for _, lo, hi in _rank_targets(n, probs, discrete):
-            for rank in (lo, hi):
-                if r["lo"] == r["hi"]:
-                    found[k][rank] = float(r["lo"])
-                else:
-                    # buckets are cut between the finite ends; infinities have buckets of their own
-                    lo_, hi_ = (r["flo"], r["fhi"]) if r["flo"] is not None else (0.0, 0.0)
-                    pending[(k, float(lo_), float(hi_), 0, n)].add(rank)
-
-    spark = long.sparkSession
-    first_round = True
-    while pending:
-        items = list(pending.items())
-        pending = defaultdict(set)
-        small = [(i, iv) for i, (iv, _) in enumerate(items) if iv[4] <= collect_limit]
-        large = [(i, iv) for i, (iv, _) in enumerate(items) if iv[4] > collect_limit]
-        spec = spark.createDataFrame(
-            [(i, iv[0], iv[1], iv[2], 1 if iv[4] <= collect_limit else 0)
-             for i, (iv, _) in enumerate(items)],
-            f"iid int, {key} {long.schema[key].dataType.simpleString()}, L double, U double, "
-            "small int")
-        # the interval table has one row per pending rank range: tiny, bounded
-        # by (#keys x #probs x 2); broadcasting it is safe.
-        inside = (F.col(value) >= F.col("L")) & (F.col(value) <= F.col("U"))
-        if first_round:
-            inside = F.lit(True)        # with the infinities
-        first_round = False
-        sel = long.join(F.broadcast(spec), on=key).where(inside)
-        if small:
-            counts = (sel.where(F.col("small") == 1).groupBy("iid", value)
-                      .agg(F.count(F.lit(1)).alias("c")).collect())
-            by_iid = defaultdict(list)
-            for r in counts:
-                by_iid[r["iid"]].append((r[value], r["c"]))
-            for i, iv in small:
-                vals = sorted(by_iid[i])
-                ranks = sorted(items[i][1])
-                cum = iv[3]
-                j = 0
-                for v, c in vals:
-                    while j < len(ranks) and ranks[j] < cum + c:
-                        found[iv[0]][ranks[j]] = float(v)
-                        j += 1
-                    cum += c
-        if large:
-            rows = (sel.where(F.col("small") == 0).groupBy("iid", _bucket(F.col(value), bins).alias("b"))
-                    .agg(F.count(F.lit(1)).alias("c"), F.min(value).alias("bmin"),
-                         F.max(value).alias("bmax")).collect())
-            by_iid = defaultdict(list)
-            for r in rows:
-                by_iid[r["iid"]].append((r["b"], r["c"], r["bmin"], r["bmax"]))
-            for i, iv in large:
-                buckets = sorted(by_iid[i])
-                ranks = sorted(items[i][1])
-                cum = iv[3]
-                j = 0
-                for _, c, bmin, bmax in buckets:
-                    while j < len(ranks) and ranks[j] < cum + c:
-                        if bmin == bmax:
-                            found[iv[0]][ranks[j]] = float(bmin)
-                        else:
-                            pending[(iv[0], float(bmin), float(bmax), cum, c)].add(ranks[j])
-                        j += 1
-                    cum += c
-
-    out = {}
-    for k, n in meta.items():
-        vals = []
-        for h, lo, hi in _rank_targets(n, probs, discrete):
-            vals.append(_interpolate(h, lo, hi, found[k][lo], found[k][hi]))
-        out[k] = vals
-    return out
+    Keys with no non-null values are absent."""
+    table = quantile_table(long, [key], [], value, probs) if discrete else quantile_table(long, [key], probs, value)
+    return {r[key]: [float(x) for x in r["q"]] for r in table.collect()}
 
 
 def column_quantiles(df: DataFrame, cols: list[str], probs: list[float], **kw) -> dict:
@@ -238,26 +67,3 @@ def column_quantiles(df: DataFrame, cols: list[str], probs: list[float], **kw) -
     if not cols:
         return {}
     return exact_quantiles(unpivot_values(df, cols), probs, **kw)
-
-
-def quantile_exprs(df: DataFrame, cols: list[str], probs: list[float],
-                   row_count: int | None = None) -> dict[str, Column]:
-    """Per column a Column usable inside ``df.agg`` giving ``array<double>`` of quantiles.
-
-    Small tables: the ``percentile`` aggregate itself (one pass together with
-    the other statistics).  Large tables: values computed by
-    ``exact_quantiles`` and inlined as literals.
-    """
-    if row_count is None:
-        row_count = df.count()
-    arr = F.array(*[F.lit(float(p)) for p in probs])
-    if row_count <= DIRECT_LIMIT:
-        return {c: F.percentile(clean_value(df, c).cast("double"), arr) for c in cols}
-    vals = column_quantiles(df, cols, probs)
-    out = {}
-    for c in cols:
-        if c in vals:
-            out[c] = F.array(*[F.lit(float(v)) for v in vals[c]])
-        else:
-            out[c] = F.lit(None).cast("array<double>")
-    return out

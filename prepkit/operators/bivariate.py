@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clean_value, column_types
 from ..functions.numbering import small_side
-from ..functions.stats import quantile_table, safe_corr
+from ..functions.radix import quantile_table
+from ..functions.stats import safe_corr
 from .profile import top_values
 
 

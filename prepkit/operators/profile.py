@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import (clean_value, column_types, datetime_columns,
                                  is_missing, round_half_even)
-from ..functions.stats import column_quantiles, corrected_kurt, corrected_skew, quantile_exprs, unpivot_values
+from ..functions.radix import histogram, quantile_table
+from ..functions.stats import corrected_kurt, corrected_skew, unpivot_values
 from ..functions.topk import top_k, value_counts
 
 
@@ -60,51 +61,68 @@ def missing_summary(df: DataFrame) -> DataFrame:
                    F.count_if(F.col("missing_count") > 0).alias("columns_with_missing"))
 
 
+def numeric_histogram(df: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(long, hist): the values of the columns as rows (column_name, v), and their radix histogram with
+    the moments of every bucket.  One scan feeds counts, moments and the first round of the quantiles."""
+    long = unpivot_values(df, cols, key="column_name")
+    hist = histogram(long, ["column_name"], extra=[
+        F.avg("v").alias("mean"), F.var_pop("v").alias("var"), F.skewness("v").alias("g1"), F.kurtosis("v").alias("g2")])
+    return long, hist
+
+
+def _moments(hist: DataFrame) -> DataFrame:
+    """Moments of a column from those of its buckets (column_name, c, low, high, mean, var, g1, g2)."""
+    total = hist.groupBy("column_name").agg(F.expr("sum(c) as count"), F.expr("min(low) as min"), F.expr("max(high) as max"),
+                                            F.expr("sum(c * mean) / sum(c) as all_mean"))
+    # central sums of a bucket around its own mean, then around that of the column
+    parts = hist.selectExpr("column_name", "c", "mean", "c * var as m2", "coalesce(nanvl(g1, 0D), 0D) * pow(var, 1.5D) * c as m3",
+                            "coalesce(nanvl(g2 + 3, 0D), 0D) * var * var * c as m4")
+    parts = parts.join(F.broadcast(total), "column_name").selectExpr("*", "mean - all_mean as d")       # one row per column
+    sums = parts.groupBy("column_name").agg(
+        *[F.expr(f"first({x}) as {x}") for x in ("count", "min", "max", "all_mean")], F.expr("sum(m2 + c * d * d) as s2"),
+        F.expr("sum(m3 + 3 * d * m2 + c * d * d * d) as s3"), F.expr("sum(m4 + 4 * d * m3 + 6 * d * d * m2 + c * d * d * d * d) as s4"))
+    return sums.selectExpr("column_name", "count", "all_mean as mean", "min", "max", "if(count > 1, sqrt(s2 / (count - 1)), null) as std",
+                           "if(s2 > 0, sqrt(count) * s3 / pow(s2, 1.5D), null) as _g1", "if(s2 > 0, count * s4 / (s2 * s2) - 3, null) as _g2")
+
+
 def univariate_numerical(df: DataFrame, cols: list[str] | None = None,
-                         row_count: int | None = None) -> DataFrame:
-    """Count, mean, std, min, max, median, quartiles, skewness, kurtosis."""
+                         numbers: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Count, mean, std, min, max, median, quartiles, skewness, kurtosis.
+
+    ``numbers`` is ``numeric_histogram`` of the columns where a caller has it already."""
     cols = cols if cols is not None else column_types(df)["numerical"]
     if not cols:
         return df.sparkSession.createDataFrame(
             [], "column_name string, count bigint, mean double, std double, min double, "
                 "max double, median double, q25 double, q75 double, skewness double, "
                 "kurtosis double")
-    # one row per (column, value): a wide aggregate over many columns is too large to be compiled
-    long = unpivot_values(df, cols, key="column_name")
-    moments = long.groupBy("column_name").agg(
-        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"),
-        F.max("v").alias("max"), F.skewness("v").alias("_g1"), F.kurtosis("v").alias("_g2"))
-    q = column_quantiles(df, cols, [0.25, 0.5, 0.75])
-    table = df.sparkSession.createDataFrame([(c, *v) for c, v in q.items()],
-                                            "column_name string, q25 double, median double, q75 double")
+    long, hist = numbers or numeric_histogram(df, cols)
+    q = F.col("q")
+    table = quantile_table(long, ["column_name"], [0.25, 0.5, 0.75], first=hist).select(
+        "column_name", q[0].alias("q25"), q[1].alias("median"), q[2].alias("q75"))
     # one row per column
-    t = moments.join(F.broadcast(table), "column_name")
+    t = _moments(hist).join(F.broadcast(table), "column_name")
     return t.select(
         "column_name", "count", "mean", "std", "min", "max", "median", "q25", "q75",
         corrected_skew(F.col("count"), F.col("_g1")).alias("skewness"),
         corrected_kurt(F.col("count"), F.col("_g2")).alias("kurtosis"))
 
 
-def outlier_bounds(df: DataFrame, cols: list[str], row_count: int | None = None) -> dict:
+def outlier_bounds(df: DataFrame, cols: list[str], numbers: tuple[DataFrame, DataFrame] | None = None) -> dict:
     """Quartile bounds per column (driver dict; O(columns))."""
-    q = quantile_exprs(df, cols, [0.25, 0.75], row_count)
-    row = df.agg(*[q[c].alias(f"_q{i}") for i, c in enumerate(cols)]).first()
+    long, hist = numbers or numeric_histogram(df, cols)
     out = {}
-    for i, c in enumerate(cols):
-        qs = row[f"_q{i}"]
-        if qs is None or qs[0] is None:
-            continue
-        q1, q3 = float(qs[0]), float(qs[1])
-        iqr = q3 - q1
-        out[c] = (q1, q3, q1 - 1.5 * iqr, q3 + 1.5 * iqr)
+    for r in quantile_table(long, ["column_name"], [0.25, 0.75], first=hist).collect():
+        q1, q3 = r["q"]
+        out[r["column_name"]] = (q1, q3, q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
     return out
 
 
 def outliers(df: DataFrame, cols: list[str] | None = None,
-             row_count: int | None = None) -> DataFrame:
+             numbers: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """IQR outliers (strict) per numeric column; all-null columns skipped."""
     cols = cols if cols is not None else column_types(df)["numerical"]
-    bounds = outlier_bounds(df, cols, row_count)
+    bounds = outlier_bounds(df, cols, numbers) if cols else {}
     kept = [c for c in cols if c in bounds]
     if not kept:
         return df.sparkSession.createDataFrame(
@@ -274,13 +292,15 @@ def eda_report(df: DataFrame, target: str | None = None, row_count: int | None =
     if row_count is None:
         row_count = df.count()
     missing = missing_values(df)
+    numeric = column_types(df)["numerical"]
+    numbers = numeric_histogram(df, numeric) if numeric else None       # for both numeric sections
     sections = {
         "overview": overview(df),
         "columns": overview_columns(df),
         "missing_values": missing,
-        "outliers": outliers(df, row_count=row_count),
+        "outliers": outliers(df, numbers=numbers),
         "cardinality": cardinality(df),
-        "univariate_numerical": univariate_numerical(df, row_count=row_count),
+        "univariate_numerical": univariate_numerical(df, numbers=numbers),
         "univariate_categorical": univariate_categorical(df),
         "top_values": top_values(df),
     }

@@ -358,11 +358,11 @@ class TemplateSet:
                 continue
             self.steps.append(Step(col, method, tmpl, merged))
 
-    def fit(self, df: DataFrame, row_count: int | None = None) -> "FittedTemplates":
+    def fit(self, df: DataFrame) -> "FittedTemplates":
         req = StatsRequest(df)
         for st in self.steps:
             _needs(st, req, df)
-        stats = req.run(row_count)
+        stats = req.run()
         levels = {}
         for st in self.steps:
             if st.template == "impute_mode" and st.params.get("method") == "first":

@@ -278,7 +278,7 @@ def _q(spark, sf):
 def _q(spark, sf):
     li = read_table(spark, sf, "lineitem")
     cols = S.numeric(S.LINEITEM)
-    got = exact_quantiles(unpivot_values(li, cols), [0.05, 0.5, 0.95], direct_limit=0, collect_limit=500, bins=64)
+    got = exact_quantiles(unpivot_values(li, cols), [0.05, 0.5, 0.95])
     return spark.createDataFrame([(c, *v) for c, v in got.items()], "column_name string, q05 double, q50 double, q95 double")
 
 

@@ -1,9 +1,13 @@
 """Scale invariants: exact numbering and quantiles at any partition count,
 no single-partition exchange, no Python UDF in the hot path."""
 
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from prepkit.functions import radix
 from prepkit.functions.numbering import global_row_number, rank_within_group
 from prepkit.functions.stats import exact_quantiles, unpivot_values
 from prepkit.operators.balance import random_oversample, random_undersample
@@ -30,18 +34,48 @@ def test_rank_within_skewed_group(spark):
     assert max(x[1] for x in got if x[0] == "hot") == 4990
 
 
-def test_refined_quantiles_equal_direct(spark):
+def test_quantiles_equal_numpy(spark):
     li = spark.read.parquet(f"{SF01}/lineitem.parquet")
-    long = unpivot_values(li, ["l_extendedprice", "l_quantity"])
-    probs = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
-    direct = exact_quantiles(long, probs)
-    refined = exact_quantiles(long, probs, direct_limit=10, bins=16, collect_limit=500)
-    for k in direct:
-        for a, b in zip(direct[k], refined[k]):
-            assert abs(a - b) <= 1e-9 * max(1.0, abs(a))
-    disc = exact_quantiles(long, [0.5], discrete=True)
-    disc_r = exact_quantiles(long, [0.5], discrete=True, direct_limit=10, bins=16, collect_limit=500)
-    assert disc == disc_r
+    cols, probs = ["l_extendedprice", "l_quantity"], [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
+    long = unpivot_values(li, cols)
+    got, disc = exact_quantiles(long, probs), exact_quantiles(long, [0.5], discrete=True)
+    for c in cols:
+        v = np.sort(np.array([r[0] for r in li.select(c).collect()], float))
+        assert got[c] == pytest.approx(np.quantile(v, probs).tolist(), rel=1e-12)
+        assert disc[c] == [v[math.ceil(len(v) / 2) - 1]]
+
+
+def test_radix_image_keeps_the_order(spark):
+    rng = np.random.default_rng(1)
+    ends = [0.0, -0.0, math.inf, -math.inf, 5e-324, -5e-324, 1.7976931348623157e308, 1e-310]
+    powers = [x for e in range(-1074, 1024, 41) for p in [math.ldexp(1.0, e)] for x in (p, -p, np.nextafter(p, 0), np.nextafter(p, np.inf))]
+    values = [*ends, *powers, *(rng.normal(size=400) * 1e-300), *rng.normal(size=400), *(rng.normal(size=100) * 1e-320)]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    rows = df.selectExpr("v", f"bigint({radix.coarse('v')}) as h", f"{radix.significand('v')} as l").collect()
+    rows.sort(key=lambda r: r["v"])
+    keys = [(r["h"], r["l"]) for r in rows]
+    assert keys == sorted(keys)
+    assert all((a == b) == (x["v"] == y["v"]) for a, b, x, y in zip(keys, keys[1:], rows, rows[1:]))
+
+
+def test_quantiles_of_many_groups_and_null_keys(spark):
+    """Ranks per group as tables: groups of one row, of equal values, a hot group and a null group."""
+    rng = np.random.default_rng(3)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 300, 3000), rng.normal(size=3000).round(2))]
+    rows += [(999, float(v)) for v in rng.normal(size=5000)] + [(None, 1.0), (None, 3.0), (1000, None), (1001, 7.0)] + [(1002, 5.0)] * 50
+    df = spark.createDataFrame(rows, "g int, v double").repartition(5)
+    got = {r["g"]: r["q"] for r in radix.quantile_table(df, ["g"], [0.1, 0.5, 0.99], lower=[0.5]).collect()}
+    want = {}
+    for g, v in rows:
+        if v is not None:
+            want.setdefault(g, []).append(v)
+    assert set(got) == set(want)
+    for g, v in want.items():
+        v = np.sort(v)
+        assert got[g] == pytest.approx([*np.quantile(v, [0.1, 0.5, 0.99]), v[math.ceil(len(v) / 2) - 1]], rel=1e-12)
+    by_rank = radix.rank_values(df, ["g"], spark.createDataFrame([(999, 0), (999, 4999), (999, 5000), (1001, 0)], "g int, rank long"))
+    hot = np.sort(want[999])
+    assert sorted(map(tuple, by_rank.collect())) == [(999, 5000, 0, hot[0]), (999, 5000, 4999, hot[-1]), (1001, 1, 0, 7.0)]
 
 
 def _plan(df):
