@@ -58,17 +58,6 @@ def small_side(df: DataFrame, limit: int = BROADCAST_GROUPS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def ntile_from_rank(rank: Column, n: Column, k: int) -> Column:
-    """NTILE(k) bucket for 1-based ``rank`` among ``n`` rows (SQL semantics)."""
-    k_ = F.lit(k).cast("bigint")
-    q = F.floor(n / k_).cast("bigint")
-    rem = n - q * k_
-    big = rem * (q + 1)
-    first = F.floor((rank - 1) / (q + 1)).cast("bigint") + 1
-    second = F.when(q > 0, F.floor((rank - 1 - big) / q).cast("bigint") + rem + 1)
-    return F.when(rank <= big, first).otherwise(second).cast("int")
-
-
 def rank_within_group(df: DataFrame, group: list[str], order: list[Column | str],
                       name: str = "grp_rn", size_col: str | None = None) -> DataFrame:
     """1-based row number inside each group, spread over many tasks.

@@ -40,6 +40,11 @@ def significand(v: str) -> str:
     return f"bigint(case when {v} <> 0 and abs({v}) < double('inf') then {v} * pow(2D, -{e}) * {2.0 ** 53!r}D else 0D end)"
 
 
+def _digits(v: str, whole: bool) -> tuple[str, str]:
+    """SQL texts of the digit of round 1 and of what the further rounds cut; integers (bigint) are their own image."""
+    return (f"shiftright({v}, 45)", v) if whole else (f"bigint({coarse(v)})", significand(v))
+
+
 def _places(n: str, p: float, discrete: bool) -> list[str]:
     """The 0-based ranks that a probability needs among n rows, and the place between them (double) if there are two."""
     if discrete:
@@ -48,59 +53,62 @@ def _places(n: str, p: float, discrete: bool) -> list[str]:
     return [f"bigint(floor({h}))", f"bigint(ceil({h}))", h]
 
 
-def histogram(long: DataFrame, keys: list[str], value: str = "v", extra: list[Column] | None = None) -> DataFrame:
-    """Round 1: (keys, digit, c, low, high, extra aggregates), checkpointed; NULL values do not count."""
+def histogram(long: DataFrame, keys: list[str], value: str = "v", extra: list[Column] | None = None, whole: bool = False) -> DataFrame:
+    """Round 1: (keys, _digit, _count, _low, _high, extra aggregates), checkpointed; NULL values do not count.
+
+    ``whole``: the values are bigint, else double."""
     ensure_checkpoint_dir(long.sparkSession)
     v = f"`{value}`"
-    return (long.where(f"{v} is not null").groupBy(*keys, F.expr(f"bigint({coarse(v)})").alias("digit"))
-            .agg(F.expr("count(1) as c"), F.expr(f"min({v}) as low"), F.expr(f"max({v}) as high"), *(extra or [])).checkpoint())
+    return (long.where(f"{v} is not null").groupBy(*keys, F.expr(_digits(v, whole)[0]).alias("_digit"))
+            .agg(F.expr("count(1) as _count"), F.expr(f"min({v}) as _low"), F.expr(f"max({v}) as _high"), *(extra or [])).checkpoint())
 
 
 def _chosen(hist: DataFrame, part: list[str], wanted: DataFrame) -> DataFrame:
-    """(keys, rank, below, low, high): the bucket that holds each wanted rank.
+    """(keys, _rank, _below, _count, _low, _high): the bucket that holds each wanted rank.
 
-    hist: (part, digit, c, low, high, below); wanted: (part, rank), columns of ``part`` with a leading underscore."""
+    hist: (part, _digit, _count, _low, _high, _below); wanted: (part, rank), its columns with ``?`` before the name."""
     by = ", ".join(f"`{c}`" for c in part)
-    hist = hist.selectExpr("*", f"below + sum(c) over (partition by {by} order by digit rows unbounded preceding) as to")
-    on = " and ".join(f"`{c}` <=> `_{c}`" for c in part)
-    return hist.join(wanted, F.expr(f"{on} and _rank < to and _rank >= to - c")).selectExpr(
-        *[f"`{c}`" for c in part if c != "_start"], "_rank as rank", "to - c as below", "low", "high")
+    hist = hist.selectExpr("*", f"_below + sum(_count) over (partition by {by} order by _digit rows unbounded preceding) as _to")
+    on = " and ".join(f"`{c}` <=> `?{c}`" for c in part)
+    return hist.join(wanted, F.expr(f"{on} and `?rank` < _to and `?rank` >= _to - _count")).selectExpr(
+        *[f"`{c}`" for c in part if c != "_start"], "`?rank` as _rank", "_to - _count as _below", "_count", "_low", "_high")
 
 
 def rank_values(long: DataFrame, keys: list[str], ranks: DataFrame | list[tuple[float, bool]], value: str = "v",
-                first: DataFrame | None = None) -> DataFrame:
-    """(keys, n, rank, value): the values (double) at the 0-based ranks of each key.
+                first: DataFrame | None = None, whole: bool = False) -> DataFrame:
+    """(keys, _size, _rank, _value, _below, _count): the values (double, or bigint if ``whole``) at the 0-based
+    ranks of each key, with the rows of the key, the number of smaller rows and of equal ones.
 
     Ranks are given as a table (keys, rank) or follow from (probability, discrete); ``first`` is the
     histogram if there is one.  NULL values do not count; NULL keys are keys.  A rank beyond the rows
     of its key gives no row."""
     names = [f"`{k}`" for k in keys]
-    long = long.selectExpr(*names, f"double(`{value}`) as v").where("v is not null")
-    first = histogram(long, keys) if first is None else first
-    first = first.selectExpr(*names, "digit", "c", "low", "high", "0L as below")
-    sizes = first.groupBy(*keys).agg(F.expr("sum(c) as n"))
+    long = long.selectExpr(*names, f"{'bigint' if whole else 'double'}(`{value}`) as _val").where("_val is not null")
+    first = histogram(long, keys, "_val", whole=whole) if first is None else first
+    first = first.selectExpr(*names, "_digit", "_count", "_low", "_high", "0L as _below")
+    sizes = first.groupBy(*keys).agg(F.expr("sum(_count) as _size"))
     if isinstance(ranks, list):
-        asked = ", ".join(r for p, discrete in ranks for r in _places("n", p, discrete)[:2])
+        asked = ", ".join(r for p, discrete in ranks for r in _places("_size", p, discrete)[:2])
         ranks = sizes.selectExpr(*names, f"explode(array_distinct(array({asked}))) as rank")
-    marked = [f"`{k}` as `_{k}`" for k in keys]
-    now = _chosen(first, keys, ranks.selectExpr(*marked, "rank as _rank").distinct()).checkpoint()
-    done = now.where("low = high")
-    same = " and ".join(f"`{k}` <=> `_{k}`" for k in keys)
+    marked = [f"`{k}` as `?{k}`" for k in keys]
+    now = _chosen(first, keys, ranks.selectExpr(*marked, "rank as `?rank`").distinct()).checkpoint()
+    done = now.where("_low = _high")
+    same = " and ".join(f"`{k}` <=> `?{k}`" for k in keys)
     for left_out in ROUNDS:
-        pending = now.where("low < high")
+        pending = now.where("_low < _high")
         n = pending.count()
         if not n:
             break
-        spans = pending.selectExpr(*marked, "low as _start", "high as _end", "below").distinct()
+        spans = pending.selectExpr(*marked, "_low as _start", "_high as _end", "_below").distinct()
         if n <= BROADCAST_GROUPS:
             spans = F.broadcast(spans)
-        hist = (long.join(spans, F.expr(f"{same} and v >= _start and v <= _end"))
-                .groupBy(*keys, "_start", "below", F.expr(f"shiftright({significand('v')}, {left_out})").alias("digit"))
-                .agg(F.expr("count(1) as c"), F.expr("min(v) as low"), F.expr("max(v) as high")))
-        now = _chosen(hist, [*keys, "_start"], pending.selectExpr(*marked, "low as __start", "rank as _rank")).checkpoint()
-        done = done.union(now if left_out == 0 else now.where("low = high"))
-    out = done.selectExpr(*marked, "rank", "low as value")
-    return out.join(sizes, F.expr(same)).selectExpr(*names, "n", "rank", "value")
+        hist = (long.join(spans, F.expr(f"{same} and _val >= _start and _val <= _end"))
+                .groupBy(*keys, "_start", "_below", F.expr(f"shiftright({_digits('_val', whole)[1]}, {left_out})").alias("_digit"))
+                .agg(F.expr("count(1) as _count"), F.expr("min(_val) as _low"), F.expr("max(_val) as _high")))
+        now = _chosen(hist, [*keys, "_start"], pending.selectExpr(*marked, "_low as `?_start`", "_rank as `?rank`")).checkpoint()
+        done = done.union(now if left_out == 0 else now.where("_low = _high"))
+    out = done.selectExpr(*marked, "_rank", "_low as _value", "_below", "_count")
+    return out.join(sizes, F.expr(same)).selectExpr(*names, "_size", "_rank", "_value", "_below", "_count")
 
 
 def quantile_table(long: DataFrame, keys: list[str], probs: list[float], value: str = "v", lower: list[float] | None = None,
@@ -111,14 +119,14 @@ def quantile_table(long: DataFrame, keys: list[str], probs: list[float], value:
     value whose share of rows reaches the probability."""
     asked = [(float(p), False) for p in probs] + [(float(p), True) for p in lower or []]
     found = rank_values(long, keys, asked, value, first)
-    per = found.groupBy(*keys, "n").agg(F.expr("map_from_entries(collect_list(struct(rank, value))) as at"))
+    per = found.groupBy(*keys, "_size").agg(F.expr("map_from_entries(collect_list(struct(_rank, _value))) as _at"))
     q = []
     for p, discrete in asked:
-        low, *more = _places("n", p, discrete)
-        a = f"at[{low}]"
+        low, *more = _places("_size", p, discrete)
+        a = f"_at[{low}]"
         if more:
             high, h = more
-            b = f"at[{high}]"
+            b = f"_at[{high}]"
             a = f"if({a} = {b}, {a}, ({high} - {h}) * {a} + ({h} - {low}) * {b})"
         q.append(a)
     return per.selectExpr(*[f"`{k}`" for k in keys], f"array({', '.join(q)}) as q")

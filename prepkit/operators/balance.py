@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import canonical_str, clean_value, hash_bigint, is_numeric
 from ..functions.numbering import global_row_number, rank_within_group, small_side
+from ..functions.selection import mark_first
 from ..functions.stats import exact_quantiles, unpivot_values
 from ..session import ensure_checkpoint_dir, shuffle_partitions
 
@@ -110,30 +111,13 @@ def random_oversample(df: DataFrame, t: str, seed: int = 42,
 
 
 def random_undersample(df: DataFrame, t: str, seed: int = 42,
-                       row_id: list[str] | None = None, slack: float = 1.2) -> DataFrame:
+                       row_id: list[str] | None = None) -> DataFrame:
     """B2: drop NULL targets; keep the ``min`` smallest-hash rows of every class.
 
-    Big classes are pre-filtered by the hash itself (a row survives when its
-    hash share is below ``slack * min / count``), so the numbering sees about
-    ``min`` rows per class; a class left short is re-run without the filter.
-    """
+    The hash at rank ``min`` of a class is its cut, so the rows are filtered and never sorted."""
     base = df.where(clean_value(df, t).isNotNull())
-    counts = class_table(base, t)
-    mn = counts.agg(F.min("n")).first()[0]
-    if mn is None:
-        return base
-    order = _order(base, row_id, seed)
-    share = F.least(F.lit(1.0), F.lit(slack * mn) / F.col("n") + F.lit(1e-9) + F.lit(1000.0) / F.col("n"))
-    limits = counts.select(t, share.alias("_share"))
-    kept = order[0].cast("double") / F.lit(_TWO60) < F.col("_share")
-    pre = base.join(small_side(limits), t).where(kept).select(*base.columns)
-    got = pre.groupBy(t).agg(F.count(F.lit(1)).alias("got"))
-    short = counts.join(got, t, "left").where(F.coalesce("got", F.lit(0)) < mn).select(t).checkpoint(eager=True)
-    if short.limit(1).count():
-        side = small_side(short)
-        pre = pre.join(side, t, "left_anti").unionByName(base.join(side, t, "left_semi"))
-    ranked = rank_within_group(pre, [t], order, name="_r")
-    return ranked.where(F.col("_r") <= mn).select(*df.columns)
+    marked = mark_first(base, [t], _order(base, row_id, seed), lambda sizes: str(sizes.agg(F.min("_size")).first()[0] or 0))
+    return marked.where("_in").drop("_in")
 
 
 def _normal(*parts: Column) -> Column:

@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clean_value, hash_bigint, is_numeric
-from ..functions.numbering import global_row_number, rank_within_group
+from ..functions.numbering import global_row_number
+from ..functions.selection import mark_first
 from ..session import ensure_checkpoint_dir, shuffle_partitions
 from .target import few_distinct, problem_type
 
@@ -39,9 +40,8 @@ def split(df: DataFrame, t: str, test: float = 0.2, seed: int = 42, stratify: bo
     if not stratify:
         return df.withColumn(col, F.when(h.cast("double") / F.lit(float(1 << 60)) < test, "test")
                              .otherwise("train"))
-    ranked = rank_within_group(df, [t], [h, *[F.col(k) for k in keys]], name="_r", size_col="_n")
-    is_test = F.col("_r") <= F.round(F.col("_n") * F.lit(test))
-    return ranked.withColumn(col, F.when(is_test, "test").otherwise("train")).drop("_r", "_n")
+    marked = mark_first(df, [t], [h, *[F.col(k) for k in keys]], lambda sizes: f"round(_size * {float(test)!r}D)", "_test")
+    return marked.withColumn(col, F.when(F.col("_test"), "test").otherwise("train")).drop("_test")
 
 
 # --- M2 ------------------------------------------------------------------------

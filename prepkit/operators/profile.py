@@ -71,7 +71,8 @@ def numeric_histogram(df: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFr
 
 
 def _moments(hist: DataFrame) -> DataFrame:
-    """Moments of a column from those of its buckets (column_name, c, low, high, mean, var, g1, g2)."""
+    """Moments of a column from those of its buckets."""
+    hist = hist.withColumnsRenamed({"_count": "c", "_low": "low", "_high": "high"})
     total = hist.groupBy("column_name").agg(F.expr("sum(c) as count"), F.expr("min(low) as min"), F.expr("max(high) as max"),
                                             F.expr("sum(c * mean) / sum(c) as all_mean"))
     # central sums of a bucket around its own mean, then around that of the column

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import canonical_str, clean_value, hash_bigint, is_float, trim_ws
 from ..functions.fitting import StatsRequest
-from ..functions.numbering import global_row_number, join_null_safe, ntile_from_rank
+from ..functions.numbering import global_row_number, join_null_safe
+from ..functions.selection import ntile
 from ..session import ensure_checkpoint_dir
 
 log = logging.getLogger(__name__)
@@ -320,16 +321,11 @@ def _join_encoding(step: Step, df: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def _binning(step: Step, df: DataFrame, order_by: list[str]) -> DataFrame:
-    """NTILE(k) OVER (ORDER BY x NULLS FIRST, row ids) via exact global numbering."""
+    """NTILE(k) OVER (ORDER BY x NULLS FIRST, row ids) by its k - 1 cuts."""
     c, k = step.column, int(step.params["num_bins"])
     if not order_by:
         raise ValueError("binning needs a unique row id (order_by) for a repeatable order")
-    v = clean_value(df, c)
-    numbered = global_row_number(df, [v.asc_nulls_first(), *[F.col(o) for o in order_by]],
-                                 name="_rn")
-    n = df.count()
-    return numbered.withColumn(f"{c}_bin", ntile_from_rank(F.col("_rn"), F.lit(n), k)) \
-        .drop("_rn")
+    return ntile(df, clean_value(df, c), order_by, k, f"{c}_bin")
 
 
 class TemplateSet:

@@ -75,7 +75,7 @@ def test_quantiles_of_many_groups_and_null_keys(spark):
         assert got[g] == pytest.approx([*np.quantile(v, [0.1, 0.5, 0.99]), v[math.ceil(len(v) / 2) - 1]], rel=1e-12)
     by_rank = radix.rank_values(df, ["g"], spark.createDataFrame([(999, 0), (999, 4999), (999, 5000), (1001, 0)], "g int, rank long"))
     hot = np.sort(want[999])
-    assert sorted(map(tuple, by_rank.collect())) == [(999, 5000, 0, hot[0]), (999, 5000, 4999, hot[-1]), (1001, 1, 0, 7.0)]
+    assert sorted(map(tuple, by_rank.collect())) == [(999, 5000, 0, hot[0], 0, 1), (999, 5000, 4999, hot[-1], 4999, 1), (1001, 1, 0, 7.0, 0, 1)]
 
 
 def _plan(df):
