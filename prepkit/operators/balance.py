@@ -221,7 +221,6 @@ OWN_NAMES = {
     "kde_resample": "kde-based resampling", "quantile_bin_oversample": "quantile-based binning + oversampling",
     "tail_resample": "tail-focused resampling",
 }
-NOT_BUILT = ("smoter",)
 
 
 def technique_of(name: str) -> tuple[str, str]:
@@ -241,12 +240,11 @@ def balance(df: DataFrame, t: str, technique: str, seed: int = 42,
     ``binary`` cleans the target first.  A categorical numeric target is bigint in the
     result, rounded half to even."""
     from . import neighbours as NB
+    from .smoter import smoter
     from .target import clean_binary_target, flatten_target_cell, target_type
     if binary:
         df = clean_binary_target(flatten_target_cell(df, t), t)
     wanted, name = technique_of(technique)
-    if name in NOT_BUILT:
-        raise NotImplementedError(f"{name} is not built")
     kind = target_type(df, t)
     if kind != wanted:
         raise ValueError(f"Unsupported {kind} technique: {technique}")
@@ -257,6 +255,7 @@ def balance(df: DataFrame, t: str, technique: str, seed: int = 42,
         "smotenc": lambda: NB.smotenc(df, t, row_id, category_columns(df, t), seed=seed),
         "adasyn": lambda: NB.adasyn(df, t, row_id, seed=seed),
         "cluster-based oversampling": lambda: cluster_oversample(df, t, seed=seed, row_id=row_id),
+        "smoter": lambda: smoter(df, t, row_id, seed=seed),
         "gaussian noise injection": lambda: gaussian_noise(df, t, seed=seed, row_id=row_id),
         "kde-based resampling": lambda: kde_resample(df, t, seed=seed, row_id=row_id),
         "quantile-based binning + oversampling": lambda: quantile_bin_oversample(df, t, seed=seed, row_id=row_id),

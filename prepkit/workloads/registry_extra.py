@@ -14,6 +14,7 @@ from ..operators import leakage as K
 from ..operators import model as M
 from ..operators import neighbours as NB
 from ..operators import profile as P
+from ..operators import smoter as SM
 from ..operators import target as I
 from ..operators.transforms import TemplateSet
 from ..plans.feature_plan import FeaturePlan
@@ -24,7 +25,7 @@ from ..sources.io import read_table
 from . import sqlgen as S
 from .registry import ORACLE, QUERIES, register
 from .registry_analysis import _LEAKY, LI, TRUTHY_SQL
-from .registry_model import _SPLIT, EV_COLS, h, vc
+from .registry_model import _SPLIT, EV_COLS, h, vc, z
 
 LI_KEYS = "l_orderkey, l_linenumber, l_quantity, l_extendedprice"
 
@@ -494,6 +495,82 @@ def _q(spark, sf):
     return B.balance(FX.doc_numeric(spark, sf), "target", "adasyn", row_id=["doc_id"])
 
 
+# --- B7: SMOTER --------------------------------------------------------------------------------
+
+_EV3 = "e AS (SELECT event_id, user_id, value FROM events)"
+_RUNS = (
+    "q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS mid, quantile_cont(value, 0.75) AS q3, "
+    "min(value) AS least, max(value) AS most FROM e), "
+    "w AS (SELECT mid, least, most, (SELECT min(value) FROM e WHERE value >= q1 - 1.5 * (q3 - q1)) AS low, "
+    "(SELECT max(value) FROM e WHERE value <= q3 + 1.5 * (q3 - q1)) AS high FROM q), "
+    "cp AS (SELECT mid, CASE WHEN least < low THEN low ELSE least END AS a, CASE WHEN least < low THEN 1.0 ELSE 0.0 END AS pa, "
+    "CASE WHEN most > high THEN high ELSE most END AS b, CASE WHEN most > high THEN 1.0 ELSE 0.0 END AS pb FROM w), "
+    "s AS (SELECT e.*, cp.*, CASE WHEN value < mid THEN (value - a) / (mid - a) ELSE (value - mid) / (b - mid) END AS x FROM e, cp), "
+    "r AS (SELECT event_id, user_id, value, CAST(CASE WHEN value <= a THEN pa WHEN value >= b THEN pb WHEN value < mid "
+    "THEN pa - pa * x * x * (3 - 2 * x) ELSE pb * x * x * (3 - 2 * x) END AS DOUBLE) AS relevance FROM s), "
+    "f AS (SELECT *, relevance >= 0.5 AS rare FROM r), "
+    "g AS (SELECT *, rare <> lag(rare, 1, rare) OVER (ORDER BY value, event_id) AS turn FROM f), "
+    "runs AS (SELECT event_id, user_id, value, relevance, rare, CAST(sum(turn::INT) OVER (ORDER BY value, event_id) AS INTEGER) AS run FROM g), "
+    "size AS (SELECT run, rare, count(*) AS n, CAST(round_even(sum(count(*)) OVER () / count(*) OVER (), 0) AS BIGINT) AS want FROM runs GROUP BY run, rare), "
+    f"num AS (SELECT runs.*, n, want, row_number() OVER (PARTITION BY run ORDER BY {h(vc('event_id'), chr(39) + '42' + chr(39))}, event_id) AS place "
+    "FROM runs JOIN size USING (run, rare))")
+
+
+def _smoter_new() -> str:
+    def at(tag):
+        return _seeded("run", "place", "j", "'42'", f"'{tag}'")
+
+    def noise(tag):
+        return z(vc("run"), vc("place"), vc("j"), "'42'", f"'{tag}'")
+
+    return (
+        "m AS (SELECT * FROM num WHERE want > n), sd AS (SELECT run, stddev_samp(value) AS sy, stddev_samp(user_id) AS sx, "
+        "min(user_id) > 0 AS pos FROM m GROUP BY run), "
+        "nn AS (SELECT a.run, a.place, b.user_id AS x1, b.value AS y1, power(CAST(a.user_id AS DOUBLE) - CAST(b.user_id AS DOUBLE), 2) AS d2, "
+        "row_number() OVER (PARTITION BY a.run, a.place ORDER BY power(CAST(a.user_id AS DOUBLE) - CAST(b.user_id AS DOUBLE), 2), b.place) AS rank "
+        "FROM m a JOIN m b ON a.run = b.run AND a.place <> b.place QUALIFY rank <= 5), "
+        "ar AS (SELECT run, place, count(*) AS k, median(sqrt(d2)) / 2 AS safe FROM nn GROUP BY run, place), "
+        "dr AS (SELECT m.*, k, safe, sy, sx, pos, unnest(range(1, want // n + (place <= want % n)::INT)) AS j "
+        "FROM m JOIN sd USING (run) LEFT JOIN ar USING (run, place)), "
+        f"dp AS (SELECT *, {at('nn')} % k + 1 AS rank, CAST({at('u')} AS DOUBLE) / power(2, 60) AS u, least(coalesce(safe, 0.02), 0.02) AS step FROM dr), "
+        "dn AS (SELECT dp.*, x1, y1, d2, coalesce(sqrt(d2) < safe, false) AS mid, sqrt(power(u, 2) * d2) AS a, sqrt(power(1 - u, 2) * d2) AS b "
+        "FROM dp LEFT JOIN nn USING (run, place, rank)), "
+        f"nx AS (SELECT *, CASE WHEN mid THEN user_id + u * (x1 - user_id) ELSE user_id + {noise('x0')} * step * sx END AS x, "
+        f"CASE WHEN mid THEN CASE WHEN a = b THEN (value + y1) / 2 ELSE (b * value + a * y1) / (a + b) END ELSE value + {noise('y')} * step * sy END AS y FROM dn), "
+        "made AS (SELECT CAST(NULL AS BIGINT) AS event_id, CAST(round_even(CASE WHEN pos THEN greatest(x, 0) ELSE x END, 0) AS BIGINT) AS user_id, y AS value FROM nx)")
+
+
+def _ev3(spark, sf):
+    return read_table(spark, sf, "events").select("event_id", "user_id", "value")
+
+
+@register("smoter_relevance_events", f"WITH {_EV3}, {_RUNS} SELECT event_id, relevance, rare, run FROM runs")
+def _q(spark, sf):
+    e = _ev3(spark, sf)
+    points = SM.control_points(e, "value")
+    runs = SM.target_runs(e, "value", points)
+    phi = SM.relevance(F.col("value"), points)
+    return e.select("event_id", phi.alias("relevance"), (phi >= 0.5).alias("rare"), SM.run_of(F.col("value"), runs).cast("int").alias("run"))
+
+
+@register("smoter_runs_events", f"WITH {_EV3}, {_RUNS} SELECT run, rare, n, want FROM size")
+def _q(spark, sf):
+    e = _ev3(spark, sf)
+    runs = SM.target_runs(e, "value", SM.control_points(e, "value"))
+    return spark.createDataFrame([(i, r.rare, r.n, r.want) for i, r in enumerate(runs)], "run int, rare boolean, n long, want long")
+
+
+@register("smoter_events", f"WITH {_EV3}, {_RUNS}, {_smoter_new()} SELECT event_id, user_id, value FROM num WHERE place <= want "
+          "UNION ALL SELECT event_id, user_id, value FROM made")
+def _q(spark, sf):
+    return B.balance(_ev3(spark, sf), "value", "SMOTER", row_id=["event_id"])
+
+
+@register("smoter_events_with_categories")
+def _q(spark, sf):
+    return SM.smoter(FX.event_tail(spark, sf), "value", row_id=["event_id"])
+
+
 # --- M: a model that SQL can fit ---------------------------------------------------------------
 
 
