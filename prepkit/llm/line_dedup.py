@@ -3,20 +3,22 @@
 Every line gets a hash; a rolling hash over two neighbouring line hashes chooses
 chunk boundaries where it is the least of three in a row (so boundaries depend on
 nearby lines only, and at least every third line ends a chunk), and lines of
-``LONG`` words or more are chunks of their own.  What is looked up globally are the
+``min_words / 4`` words or more are chunks of their own.  What is looked up globally are the
 *runs* of up to five lines around a boundary: the lines before it with the next line,
 and the line before it with the next ones; besides, single lines of more than
-``MIN_WORDS`` words.  A run ends at the boundaries of long lines, which are the same
+``min_words`` words.  A run ends at the boundaries of long lines, which are the same
 wherever the line stands; other boundaries near the ends of a passage may depend on
 what stands around it, so a run looks past them.  A passage of two lines or more, of
-more than ``MIN_WORDS`` words together, has a boundary inside that all its copies share,
+more than ``min_words`` words together, has a boundary inside that all its copies share,
 and another one every three lines at most, so all its lines lie in runs that the copies
 have in common.
 
-A run is redundant where the same sequence of line hashes stands earlier (in the
-order of doc_id and line), provided that the bytes behind these hashes are equal.
-Neighbouring lines of redundant runs make a passage, which is removed if it has
-more than ``MIN_WORDS`` words.  The first copy of a line always stays somewhere.
+Lines in runs that stand in more than one place (equal line hashes, provided that the bytes
+behind them are equal) make the *regions* of a document.  A region may be glued together from
+repeats of different origin, so it is cut into windows: from every line on, and up to every line,
+the fewest lines that have more than ``min_words`` words.  A window that stands earlier (in the order
+of doc_id and line) as a whole is removed.  Every line of a passage of so many words lies in such a
+window inside the passage, so exactly the passages go that stand as one at one earlier place.
 
 Only DataFrame functions; texts are shuffled once, at the end.
 """
@@ -26,7 +28,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-LONG = 13            #: words; of a passage of 2 to 4 lines and over 50 words one line at least is so long
 MIN_WORDS = 50       #: passages of more words are removed; words stand between space and \\t-\\r
 PRIME = 2147483647
 NO_ID = -2**63
@@ -57,9 +58,15 @@ def _words(lines: str) -> str:
 
 
 HASHES = "transform(lines, x -> cast(conv(substring(md5(x), 1, 15), 16, 10) as bigint))"
-#: rolling hash over two line hashes; long lines are marked by -1
-ROLLING = f"""transform(hashes, (h, i) -> if(words[i] >= {LONG}, -1L,
-    (if(i > 0, hashes[i - 1] % {PRIME}, 0L) * 31 + h % {PRIME}) % {PRIME}))"""
+
+
+def _rolling(min_words: int) -> str:
+    """Rolling hash over two line hashes; long lines are marked by -1.
+
+    Of a passage of 2 to 4 lines and more than ``min_words`` words one line at least is long."""
+    return f"""transform(hashes, (h, i) -> if(words[i] >= {min_words // 4 + 1}, -1L,
+        (if(i > 0, hashes[i - 1] % {PRIME}, 0L) * 31 + h % {PRIME}) % {PRIME}))"""
+
 
 
 def _least(i: str, others: list[str]) -> str:
@@ -83,42 +90,66 @@ FIRST = "greatest(0, b - {r}, {m})".format(r=REACH, m=", ".join(
 LAST = "least(size(r) - 1, b + {r}, {m})".format(r=REACH, m=", ".join(
     f"if({_hard(f'b + {d}')}, b + {d}, size(r))" for d in range(1, REACH + 1)))
 NONE = "cast(array() as array<struct<a: int, z: int>>)"
-#: [from, to] of the runs at every boundary; single lines are runs if they are long enough
-RUNS = f"""array_distinct(flatten(transform(ends, b -> concat(
-    if(words[b] > {MIN_WORDS}, array(struct(b as a, b as z)), {NONE}),
-    if(b = size(hashes) - 1, {NONE}, concat(
-        transform(sequence({FIRST}, b), j -> struct(j as a, b + 1 as z)),
-        if({LAST} > b + 1, transform(sequence(b + 2, {LAST}), j -> struct(b as a, j as z)), {NONE})))))))"""
 
 
-def runs(docs: DataFrame) -> DataFrame:
+def _runs_at_boundaries(min_words: int) -> str:
+    """[from, to] of the runs at every boundary; single lines are runs if they are long enough."""
+    return f"""array_distinct(flatten(transform(ends, b -> concat(
+        if(words[b] > {min_words}, array(struct(b as a, b as z)), {NONE}),
+        if(b = size(hashes) - 1, {NONE}, concat(
+            transform(sequence({FIRST}, b), j -> struct(j as a, b + 1 as z)),
+            if({LAST} > b + 1, transform(sequence(b + 2, {LAST}), j -> struct(b as a, j as z)), {NONE})))))))"""
+
+
+def runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """_id, _h, a, z, run: the line hashes a..z of every run that is looked up."""
     rows = (_lines(docs).where("size(lines) > 1 or length(lines[0]) > 0")
             .select("_id", "_h", F.expr(HASHES).alias("hashes"), F.expr(_words("lines")).alias("words")))
-    rows = rows.select("_id", "_h", "hashes", "words", F.expr(ROLLING).alias("r"))
+    rows = rows.select("_id", "_h", "hashes", "words", F.expr(_rolling(min_words)).alias("r"))
     rows = rows.select("_id", "_h", "hashes", "words", "r", F.expr(BOUNDARIES).alias("ends"))
     rows = rows.select("_id", "_h", F.explode(F.expr(
-        f"transform({RUNS}, x -> struct(x.a as a, x.z as z, slice(hashes, x.a + 1, x.z - x.a + 1) as run))")).alias("x"))
+        f"transform({_runs_at_boundaries(min_words)}, x -> struct(x.a as a, x.z as z, slice(hashes, x.a + 1, x.z - x.a + 1) as run))")).alias("x"))
     return rows.select("_id", "_h", "x.a", "x.z", "x.run")
 
 
-def marks(docs: DataFrame) -> DataFrame:
-    """_id, _h, ranges, seen: of the documents that hold a repeated run, the redundant neighbouring
-    lines as [a, z] (null: none) and the numbers of all lines in repeated runs.  Checkpointed."""
-    all_runs = runs(docs)
-    firsts = (all_runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "_h", "a")).alias("first"))
-              .where("n > 1").select("run", "first"))
-    found = all_runs.join(firsts, "run").select(
-        "_id", "_h", "a", "z", (F.struct("_id", "_h", "a") != F.col("first")).alias("later"))
-    lines = (found.select("_id", "_h", "later", F.explode(F.sequence("a", "z")).alias("line"))
-             .groupBy("_id", "_h", "line").agg(F.max("later").alias("later")).checkpoint())
-    # gaps and islands
-    order = W.partitionBy("_id", "_h").orderBy("line")
-    islands = (lines.where("later").withColumn("island", F.col("line") - F.row_number().over(order))
-               .groupBy("_id", "_h", "island").agg(F.min("line").alias("a"), F.max("line").alias("z"))
-               .groupBy("_id", "_h").agg(F.sort_array(F.collect_list(F.struct("a", "z"))).alias("ranges")))
-    seen = lines.groupBy("_id", "_h").agg(F.collect_list("line").alias("seen"))
-    return seen.join(islands, ["_id", "_h"], "left").checkpoint()
+#: neighbouring or overlapping ranges of a sorted array made one
+MERGED = """aggregate({ranges}, cast(array() as array<struct<a: int, z: int>>), (s, x) -> if(
+    size(s) > 0 and x.a <= element_at(s, -1).z + {gap}, concat(slice(s, 1, size(s) - 1),
+    array(struct(element_at(s, -1).a as a, greatest(element_at(s, -1).z, x.z) as z))), concat(s, array(struct(x.a as a, x.z as z)))))"""
+
+
+def regions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """_id, _h, regions: of the documents that hold a repeated run, its lines as sorted [a, z].  Checkpointed."""
+    all_runs = runs(docs, min_words)
+    repeated = all_runs.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("run")
+    found = all_runs.join(repeated, "run").groupBy("_id", "_h").agg(F.sort_array(F.collect_set(F.struct("a", "z"))).alias("spans"))
+    return found.select("_id", "_h", F.expr(MERGED.format(ranges="spans", gap=1)).alias("regions")).checkpoint()
+
+
+def passages(docs: DataFrame, marked: DataFrame, min_words: int) -> DataFrame:
+    """_id, _h, ranges: the lines of windows that stand earlier as a whole, as sorted disjoint [a, z].  Checkpointed."""
+    rows = (_texts(docs).join(marked, ["_id", "_h"]).select("_id", "_h", "regions", F.expr("split(text, '\\n', -1)").alias("lines"))
+            .select("_id", "_h", "regions", F.expr(HASHES).alias("hashes"), F.expr(_words("lines")).alias("words"))
+            .select("_id", "_h", F.explode(F.expr("flatten(transform(regions, (x, r) -> transform(sequence(x.a, x.z), "
+                                                  "i -> struct(r as region, i as line, hashes[i] as hash, words[i] as words))))")).alias("x"))
+            .select("_id", "_h", "x.*"))
+    # rows of one id and text are one document
+    rows = rows.repartition("_id", "_h").dropDuplicates(["_id", "_h", "line"])
+    region = W.partitionBy("_id", "_h", "region")
+    rows = rows.withColumn("upto", F.sum("words").over(region.orderBy("line").rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumn("before", F.col("upto") - F.col("words"))
+    one = F.collect_list(F.struct("line", "hash", "words"))
+    rows = rows.select("_id", "_h", one.over(region.orderBy("before").rangeBetween(0, min_words)).alias("on"),
+                       one.over(region.orderBy("upto").rangeBetween(-min_words, 0)).alias("back"))
+    rows = rows.select("_id", "_h", F.explode(F.array(F.sort_array("on"), F.sort_array("back"))).alias("w"))
+    rows = rows.where(f"aggregate(w, 0, (s, x) -> s + x.words) > {min_words}").select(
+        "_id", "_h", F.expr("w[0].line").alias("a"), F.expr("w[size(w) - 1].line").alias("z"),
+        F.expr("struct(xxhash64(w.hash) as h, md5(cast(w.hash as string)) as m)").alias("window")).distinct().checkpoint()
+    firsts = (rows.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "_h", "a")).alias("first"))
+              .where("n > 1").select("window", "first"))
+    later = rows.join(firsts, "window").where(F.struct("_id", "_h", "a") != F.col("first"))
+    return later.groupBy("_id", "_h").agg(F.sort_array(F.collect_set(F.struct("a", "z"))).alias("spans")).select(
+        "_id", "_h", F.expr(MERGED.format(ranges="spans", gap=1)).alias("ranges")).checkpoint()
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -130,31 +161,30 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _clashes(docs: DataFrame, marked: DataFrame) -> list[str]:
-    """Line hashes behind which different bytes stand, among all lines of repeated runs.
+    """Line hashes behind which different bytes stand, among all lines of regions.
 
     The lines are compared byte by byte; equal ones are merged before the shuffle.  Hashes
     have 60 bits, so the answer is next to always empty."""
-    lines = (_texts(docs).join(marked, ["_id", "_h"]).select(F.expr("split(text, '\\n', -1)").alias("lines"), "seen")
-             .select(F.explode(F.expr("transform(seen, i -> lines[i])")).alias("line")))
+    lines = (_texts(docs).join(marked, ["_id", "_h"]).select(F.expr("split(text, '\\n', -1)").alias("lines"), "regions")
+             .select(F.explode(F.expr("flatten(transform(regions, x -> slice(lines, x.a + 1, x.z - x.a + 1)))")).alias("line")))
     return (lines.groupBy(F.expr("substring(md5(line), 1, 15)").alias("hash"))
             .agg(F.min("line").alias("one"), F.max("line").alias("other")).where("one <> other")
             .agg(F.collect_set("hash")).first()[0])
 
 
-def cleaned(docs: DataFrame) -> DataFrame:
+def cleaned(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """_row (all columns of a document), n_lines, n_removed, words_removed, text (what is left)."""
-    marked = marks(docs)
-    n, numbers = marked.agg(F.count(F.lit(1)), F.sum(F.size("seen"))).first()
+    marked = regions(docs, min_words)
+    n, numbers = marked.agg(F.count(F.lit(1)), F.sum(F.expr("aggregate(regions, 0, (s, x) -> s + x.z - x.a + 1)"))).first()
     small = n <= BROADCAST_DOCS and (numbers or 0) <= 10 * BROADCAST_DOCS
     hint = F.broadcast if small else (lambda d: d)
-    clashes = _clashes(docs, hint(marked.select("_id", "_h", "seen")))
-    ranges = marked.where("ranges is not null").select("_id", "_h", "ranges")
+    clashes = _clashes(docs, hint(marked))
+    ranges = passages(docs, hint(marked), min_words)
     rows = _texts(docs).join(hint(ranges), ["_id", "_h"], "left").withColumn("lines", F.expr("split(text, '\\n', -1)"))
-    # a passage goes if it is long enough, and all its bytes are those of the earlier one
-    rows = rows.withColumn("ranges", F.expr(
-        f"filter(transform(ranges, x -> struct(x.a, x.z, aggregate({_words('slice(lines, x.a + 1, x.z - x.a + 1)')}, "
-        f"0, (s, w) -> s + w) as w)), x -> x.w > {MIN_WORDS})"))
+    inside = _words("slice(lines, x.a + 1, x.z - x.a + 1)")
+    rows = rows.withColumn("ranges", F.expr(f"transform(ranges, x -> struct(x.a as a, x.z as z, aggregate({inside}, 0, (s, w) -> s + w) as w))"))
     if clashes:
+        # a passage goes if all its bytes are those of the earlier one
         rows = rows.withColumn("bad", F.array(*[F.lit(x) for x in clashes])).withColumn("ranges", F.expr(
             "filter(ranges, x -> not exists(slice(lines, x.a + 1, x.z - x.a + 1), "
             "y -> array_contains(bad, substring(md5(y), 1, 15))))"))
@@ -167,23 +197,24 @@ def cleaned(docs: DataFrame) -> DataFrame:
         .otherwise(F.col("text")).alias("text"))
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """documents(doc_id, text) -> doc_id, n_lines, n_removed, words_removed long, text string.
 
-    One row per input row; ``text`` is what is left, its lines joined by \\n.  Of equal
+    One row per input row; ``text`` is what is left, its lines joined by \\n.  What goes are passages of
+    whole lines and more than ``min_words`` words that stand as one passage at one earlier place.  Of equal
     passages the one with the least doc_id and line stays; null doc_ids come first.  Null
     texts stay null and have no lines; empty texts have one empty line.  Rows with equal
     doc_id and text are one document to the operator, so they lose the same lines.
     Other columns are ignored.
     """
-    return cleaned(docs).select(F.col("_row.doc_id").cast("long").alias("doc_id"), "n_lines", "n_removed",
+    return cleaned(docs, min_words).select(F.col("_row.doc_id").cast("long").alias("doc_id"), "n_lines", "n_removed",
                                 "words_removed", "text")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with all their columns, repeated passages cut out of ``text`` (and ``n_chars``
     counted anew); a document that loses all its words goes."""
-    rows = cleaned(docs)
+    rows = cleaned(docs, min_words)
     left = (F.col("n_removed") == 0) | (F.col("text").rlike(r"[^ \t-\r]"))
     text = {"text": F.col("text")}
     if "n_chars" in docs.columns:

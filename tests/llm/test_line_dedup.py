@@ -1,59 +1,37 @@
 import collections
-import hashlib
 import random
 import re
 
 from prepkit.llm import line_dedup as L
 
 
-def runs(lines):
-    """(first, last) line of every run around the ends of chunks, and of long lines."""
-    n = len(lines)
-    words = [x.count(" ") + 1 for x in lines]
-    h = [int(hashlib.md5(x.encode()).hexdigest()[:15], 16) for x in lines]
-    r = [-1 if w >= L.LONG else ((h[i - 1] % L.PRIME if i else 0) * 31 + h[i] % L.PRIME) % L.PRIME for i, w in enumerate(words)]
-
-    def least(i, others):
-        return all(r[i] <= (r[j] if 0 <= j < n else L.PRIME) for j in others)
-
-    def hard(i):
-        return 0 <= i < n and r[i] == -1 or 0 <= i + 1 < n and r[i + 1] == -1
+def words(text):
+    return [w for w in re.split("[\x20\x09-\x0d]", text) if w]
 
-    out = set()
-    for b in range(n):
-        if not (b == n - 1 or hard(b) or least(b, (b - 1, b - 2)) or least(b, (b - 1, b + 1)) or least(b, (b + 1, b + 2))):
-            continue
-        if words[b] > L.MIN_WORDS:
-            out.add((b, b))
-        if b < n - 1:
-            first = max([0, b - 3] + [b - d + 1 for d in (1, 2, 3) if hard(b - d)])
-            last = min([n - 1, b + 3] + [b + d for d in (1, 2, 3) if hard(b + d)])
-            out |= {(j, b + 1) for j in range(first, b + 1)} | {(b, j) for j in range(b + 2, last + 1)}
-    return out
 
+def brute(rows, min_words=50):
+    """Removed lines per (id, text): maximal passages of equal lines that stand at one earlier place.
 
-def brute(rows):
-    """Removed lines per (id, text): those in runs that stand earlier, in passages of over 50 words."""
+    Walks all documents line by line and follows every earlier place with the same line."""
+    texts = sorted({(-2**63 if d is None else d, t) for d, t in rows if t}, key=lambda x: x[0])
+    order = {}
+    for d, t in texts:
+        order.setdefault(d, []).append(t)
+    assert all(len(v) == 1 for v in order.values())         # one text an id, so the order is clear
     places = collections.defaultdict(list)
-    texts = {(-2**63 if d is None else d, t) for d, t in rows if t}
+    gone = collections.defaultdict(set)
     for d, t in texts:
         lines = t.split("\n")
-        for a, z in runs(lines):
-            places[tuple(lines[a:z + 1])].append((d, a, z, t))
-    marked = collections.defaultdict(set)
-    for at in places.values():
-        for d, a, z, t in sorted(at)[1:]:
-            marked[d, t] |= set(range(a, z + 1))
-    gone = collections.defaultdict(set)
-    for (d, t), m in marked.items():
-        lines, i = t.split("\n"), 0
-        while i < len(lines):
-            j = i
-            while j in m:
-                j += 1
-            if sum(x.count(" ") + 1 for x in lines[i:j]) > L.MIN_WORDS:
-                gone[d, t] |= set(range(i, j))
-            i = max(j, i + 1)
+        size = [len(words(x)) for x in lines]
+        following = {}                                      # earlier place -> first line of the passage that reached it
+        for i, x in enumerate([*lines, None]):
+            now = {(e, j): following.pop((e, j - 1), i) for e, j in places[x]} if x is not None else {}
+            for start in following.values():                # passages that end before line i
+                if sum(size[start:i]) > min_words:
+                    gone[d, t] |= set(range(start, i))
+            following = now
+            if x is not None:
+                places[x].append((d, i))
     return gone
 
 
@@ -132,10 +110,6 @@ def test_real_documents(spark):
         assert r.text == "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone.get((r.doc_id, text), ())), r.doc_id
 
 
-def words(text):
-    return [w for w in re.split("[\x20\x09-\x0d]", text) if w]
-
-
 def test_words_are_counted_whatever_stands_between_them(spark):
     lines = ["", " ", "a", "a b", " a  b ", "a\tb c", "\t\t", "a\r", "  a", "a  b", "é\u2028x\x0bz", "a\x0cb", "\u00a0 x", "a "]
     df = spark.createDataFrame([(x,) for x in lines], "x string")
@@ -162,3 +136,19 @@ def test_tabs_padding_and_blank_lines(spark):
         assert len(words(got[d].text)) == len(words(text)) - got[d].words_removed, d
         assert got[d].words_removed == (len(words(passage)) if goes else 0), d
     assert {r.doc_id for r in L.without_repeats(df).collect()} == {r[0] for r in rows} - {100}
+
+
+def test_repeats_of_different_origin_are_not_added_up(spark):
+    rnd = random.Random(11)
+    a, b, c, d, e, f = (line(rnd, 15) for _ in range(6))
+    rows = [(1, f"{a}\n{b}"), (2, f"{c}\n{d}"), (3, f"{a}\n{b}\n{c}\n{d}"), (4, f"{a}\n{b}"),
+            (5, f"{e}\n{a}\n{b}\n{c}\n{d}\n{f}"),                     # as one passage in 3
+            (6, f"{c}\n{d}\n{a}\n{b}")]                                # in another order: nowhere as one
+    got = {r.doc_id: r for r in L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].n_removed for i in range(1, 7)] == [0, 0, 0, 0, 4, 0]
+    assert got[5].text == f"{e}\n{f}" and got[5].words_removed == 60
+    gone = brute(rows)
+    assert all(len(gone.get(r, ())) == got[r[0]].n_removed for r in rows)
+    short = {r.doc_id: r.n_removed for r in L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_words=20).collect()}
+    gone = brute(rows, 20)
+    assert short == {r[0]: len(gone.get(r, ())) for r in rows}
