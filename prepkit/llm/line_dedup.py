@@ -30,6 +30,9 @@ from pyspark.sql import functions as F
 
 MIN_WORDS = 50       #: passages of more words are removed; words stand between space and \\t-\\r
 PRIME = 2147483647
+#: windows that stand in more than rows / COMMON_WINDOWS places (and LEAST_COMMON) are common: COMMON_WINDOWS at most
+COMMON_WINDOWS = 20_000
+LEAST_COMMON = 32
 NO_ID = -2**63
 
 
@@ -146,8 +149,12 @@ def passages(docs: DataFrame, marked: DataFrame, min_words: int) -> DataFrame:
         "_id", "_h", F.expr("w[0].line").alias("a"), F.expr("w[size(w) - 1].line").alias("z"),
         F.expr("struct(xxhash64(w.hash) as h, md5(cast(w.hash as string)) as m)").alias("window")).distinct().checkpoint()
     firsts = (rows.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "_h", "a")).alias("first"))
-              .where("n > 1").select("window", "first"))
-    later = rows.join(firsts, "window").where(F.struct("_id", "_h", "a") != F.col("first"))
+              .where("n > 1").select("window", "n", "first").checkpoint())
+    # the rows of a very common window learn its place by a broadcast, so they do not meet in one task
+    many = max(LEAST_COMMON, rows.count() // COMMON_WINDOWS)
+    common, rare = F.broadcast(firsts.where(F.col("n") > many).drop("n")), firsts.where(F.col("n") <= many).drop("n")
+    later = rows.join(common, "window").union(rows.join(common.select("window"), "window", "left_anti").join(rare, "window"))
+    later = later.where(F.struct("_id", "_h", "a") != F.col("first"))
     return later.groupBy("_id", "_h").agg(F.sort_array(F.collect_set(F.struct("a", "z"))).alias("spans")).select(
         "_id", "_h", F.expr(MERGED.format(ranges="spans", gap=1)).alias("ranges")).checkpoint()
 
