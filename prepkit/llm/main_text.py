@@ -57,21 +57,25 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes noscrip
 
 
 class _Lines(HTMLParser):
-    """Events -> lines of [texts, tags, region, characters in links, open elements, open containers, doubtful].
+    """Events -> lines of [texts, tags, region, characters in links, block, container, doubtful].
 
-    Regions (an article, or the main element) are numbered from 1.  Doubtful are the open
-    elements that their names alone call no content."""
+    Regions (an article, or the main element) are numbered from 1.  The last three are numbers of the
+    innermost open elements of their kind (0: none); ``above`` has the next one around each.  Doubtful
+    are elements that their names alone call no content.  A line costs the same however deep it stands."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[list] = [[[], 0, 0, 0, (), (), ()]]
-        self.open: list[tuple[str, int, int, int]] = []     #: (tag, whether its text is out, region, number)
+        #: the next block, container and doubtful element around an element of that kind
+        self.above: tuple[dict[int, int], ...] = ({}, {}, {})
+        self.inner = (0, 0, 0)
+        self.lines: list[list] = [[[], 0, 0, 0, 0, 0, 0]]
+        self.open: list[tuple] = []     #: (tag, whether its text is out, region and inner elements around it)
+        self.places: dict[str, list[int]] = {}      #: where a tag stands among the open ones
         self.elements = 0
         self.links = 0
         self.out = 0
         self.region = 0
         self.regions = 0
-        self.doubtful: tuple[int, ...] = ()
 
     def updatepos(self, i, j):
         return j                    # nobody asks for line numbers
@@ -93,9 +97,17 @@ class _Lines(HTMLParser):
     def _break(self):
         line = self.lines[-1]
         if line[0]:
-            self.lines.append([[], 0, self.region, 0, (), (), self.doubtful])
+            self.lines.append([[], 0, self.region, 0, 0, 0, self.inner[2]])
         else:
-            line[2], line[6] = self.region, self.doubtful
+            line[2], line[6] = self.region, self.inner[2]
+
+    def _push(self, tag: str, out: int, kinds: tuple[bool, bool, bool]):
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, out, self.region, self.inner))
+        for above, around, is_one in zip(self.above, self.inner, kinds):
+            if is_one:
+                above[self.elements] = around
+        self.inner = tuple(self.elements if is_one else around for around, is_one in zip(self.inner, kinds))
 
     def _leaves(self, tag: str, attrs) -> tuple[bool, bool]:
         """Whether the text of an element is out, and whether only its length can save it."""
@@ -118,10 +130,8 @@ class _Lines(HTMLParser):
         for tag, out, _, _ in self.open[at:]:
             self.out -= out
             self.links -= tag == "a"
-        self.region = self.open[at][2]
-        if self.doubtful:
-            first = self.open[at][3]
-            self.doubtful = tuple(x for x in self.doubtful if x < first)
+            self.places[tag].pop()
+        _, _, self.region, self.inner = self.open[at]
         del self.open[at:]
 
     def _close_implied(self, tag: str):
@@ -155,14 +165,13 @@ class _Lines(HTMLParser):
         self.links += tag == "a"
         if self.out and tag in HEADINGS and self.region and self.open[-1][:2] == ("header", 1) and self.out == 1:
             # the heading of an article stays though it stands in the article's header
-            self.open.append((tag, -1, self.region, self.elements))
+            self._push(tag, -1, (True, False, False))
             self.out -= 1
             return
-        self.open.append((tag, int(out), self.region, self.elements))
+        self._push(tag, int(out), (block, tag in CONTAINERS, doubtful))
         self.out += out
         if doubtful:
-            self.doubtful += (self.elements,)
-            self.lines[-1][6] = self.doubtful
+            self.lines[-1][6] = self.inner[2]
         if tag in REGIONS and not self.region and not self.out:
             self.regions += 1
             self.region = self.regions
@@ -180,24 +189,24 @@ class _Lines(HTMLParser):
             if tag == "br":
                 self.handle_data("\n")
             return
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                if tag in BLOCKS:
-                    self._break()
-                self.lines[-1][1] += 1
-                self._pop(i)
-                if tag in BLOCKS:
-                    self.lines[-1][2], self.lines[-1][6] = self.region, self.doubtful
-                return
-            if self.open[i][0] in REGIONS and tag not in BLOCKS:
-                return
+        at = self.places.get(tag)
+        if not at:
+            return
+        around = max((self.places[x][-1] for x in REGIONS if self.places.get(x)), default=-1)
+        if tag not in BLOCKS and around > at[-1]:
+            return                      # an article is not closed by what stands in or around it
+        if tag in BLOCKS:
+            self._break()
+        self.lines[-1][1] += 1
+        self._pop(at[-1])
+        if tag in BLOCKS:
+            self.lines[-1][2], self.lines[-1][6] = self.region, self.inner[2]
 
     def handle_data(self, data):
         if not self.out:
             line = self.lines[-1]
             if not line[0] and not self.region:
-                line[4] = tuple(x[3] for x in self.open if x[0] in BLOCKS)
-                line[5] = tuple(x[3] for x in self.open if x[0] in CONTAINERS)
+                line[4], line[5] = self.inner[:2]
             line[0].append(data)
             if self.links:
                 line[3] += len(data)
@@ -226,13 +235,29 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def _around(paths: list[tuple]) -> tuple:
-    """The innermost element around all paths."""
-    around = paths[0]
-    for path in paths[1:]:
-        n = next((i for i, (x, y) in enumerate(zip(around, path)) if x != y), min(len(around), len(path)))
-        around = around[:n]
-    return around
+def _sums(above: dict[int, int], at: list[int], weights: np.ndarray) -> dict[int, float]:
+    """Weight inside every element (and inside the page, 0): that of the lines in it, at any depth."""
+    inside = dict.fromkeys(above, 0.0) | {0: 0.0}
+    for e, w in zip(at, weights.tolist()):
+        inside[e] += w
+    for e in sorted(above, reverse=True):           # an element has a larger number than those around it
+        inside[above[e]] += inside[e]
+    return inside
+
+
+def _around(above: dict[int, int], at: list[int]) -> int:
+    """The innermost element around all of the lines."""
+    inside = _sums(above, at, np.ones(len(at)))
+    return max(e for e, n in inside.items() if n == len(at))
+
+
+def _within(above: dict[int, int], roots: set[int]) -> set[int]:
+    """The elements that are one of ``roots`` or stand in one."""
+    found = {0} & roots
+    for e in sorted(above):
+        if e in roots or above[e] in found:
+            found.add(e)
+    return found
 
 
 def _content(lines: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
@@ -242,21 +267,20 @@ def _content(lines: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     return lengths, smooth >= threshold(smooth)
 
 
-def _without_doubtful(lines: list[tuple]) -> list[tuple]:
+def _without_doubtful(lines: list[tuple], above: dict[int, int]) -> list[tuple]:
     """The lines outside doubtful elements, and inside those that hold most of the text and of the
     content lines while no article elsewhere holds a content line or a line as long as one."""
-    doubtful = {e for x in lines for e in x[6]}
-    if not doubtful:
+    if not above:
         return lines
     lengths, content = _content(lines)
     told = (np.array([x[2] for x in lines]) > 0) & (content | (lengths >= threshold(lengths)))
-    saved = set()
-    for e in doubtful:
-        inside = np.array([e in x[6] for x in lines])
-        if (2 * lengths[inside].sum() > lengths.sum() and 2 * lengths[inside & content].sum() > lengths[content].sum()
-                and not (told & ~inside).any()):
-            saved.add(e)
-    return [x for x in lines if saved.issuperset(x[6])]
+    at = [x[6] for x in lines]
+    text, main, articles = (_sums(above, at, w) for w in (lengths, lengths * content, told.astype(float)))
+    kept = {0}
+    for e in sorted(above):
+        if above[e] in kept and 2 * text[e] > text[0] and 2 * main[e] > main[0] and articles[e] == articles[0]:
+            kept.add(e)
+    return [x for x in lines if x[6] in kept]
 
 
 def extract(html: str) -> str:
@@ -266,8 +290,10 @@ def extract(html: str) -> str:
     parser = _Lines()
     parser.feed(html)
     parser.close()
+    blocks, containers, doubtful = parser.above
     lines = [(" ".join("".join(x[0]).split()), *x[1:]) for x in parser.lines]
-    lines = _without_doubtful([x for x in lines if x[0]])
+    lines = [x for x in lines if x[0]]
+    lines = _without_doubtful(lines, doubtful) if lines else lines
     if not lines:
         return ""
     lengths, content = _content(lines)
@@ -281,14 +307,15 @@ def extract(html: str) -> str:
             chosen = {int(np.argmax(np.bincount(region, np.where(region > 0, lengths, 0))))}
         keep = outside | np.isin(region, list(chosen))
         if outside.any():
-            paths = [lines[i][5] for i in np.flatnonzero(outside)]
+            held = [lines[i][5] for i in np.flatnonzero(outside)]
             # lines of different parts of the page have no container in common but the page
-            around = {_around(paths)} if _around(paths) else set(paths) - {()}
-            keep |= (region == 0) & ~links & np.array([any(x[5][:n] in around for n in range(1, len(x[5]) + 1)) for x in lines])
+            around = _around(containers, held)
+            within = _within(containers, {around} if around else set(held) - {0})
+            keep |= (region == 0) & ~links & np.array([x[5] in within for x in lines])
     else:
         # the innermost element around all content lines, without its lists of links
-        around = _around([lines[i][4] for i in np.flatnonzero(content)])
-        keep = np.array([x[4][:len(around)] == around for x in lines]) & (content | ~links)
+        within = _within(blocks, {_around(blocks, [lines[i][4] for i in np.flatnonzero(content)])})
+        keep = np.array([x[4] in within for x in lines]) & (content | ~links)
     return "\n\n".join(x[0] for x, k in zip(lines, keep) if k)
 
 

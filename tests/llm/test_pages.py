@@ -2,6 +2,8 @@
 
 import re
 
+import numpy as np
+
 from prepkit.llm import main_text, url_filter
 
 HTML = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a = "</p><p>no";</script></head><body>
@@ -54,6 +56,30 @@ def test_class_words_do_not_drop_the_content():
     assert "reader" not in main_text.extract(f"<body><div class=post>{inner}</div>{comments}</body>")
 
 
+def test_the_ratio_chooses_the_regions(monkeypatch):
+    """Pages that come out wrong if every line counts as content."""
+    body = "<div class=body><h1>Head</h1>" + "".join(LONG_P % i for i in range(4)) + "</div>"
+    cards = "<div>" + "".join(f"<article class=card><a href=a>Card {i}</a></article>" for i in range(6)) + "</div>"
+    foot = "<div><div><span>a</span> <b>b</b> <i>c</i></div><div><u>d</u></div></div>"
+    pages = [f"<body>{cards}{body}</body>", f"<body>{body}{foot}</body>"]
+    got = [main_text.extract(p) for p in pages]
+    assert all("Card" not in t and "Head" in t and not t.endswith("d") for t in got)
+    plain = main_text._content
+    monkeypatch.setattr(main_text, "_content", lambda lines: (plain(lines)[0], np.ones(len(lines), bool)))
+    assert all(main_text.extract(p) != t for p, t in zip(pages, got))
+
+
+def test_unclosed_and_unopened_elements_take_linear_time():
+    import time
+    for part in ("<div>x", "<div class=ad>x", "<div class=ad>x</div>", "<div>x</span>", "<section><p>x", "<li><div>x", "<b>x"):
+        t0 = time.process_time()
+        main_text.extract(part * 20_000)
+        once = time.process_time() - t0
+        assert once < 6, (part, once)
+    assert main_text.extract("<div>x" * 100_000).count("x") > 99_990      # the smoothed ends fall below the threshold
+    assert main_text.extract("<span><article>" + "<div>a</span>" * 20_000).count("a") == 20_000
+
+
 def test_broken_pages():
     assert main_text.extract("") == ""
     assert main_text.extract("<p>never closed") == "never closed"
