@@ -9,11 +9,14 @@ of urls built alike:
     that of the rest of the node.  All others, and segments that look like an id and have
     no ``LABELLED`` decided urls, are one wildcard.  How large the node is, and how many
     children it has, does not matter.
-2.  Branches that differ in their first literal segment only, and whose shares of
-    blocked urls do not differ significantly, are merged.
-3.  A template is rejected if the smoothed share of blocked urls among its labelled
-    ones (those that a rule decides) reaches ``REJECT_AT``; without labelled urls it
-    is allowed.
+2.  Branches of a host that differ in their first literal segment only, and whose shares of
+    blocked urls do not differ significantly, are merged (in steps of the share, so that a
+    host's branches never meet in one task).
+3.  Purity is the share of blocked urls among the labelled ones (those that a rule decides),
+    smoothed down the tree: a node's prior is its parent's purity and that of the same path on
+    other hosts, each weighed by its labelled urls (``TRUST`` at most).  The host itself starts from
+    the share of all labelled urls.  So every url has a purity, on hosts without rules too.
+4.  A template is rejected if its purity reaches ``REJECT_AT``.
 
 All segments of a path are looked at, however deep.  All steps are DataFrame
 aggregations and joins.
@@ -24,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from prepkit.functions.numbering import small_side
+
 #: (verdict, host and path) of the rules (fixed values of the contract)
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"),
          ("block", "com/de/")]
@@ -31,7 +36,9 @@ LABELLED = 5        #: a child with so many urls that a rule decides is literal
 ENOUGH = 20         #: a child with so many urls is literal, but for ids
 TESTED = 3          #: a child's share of blocked urls is tested from so many decided ones
 REJECT_AT = 0.8
-PRIOR = 4.0         #: pseudo urls with the overall share of blocked ones
+PRIOR = 4.0         #: pseudo urls with the prior's share of blocked ones
+TRUST = 20          #: labelled urls that count, at most, where evidence from two sides is weighed
+STEPS = 64          #: classes of shares within which branches are merged at once
 SIGNIFICANT = 1.96  #: standard errors
 ID_LIKE = r"^(?:[0-9]+|[0-9]+\.[a-z0-9]+|[0-9a-fA-F-]{8,}|.*[0-9]{4,}.*|.{40,})$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,7 +80,7 @@ def _literal(rows: DataFrame) -> DataFrame:
 
 
 def _templates(urls: DataFrame) -> DataFrame:
-    """Adds ``template`` (segments joined by /) to rows of host, segments, said.
+    """Adds ``template`` (segments joined by /) and ``grown`` (its levels in the tree) to rows of host, segments, said.
 
     Ends when no url has segments left.  Below a node with fewer urls than any literal child
     has, all segments are wildcards, so its urls are finished at once.
@@ -86,7 +93,8 @@ def _templates(urls: DataFrame) -> DataFrame:
         rows = rows.join(grows, "node", "left").withColumn("seg", F.get("segments", F.lit(level))).checkpoint()
         more = F.col("grows").isNotNull() & F.col("seg").isNotNull()
         ended = rows.where(~more).withColumn(
-            "template", F.expr(f"concat(node, repeat('/*', greatest(size(segments) - {level}, 0)))")).drop("node", "seg", "grows")
+            "template", F.expr(f"concat(node, repeat('/*', greatest(size(segments) - {level}, 0)))")).withColumn(
+            "grown", F.lit(level)).drop("node", "seg", "grows")
         finished = ended if finished is None else finished.union(ended)
         rows = rows.where(more).drop("grows")
         if rows.isEmpty():
@@ -97,27 +105,55 @@ def _templates(urls: DataFrame) -> DataFrame:
         level += 1
 
 
-def _judged(rows: DataFrame) -> DataFrame:
-    """template -> purity (smoothed share of blocked urls), for templates with labelled urls."""
-    stats = rows.groupBy("host", "template").agg(
-        F.count_if(F.col("said") == "block").alias("b"), F.count("said").alias("n")).where("n > 0")
+def _merged(own: DataFrame, overall: float) -> DataFrame:
+    """host, template, mb, mn: blocked and labelled urls of the merged branch of each labelled template."""
     tail = F.substring("template", F.length("host") + 1, F.length("template"))
-    stats = stats.withColumn("family", F.concat("host", F.lit("|"), F.regexp_replace(tail, "^/[^/*][^/]*", "/{}")))
-    stats = stats.checkpoint()
-    all_blocked, labelled = stats.agg(F.sum("b"), F.sum("n")).first()
-    overall = (all_blocked or 0) / (labelled or 1)
-    rate = lambda b, n: (b + PRIOR * overall) / (n + PRIOR)
-    stats = stats.withColumn("rate", rate(F.col("b"), F.col("n")))
-    # neighbours by rate within a family: a new branch begins where the shares differ significantly
-    near = W.partitionBy("family").orderBy("rate", "template")
+    rate = (F.col("b") + PRIOR * overall) / (F.col("n") + PRIOR)
+    own = own.where("n > 0").withColumn("family", F.concat("host", F.lit("|"), F.regexp_replace(tail, "^/[^/*][^/]*", "/{}")))
+    own = own.withColumn("share", F.floor(rate * STEPS).cast("int"))
+    # at most STEPS + 1 rows a family
+    steps = own.groupBy("family", "share").agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
+    near = W.partitionBy("family").orderBy("share")
     pooled = (F.col("b") + F.col("b0")) / (F.col("n") + F.col("n0"))
     error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("n") + 1 / F.col("n0")))
     apart = F.abs(F.col("b") / F.col("n") - F.col("b0") / F.col("n0")) > SIGNIFICANT * error
-    stats = (stats.withColumn("b0", F.lag("b").over(near)).withColumn("n0", F.lag("n").over(near))
-             .withColumn("new", F.coalesce(apart, F.lit(False)).cast("int"))
-             .withColumn("branch", F.sum("new").over(near)))
+    steps = (steps.withColumn("b0", F.lag("b").over(near)).withColumn("n0", F.lag("n").over(near))
+             .withColumn("branch", F.sum(F.coalesce(apart, F.lit(False)).cast("int")).over(near)))
     whole = W.partitionBy("family", "branch")
-    return stats.select("template", rate(F.sum("b").over(whole), F.sum("n").over(whole)).alias("purity"))
+    steps = steps.select("family", "share", F.sum("b").over(whole).alias("mb"), F.sum("n").over(whole).alias("mn"))
+    return own.join(small_side(steps), ["family", "share"]).select("host", "template", "mb", "mn")
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """host, template, purity of every template."""
+    own = rows.groupBy("host", "template").agg(
+        F.max("grown").alias("grown"), F.count_if(F.col("said") == "block").alias("b"), F.count("said").alias("n")).checkpoint()
+    blocked, labelled = own.agg(F.sum("b"), F.sum("n")).first()
+    blocked, labelled = blocked or 0, labelled or 0
+    overall = blocked / (labelled or 1)
+    # the nodes of a template: its first 0 to ``grown`` segments, then all of them
+    segments = F.split(F.substring("template", F.length("host") + 2, F.length("template")), "/")
+    levels = own.withColumn("segments", segments).select("host", "template", "b", "n", F.posexplode(F.expr(
+        "concat(transform(sequence(0, grown), k -> array_join(slice(segments, 1, k), '/')), array(concat(array_join(segments, '/'), '/')))")).alias(
+        "level", "node"))
+    here = levels.groupBy("host", "node").agg(F.sum("b").alias("hb"), F.sum("n").alias("hn")).checkpoint()
+    everywhere = here.where("node <> ''").groupBy("node").agg(F.sum("hb").alias("eb"), F.sum("hn").alias("en"))
+    both = (levels.select("host", "template", "level", "node").join(small_side(here), ["host", "node"])
+            .join(small_side(everywhere.checkpoint()), "node", "left")
+            .withColumns({"eb": F.coalesce("eb", F.lit(blocked)), "en": F.coalesce("en", F.lit(labelled))}))
+    last = F.col("node").endswith("/")
+    both = both.join(small_side(_merged(own, overall)), ["host", "template"], "left").select(
+        "host", "template", F.struct(
+            "level", F.when(last, F.coalesce("mb", F.lit(0))).otherwise(F.col("hb")).alias("b"),
+            F.when(last, F.coalesce("mn", F.lit(0))).otherwise(F.col("hn")).alias("n"),
+            (F.col("eb") - F.col("hb")).alias("ob"), (F.col("en") - F.col("hn")).alias("on")).alias("at"))
+    chain = both.groupBy("host", "template").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    others = f"(x.ob + {PRIOR}D * {overall!r}D) / (x.on + {PRIOR}D)"
+    weight = f"double(least(x.on, {TRUST}))"
+    prior = f"if(s.trust + {weight} = 0, s.p, (s.p * s.trust + {others} * {weight}) / (s.trust + {weight}))"
+    return chain.select("host", "template", F.expr(
+        f"aggregate(at, struct({overall!r}D as p, 0D as trust), (s, x) -> struct((x.b + {PRIOR}D * {prior}) / (x.n + {PRIOR}D) as p, "
+        f"double(least(x.n, {TRUST})) as trust), s -> s.p)").alias("purity"))
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -125,7 +161,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None) ->
 
     A rule fits its host and all subdomains, if the url's path starts with the rule's path;
     the longest wins.  Null urls and urls without ``://`` have an empty host and path, no
-    rule, and are allowed unless their (empty) template is rejected.  Repeated rows and
+    rule, and are allowed unless their (empty) template is rejected.  Without any url that a rule
+    decides all purities are 0.  Repeated rows and
     null ids each give a row; other columns are ignored.
     """
     rules = RULES if rules is None else rules
@@ -135,9 +172,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None) ->
         "*", rule_column(F.col("host"), F.col("path"), rules, "rule").alias("rule"),
         rule_column(F.col("host"), F.col("path"), rules, "verdict").alias("said"),
         F.filter(F.split("path", "/"), lambda x: x != "").alias("segments"))
-    rows = _templates(rows).select("page_id", "host", "path", "rule", "said", "template").checkpoint()
-    judged = _judged(rows)
-    return rows.join(judged, "template", "left").select(
+    rows = _templates(rows).select("page_id", "host", "path", "rule", "said", "template", "grown").checkpoint()
+    return rows.join(small_side(_judged(rows).checkpoint()), ["host", "template"], "left").select(
         "page_id", "host", "path", "rule",
         F.coalesce("said", F.when(F.col("purity") >= REJECT_AT, "block").otherwise("allow")).alias("verdict"),
         "template", "purity")
