@@ -1,13 +1,16 @@
 """Exact nearest neighbours as Spark jobs, and what is built on them (B3 SMOTE, B4 SMOTENC, B5 ADASYN, knn).
 
-Rows are assigned to the nearest of a bounded number of pivots, which cuts the
-table into cells.  A query first searches its own cell; the distance of its k-th
-neighbour there bounds where better ones can be, so by the triangle inequality only
-cells with ``distance to the pivot - radius <= bound`` are searched as well.  Cells and
-the queries of a cell are cut into blocks, so no task holds more than ``BLOCK`` rows
-against ``QUERIES`` queries, however large a class or a cell is; every block returns a
-partial top-k.  Ties go to the smaller row number.  Nothing is approximate: on data
-that the pivots cannot separate, more cells are searched.
+The rows of a group make a tree: a cell of more than ``BLOCK`` rows is split by pivots, a
+few of its rows, each row going to the nearest one; its parts are split again until all are
+small (or hold one point only).  Every cell knows the distance of its farthest row to its pivot.
+A query goes down to its own leaf and searches that; the distance of its k-th neighbour
+there, and that to the far side of the smallest cell around it with enough rows, bound
+where better ones can be.  Then it walks down the tree once more, level by level as joins, into
+cells with ``distance to the pivot - radius <= bound`` only (the triangle inequality).  Leaves
+and the queries of a leaf are cut into blocks, so no task holds more than ``BLOCK`` rows
+against ``QUERIES`` queries, however many points are equal; every block returns a partial
+top-k.  Ties go to the smaller row number.  Nothing is approximate: on data that pivots cannot
+separate, more cells are searched.  The tree is a table; nothing of it reaches the driver.
 
 The distance is the Euclidean one over the numeric features plus ``penalty**2`` for each
 differing category (which is Euclidean too, so the triangle inequality holds).
@@ -15,7 +18,6 @@ differing category (which is Euclidean too, so the triangle inequality holds).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +30,10 @@ from ..functions.numbering import global_row_number, rank_within_group, small_si
 from ..session import ensure_checkpoint_dir
 from .balance import _TWO60, _draws, _order, _with_salts, class_table
 
-BLOCK = 4000        # rows of a cell that one task searches
+BLOCK = 4000        # rows of a cell that one task searches; larger cells are split
 QUERIES = 1000      # queries that one task answers
-MAX_PIVOTS = 512
+FAN = 32            # parts of a cell, at most
+DEPTH = 11          # levels, at most: cell numbers fit a long, and 2000 * 16^11 rows do too
 #: relative slack of the bound, so that rounding never hides a cell
 SLACK = 1e-9
 
@@ -63,49 +66,72 @@ def squared(x: np.ndarray, c: np.ndarray, y: np.ndarray, d: np.ndarray, penalty:
     return out
 
 
-def _assign(rows: DataFrame, pivots: tuple[np.ndarray, np.ndarray], penalty: float) -> DataFrame:
-    """Adds ``cell`` (number of the nearest pivot) and ``far`` (distance to it)."""
-    px, pc = pivots
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            d = squared(_matrix(batch.column(2), float), _matrix(batch.column(3), np.int64), px, pc, penalty)
-            cell = d.argmin(1)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(np.sqrt(d[np.arange(len(d)), cell]))],
-                [*batch.schema.names, "cell", "far"])
-
-    return rows.mapInArrow(run, POINT + ", cell int, far double")
-
-
-def _visits(queries: DataFrame, cells: DataFrame, pivots, penalty: float) -> DataFrame:
-    """(g, _n, x, c, cell) of the other cells that can hold a neighbour nearer than ``bound``.
-
-    cells: (g, cells array<struct<cell, radius>>), at most MAX_PIVOTS per group."""
-    px, pc = pivots
-    rows = queries.join(small_side(cells, 2000), "g").select("g", "_n", "x", "c", "cell", "bound", "cells")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            d = np.sqrt(squared(_matrix(batch.column(2), float), _matrix(batch.column(3), np.int64), px, pc, penalty))
-            own, bound = batch.column(4).to_numpy(), batch.column(5).to_numpy(zero_copy_only=False)
-            row, cell = [], []
-            for i, table in enumerate(batch.column(6)):
-                at = np.array([s["cell"] for s in table.as_py()])
-                radius = np.array([s["radius"] for s in table.as_py()])
-                near = (d[i, at] - radius) * (1 - SLACK) <= bound[i] * (1 + SLACK)
-                found = at[near & (at != own[i])]
-                row += [i] * len(found)
-                cell += found.tolist()
-            taken = batch.select([0, 1, 2, 3]).take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell, pa.int32())],
-                                             ["g", "_n", "x", "c", "cell"])
-
-    return rows.mapInArrow(run, POINT + ", cell int")
+def _square(point: str, penalty: float) -> str:
+    """SQL text: squared distance of the row's (x, c) to those of ``point``."""
+    return (f"aggregate(zip_with(x, {point}.x, (a, b) -> (a - b) * (a - b)), 0D, (s, v) -> s + v) + "
+            f"{penalty * penalty!r}D * size(filter(zip_with(c, {point}.c, (a, b) -> a <> b), t -> t))")
+
+
+def _down(rows: DataFrame, kids: DataFrame, penalty: float) -> DataFrame:
+    """Rows one level down: ``cell`` is the nearest part (ties: the first), ``far`` the distance to its pivot.
+
+    Rows of cells that are not split stay where they are."""
+    best = F.expr(f"array_min(transform(kids, (p, i) -> struct({_square('p', penalty)} as d2, i)))")
+    keep = [c for c in rows.columns if c not in ("cell", "far")]
+    moved = rows.join(small_side(kids.select("g", "cell", "kids")), ["g", "cell"], "left").withColumn("_b", best)
+    return moved.select(*keep, F.expr(f"if(_b is null, cell, cell * {FAN + 1} + _b.i + 1)").alias("cell"),
+                        F.expr("if(_b is null, far, sqrt(_b.d2))").alias("far"))
+
+
+def _tree(base: DataFrame, penalty: float) -> tuple[DataFrame, list[DataFrame]]:
+    """(rows with their leaf ``cell``, per level the split cells (g, cell, kids)), all checkpointed.
+
+    kids: array of (x, c, radius, n) of the parts in their order; ``n`` 0 for a part without rows."""
+    rows = base.withColumns({"cell": F.lit(0).cast("long"), "far": F.lit(float("inf"))}).checkpoint(eager=True)
+    levels = []
+    for level in range(DEPTH):
+        big = (rows.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"))
+               .where((F.col("n") > BLOCK) & (F.col("radius") > 0)).select("g", "cell", "n").checkpoint(eager=True))
+        if not big.limit(1).count():
+            break
+        parts = F.least(F.lit(FAN), F.ceil(F.col("n") * 2 / BLOCK))
+        # a hash picks about four times as many rows as are wanted, so a window over them is small
+        h = F.xxhash64("_n", F.lit(level))
+        some = rows.join(small_side(big), ["g", "cell"]).where(F.pmod(h, F.col("n")) < 4 * parts)
+        some = some.withColumn("_k", F.row_number().over(Window.partitionBy("g", "cell").orderBy(h, "_n"))).where(F.col("_k") <= parts)
+        pivots = some.groupBy("g", "cell").agg(F.sort_array(F.collect_list(F.struct("_k", "x", "c"))).alias("kids")).checkpoint(eager=True)
+        rows = _down(rows, pivots, penalty).checkpoint(eager=True)
+        size = rows.groupBy("g", "cell").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("n"))
+        each = pivots.select("g", F.col("cell").alias("up"), F.posexplode("kids").alias("i", "p")).withColumn(
+            "cell", F.col("up") * (FAN + 1) + F.col("i") + 1)
+        each = each.join(size, ["g", "cell"], "left").groupBy("g", F.col("up").alias("cell")).agg(F.sort_array(F.collect_list(F.struct(
+            "i", "p.x", "p.c", F.coalesce("radius", F.lit(0.0)).alias("radius"), F.coalesce("n", F.lit(0)).alias("n")))).alias("kids"))
+        levels.append(each.checkpoint(eager=True))
+    return rows, levels
+
+
+def _visits(queries: DataFrame, levels: list[DataFrame], penalty: float) -> DataFrame:
+    """(g, _n, x, c, cell) of the leaves besides the own one that can hold a neighbour within ``bound``."""
+    at = queries.select("g", "_n", "x", "c", "bound", F.col("cell").alias("own"), F.lit(0).cast("long").alias("cell"))
+    near = (f"filter(transform(kids, (p, i) -> if(p.n > 0 and (sqrt({_square('p', penalty)}) - p.radius) * {1 - SLACK!r}D "
+            f"<= bound * {1 + SLACK!r}D, cell * {FAN + 1} + i + 1, null)), t -> t is not null)")
+    for kids in levels:
+        at = at.join(small_side(kids), ["g", "cell"], "left")
+        at = at.select("g", "_n", "x", "c", "bound", "own", F.explode(F.expr(f"if(kids is null, array(cell), {near})")).alias("cell"))
+        at = at.checkpoint(eager=True)
+    return at.where("cell <> own").select("g", "_n", "x", "c", "cell")
+
+
+def _own_leaves(queries: DataFrame, levels: list[DataFrame], k: int, penalty: float) -> DataFrame:
+    """Queries with their leaf and ``reach``: within it there are k other rows for certain (infinity if unknown)."""
+    at = queries.withColumns({"cell": F.lit(0).cast("long"), "reach": F.lit(float("inf"))})
+    for kids in levels:
+        near = F.expr(f"array_min(transform(kids, (p, i) -> struct({_square('p', penalty)} as d2, i)))")
+        at = at.join(small_side(kids), ["g", "cell"], "left").withColumn("_b", near)
+        far = f"if(kids[_b.i].n > {k}, sqrt(_b.d2) + kids[_b.i].radius, double('inf'))"
+        at = at.select("g", "_n", "x", "c", F.expr(f"if(_b is null, cell, cell * {FAN + 1} + _b.i + 1)").alias("cell"),
+                       F.expr(f"if(_b is null, reach, least(reach, {far}))").alias("reach"))
+    return at.checkpoint(eager=True)
 
 
 def _searched(visits: DataFrame, base: DataFrame, k: int, penalty: float) -> DataFrame:
@@ -117,7 +143,8 @@ def _searched(visits: DataFrame, base: DataFrame, k: int, penalty: float) -> Dat
     left = (visits.join(side, ["g", "cell"])
             .withColumn("part", F.pmod(F.xxhash64("_n"), "parts").cast("int"))
             .withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
-            .select("g", "cell", "part", "block", "_n", "x", "c"))
+            # names of its own, since queries and rows may be one table
+            .select(*[F.col(n).alias(n) for n in ("g", "cell", "part", "block", "_n", "x", "c")]))
     right = (base.join(side, ["g", "cell"])
              .withColumn("block", F.pmod(F.xxhash64("_n"), "blocks").cast("int"))
              .withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
@@ -152,25 +179,19 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, penalty: float = 0.0) -
     group ``g``, never the row with the same number; fewer where the group has no more."""
     spark = base.sparkSession
     ensure_checkpoint_dir(spark)
-    n = base.count()
-    wanted = max(1, min(MAX_PIVOTS, math.ceil(n / BLOCK)))
-    chosen = base.orderBy(F.xxhash64("_n"), "_n").limit(wanted).toArrow()       # MAX_PIVOTS rows at most
-    if not chosen.num_rows:
-        return spark.createDataFrame([], "_n bigint, rank int, other bigint, d2 double")
-    pivots = (_matrix(chosen.column("x"), float), _matrix(chosen.column("c"), np.int64))
-    base = _assign(base, pivots, penalty).checkpoint(eager=True)
-    queries = _assign(queries, pivots, penalty).checkpoint(eager=True)
+    base, levels = _tree(base, penalty)
+    queries = _own_leaves(queries, levels, k, penalty)
     ranked = Window.partitionBy("_n").orderBy("d2", "other")
 
     def top(rows: DataFrame) -> DataFrame:
         return rows.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
     own = top(_searched(queries, base, k, penalty)).checkpoint(eager=True)
+    if not levels:
+        return own.select("_n", F.col("rank").cast("int").alias("rank"), "other", "d2")
     bound = own.where(F.col("rank") == k).select("_n", F.sqrt("d2").alias("bound"))
-    cells = base.groupBy("g", "cell").agg(F.max("far").alias("radius")).groupBy("g").agg(
-        F.collect_list(F.struct("cell", "radius")).alias("cells"))
-    open_ = queries.join(bound, "_n", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
-    visits = _visits(open_, cells, pivots, penalty).checkpoint(eager=True)
+    open_ = queries.join(bound, "_n", "left").withColumn("bound", F.least(F.coalesce("bound", F.lit(float("inf"))), "reach"))
+    visits = _visits(open_, levels, penalty)
     both = own.select("_n", "other", "d2").union(_searched(visits, base, k, penalty))
     return top(both).select("_n", F.col("rank").cast("int").alias("rank"), "other", "d2")
 
