@@ -485,12 +485,47 @@ def _q(spark, sf):
     return NB.knn_predict(d, d, "target", ["n_chars", "quality"]).select("doc_id", "prediction", "score")
 
 
-@register("smotenc_documents")
+_ND2 = ("power(a.n_chars - b.n_chars, 2) + pen * pen * (a.lang <> b.lang)::INT + pen * pen * (a.source <> b.source)::INT")
+
+
+@register("smotenc_documents",
+          f"WITH src AS (SELECT doc_id, lang, source, CAST(n_chars AS DOUBLE) AS n_chars, target FROM ({S.DOC_BINARY})), "
+          "c AS (SELECT target, count(*) AS cnt FROM src GROUP BY 1), m AS (SELECT max(cnt) AS mx, greatest(1, least(5, min(cnt) - 1)) AS k FROM c), "
+          "p AS (SELECT stddev_pop(n_chars) AS pen FROM src WHERE target = (SELECT arg_min(target, (cnt, target)) FROM c)), "
+          f"num AS (SELECT src.*, row_number() OVER (PARTITION BY target ORDER BY {h(vc('doc_id'), chr(39) + '42' + chr(39))}, doc_id) AS idx FROM src), "
+          f"nn AS (SELECT a.doc_id, b.n_chars AS x1, b.lang, b.source, row_number() OVER (PARTITION BY a.doc_id ORDER BY {_ND2}, b.doc_id) AS rank, k "
+          "FROM src a JOIN src b ON a.target = b.target AND a.doc_id <> b.doc_id, p, m WHERE a.target IN (SELECT target FROM c WHERE cnt < (SELECT mx FROM m)) "
+          "QUALIFY rank <= k), "
+          "ml AS (SELECT doc_id, arg_min(lang, (-c, lang)) AS lang FROM (SELECT doc_id, lang, count(*) AS c FROM nn GROUP BY ALL) GROUP BY doc_id), "
+          "ms AS (SELECT doc_id, arg_min(source, (-c, source)) AS source FROM (SELECT doc_id, source, count(*) AS c FROM nn GROUP BY ALL) GROUP BY doc_id), "
+          "dg AS (SELECT doc_id, max(rank) AS degree FROM nn GROUP BY doc_id), "
+          "dr AS (SELECT target, cnt, unnest(range(1, mx - cnt + 1)) AS j FROM c, m WHERE cnt < mx), "
+          "dp AS (SELECT *, " + _seeded("target", "j", "'42'") + " % cnt + 1 AS pick, "
+          "CAST(" + _seeded("target", "j", "'42'", "'u'") + " AS DOUBLE) / power(2, 60) AS u, " + _seeded("target", "j", "'42'", "'nn'") + " AS hn FROM dr) "
+          "SELECT doc_id, lang, source, n_chars, target FROM src UNION ALL "
+          "SELECT CAST(NULL AS BIGINT), ml.lang, ms.source, a.n_chars + u * (nn.x1 - a.n_chars), a.target "
+          "FROM dp JOIN num a ON a.target = dp.target AND a.idx = dp.pick JOIN dg USING (doc_id) JOIN ml USING (doc_id) JOIN ms USING (doc_id) "
+          "JOIN nn ON nn.doc_id = a.doc_id AND nn.rank = hn % degree + 1")
 def _q(spark, sf):
     return NB.smotenc(FX.doc_binary(spark, sf), "target", row_id=["doc_id"])
 
 
-@register("adasyn_documents")
+@register("adasyn_documents",
+          f"WITH src AS ({S.DOC_NUMERIC}), {_NEAR.format(more='')}, c AS (SELECT target, count(*) AS cnt FROM src GROUP BY 1), "
+          "num AS (SELECT src.*, row_number() OVER (ORDER BY doc_id) AS n FROM src), "
+          "sh AS (SELECT a.target, a.doc_id, avg(CASE WHEN nn.other_target <> a.target THEN 1.0 ELSE 0.0 END) AS r, "
+          "any_value((SELECT max(cnt) FROM c) - c.cnt) AS miss FROM src a JOIN nn USING (doc_id) JOIN c ON c.target = a.target "
+          "WHERE c.cnt < (SELECT max(cnt) FROM c) GROUP BY a.target, a.doc_id), "
+          "gets AS (SELECT doc_id, CAST(round_even(r / sum(r) OVER (PARTITION BY target) * miss, 0) AS BIGINT) AS times FROM sh), "
+          + _NEAR.format(more="AND a.target = b.target").replace("nn AS", "own AS", 1) + ", "
+          "dg AS (SELECT doc_id, max(rank) AS degree FROM own GROUP BY doc_id), "
+          "dr AS (SELECT num.*, degree, unnest(range(1, times + 1)) AS j FROM gets JOIN num USING (doc_id) JOIN dg USING (doc_id)), "
+          "dp AS (SELECT *, CAST(" + _seeded("n", "j", "'42'", "'u'") + " AS DOUBLE) / power(2, 60) AS u, "
+          + _seeded("n", "j", "'42'", "'nn'") + " % degree + 1 AS rk FROM dr) "
+          "SELECT doc_id, n_chars, quality, CAST(target AS BIGINT) AS target FROM src UNION ALL SELECT CAST(NULL AS BIGINT), "
+          "CAST(round_even(a.n_chars + u * (o.n_chars - a.n_chars), 0) AS BIGINT), "
+          "CAST(round_even(a.quality + u * (o.quality - a.quality), 0) AS INTEGER), CAST(a.target AS BIGINT) "
+          "FROM dp a JOIN own ON own.doc_id = a.doc_id AND own.rank = a.rk JOIN src o ON o.doc_id = own.other")
 def _q(spark, sf):
     return B.balance(FX.doc_numeric(spark, sf), "target", "adasyn", row_id=["doc_id"])
 
