@@ -214,23 +214,29 @@ def _features(df: DataFrame, t: str, row_id: list[str] | None, features: list[st
     return features
 
 
-def _synthetic(df: DataFrame, rows: DataFrame, draws: DataFrame, near: DataFrame, features: list[str],
-               modes: DataFrame | None, cats: list[str], t: str, round_ints: bool) -> DataFrame:
-    """One row per draw (_n, _rank, _u): base + u * (neighbour - base); columns that are no feature are NULL."""
-    types = {f.name: f.dataType for f in df.schema.fields}
+def _with_neighbours(rows: DataFrame, near: DataFrame, features: list[str], modes: DataFrame | None, t: str) -> DataFrame:
+    """(_n, _t, _a0.., _near, modes): every row with the features of its neighbours in the order of their ranks.
+
+    Draws are attached to this one table only, under salts, so a row of very many draws is no hot key."""
+    other = rows.select(F.col("_n").alias("other"), F.array(*[F.col(c).cast("double") for c in features]).cast("array<double>").alias("b"))
+    around = near.join(other, "other").groupBy("_n").agg(F.sort_array(F.collect_list(F.struct("rank", "b"))).alias("_near"))
     mine = rows.select("_n", F.col(t).alias("_t"), *[F.col(c).cast("double").alias(f"_a{i}") for i, c in enumerate(features)])
-    other = rows.select(F.col("_n").alias("other"), *[F.col(c).cast("double").alias(f"_b{i}") for i, c in enumerate(features)])
-    made = (draws.join(mine, "_n").join(near.select("_n", F.col("rank").alias("_rank"), "other"), ["_n", "_rank"], "left")
-            .join(other, "other", "left"))
-    if modes is not None:
-        made = made.join(modes, "_n", "left")
+    mine = mine.join(around, "_n", "left")
+    return mine if modes is None else mine.join(modes, "_n", "left")
+
+
+def _synthetic(df: DataFrame, draws: DataFrame, features: list[str], cats: list[str], t: str, round_ints: bool) -> DataFrame:
+    """One row per draw (a row of ``_with_neighbours``, _nn, _u): base + u * (neighbour - base); columns that are
+    no feature are NULL, and so is everything drawn from a row that is missing."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    made = draws.withColumn("_to", F.get("_near", F.pmod("_nn", F.greatest(F.size("_near"), F.lit(1))).cast("int"))["b"])
     out = []
     for c in df.columns:
         if c == t:
             out.append(F.col("_t").cast(types[c]).alias(c))
         elif c in features:
             i = features.index(c)
-            v = F.col(f"_a{i}") + F.col("_u") * (F.coalesce(f"_b{i}", f"_a{i}") - F.col(f"_a{i}"))
+            v = F.col(f"_a{i}") + F.col("_u") * (F.coalesce(F.col("_to")[i], F.col(f"_a{i}")) - F.col(f"_a{i}"))
             whole = types[c].typeName() in ("long", "integer", "short", "byte")
             out.append((F.rint(v).cast(types[c]) if whole and round_ints else v).alias(c))
         elif c in cats:
@@ -262,22 +268,20 @@ def _interpolated(df: DataFrame, t: str, row_id: list[str] | None, features: lis
     minority = rows.join(small_side(needs.select(t)), t, "left_semi").checkpoint(eager=True)
     near = nearest(points(minority, features, cats, t), points(minority, features, cats, t), k, penalty).checkpoint(eager=True)
     places = rank_within_group(minority, [t], _order(minority.select(*df.columns), row_id, seed), name="_pick").select(t, "_pick", "_n")
-    needs = _with_salts(needs.select(t, "n", "k")).checkpoint(eager=True)
-    copies = places.join(small_side(needs.select(t, "_salts")), t).withColumn(
-        "_salt", F.explode(F.expr("sequence(0, _salts - 1)"))).drop("_salts")
-    degree = near.groupBy("_n").agg(F.max("rank").alias("_degree"))
-    draws = (_draws(needs, t, seed).join(copies, [t, "_pick", "_salt"]).join(degree, "_n", "left")
-             .select("_n", _rank(F.col(t), seed).alias("_rank"), _u(F.col(t), seed).alias("_u")))
     modes = None
     if cats:
         pairs = near.join(minority.select(F.col("_n").alias("other"), *cats), "other")
         modes = pairs.groupBy("_n").agg(*[F.mode(c, True).alias(f"_mode_{c}") for c in cats])
-    return original.unionByName(_synthetic(df, minority, draws, near, features, modes, cats, t, round_ints))
+    needs = _with_salts(needs.select(t, "n", "k")).checkpoint(eager=True)
+    copies = (places.join(_with_neighbours(minority, near, features, modes, t), "_n").join(small_side(needs.select(t, "_salts")), t)
+              .withColumn("_salt", F.explode(F.expr("sequence(0, _salts - 1)"))).drop("_salts"))
+    draws = _draws(needs, t, seed).join(copies, [t, "_pick", "_salt"]).withColumns({"_nn": _nn(F.col(t), seed), "_u": _u(F.col(t), seed)})
+    return original.unionByName(_synthetic(df, draws, features, cats, t, round_ints))
 
 
-def _rank(key, seed: int):
-    """Which neighbour draw ``_j`` takes: 1 to the number there are (NULL without any)."""
-    return (F.pmod(hash_bigint(key, F.col("_j"), F.lit(seed), F.lit("nn")), F.col("_degree")) + 1).cast("int")
+def _nn(key, seed: int):
+    """Which neighbour draw ``_j`` takes, modulo the number there are."""
+    return hash_bigint(key, F.col("_j"), F.lit(seed), F.lit("nn"))
 
 
 def _u(key, seed: int):
@@ -316,19 +320,17 @@ def adasyn(df: DataFrame, t: str, row_id: list[str] | None = None, features: lis
         return rows.select(*df.columns)
     needs = counts.withColumn("k", F.lit(most) - F.col("n")).where("k > 0")
     minority = rows.join(small_side(needs.select(t)), t, "left_semi").checkpoint(eager=True)
-    share = adasyn_shares(rows, minority, t, features, k)
+    share = adasyn_shares(rows, minority, t, features, k).checkpoint(eager=True)
     total = share.groupBy(t).agg(F.sum("r").alias("total"))
     gets = (share.join(small_side(total.join(needs.select(t, "k"), t)), t).where("total > 0")
             .select(t, "_n", F.bround(F.col("r") / F.col("total") * F.col("k")).cast("bigint").alias("times")).where("times > 0"))
     near = nearest(points(minority, features, [], t), points(minority, features, [], t), k).checkpoint(eager=True)
-    degree = near.groupBy("_n").agg(F.max("rank").alias("_degree"))
     # times is at most the number of rows missing; it is dealt out in chunks
-    draws = (gets.select("_n", "times", F.explode(F.expr("sequence(0L, (times - 1) div 10000)")).alias("_b"))
-             .repartition("_n", "_b")
-             .select("_n", F.explode(F.expr("sequence(_b * 10000 + 1, least(times, (_b + 1) * 10000))")).alias("_j"))
-             .join(degree, "_n", "left")
-             .select("_n", _rank(F.col("_n"), seed).alias("_rank"), _u(F.col("_n"), seed).alias("_u")))
-    return rows.select(*df.columns).unionByName(_synthetic(df, minority, draws, near, features, None, [], t, True))
+    draws = (gets.select("_n", "times").join(_with_neighbours(minority, near, features, None, t), "_n")
+             .withColumn("_b", F.explode(F.expr("sequence(0L, (times - 1) div 10000)"))).repartition("_n", "_b")
+             .withColumn("_j", F.explode(F.expr("sequence(_b * 10000 + 1, least(times, (_b + 1) * 10000))")))
+             .withColumns({"_nn": _nn(F.col("_n"), seed), "_u": _u(F.col("_n"), seed)}))
+    return rows.select(*df.columns).unionByName(_synthetic(df, draws, features, [], t, True))
 
 
 def adasyn_shares(rows: DataFrame, minority: DataFrame, t: str, features: list[str], k: int = 5) -> DataFrame:
