@@ -15,7 +15,9 @@ keeps a shuffle join (with skew-join splitting for hot keys).
 
 from __future__ import annotations
 
+import hashlib
 import logging
+import re
 from dataclasses import dataclass, field
 from typing import Callable
 
@@ -274,16 +276,46 @@ def _expr(step: Step, df: DataFrame, fit: Fitted) -> list[Column]:
         return [F.datediff(ref, F.to_date(F.col(c))).alias(f"{c}_days_ago")]
     if t == "dummies":
         v = _str(df, c)
-        return [F.when(v == F.lit(level), 1).otherwise(0).alias(f"{c}_{_level_name(level)}")
-                for level in fit.levels[id(step)]]
+        return [F.when(v == F.lit(level), 1).otherwise(0).alias(f"{c}_{name}")
+                for level, name in zip(fit.levels[id(step)], level_columns(fit.levels[id(step)]))]
     raise ValueError(f"no expression for {t}")
 
 
 def _level_name(level: str) -> str:
-    import re
     return re.sub(r"[^a-zA-Z0-9_]", "_", str(level))
 
 
+def level_columns(levels: list[str]) -> list[str]:
+    """A name per level, different for different levels: names that would be equal get a piece of the level's hash."""
+    plain = [_level_name(x) for x in levels]
+    names = [n if plain.count(n) == 1 else f"{n}_{hashlib.md5(x.encode()).hexdigest()[:8]}" for n, x in zip(plain, levels)] \
+        if len(set(plain)) < len(plain) else plain
+    return names
+
+
+def dummy_levels(values: DataFrame, column: str, cap: int) -> list[str]:
+    """The sorted levels of the column ``v``; an error beyond ``cap``, since each makes a column."""
+    got = values.where("v IS NOT NULL").distinct().limit(cap + 1).collect()
+    if len(got) > cap:
+        raise ValueError(f"{column} has more than {cap} levels; use sparse dummies or hash encoding")
+    return sorted(r["v"] for r in got)
+
+
+def sparse_dummies(df: DataFrame, table: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` with the one-hot vector ``name`` of a column, by a fitted table (_key, _code from 0).
+
+    As long as there are levels, however many; NULL and levels unseen in the fit are all zeros."""
+    from pyspark.ml.feature import OneHotEncoder
+
+    n = table.count()
+    known = F.coalesce(F.col("_code").cast("double"), F.lit(float(n)))
+    # the encoder needs the number of levels only
+    top = df.sparkSession.createDataFrame([(float(n),)], "_index double")
+    model = OneHotEncoder(inputCols=["_index"], outputCols=[name], dropLast=True).fit(top)
+    joined = df.withColumn("_key", _str(df, column)).join(table, "_key", "left").withColumn("_index", known)
+    return model.transform(joined).select(*df.columns, name)
+
+
 JOIN_TEMPLATES = ("label_encoding", "frequency_encoding", "target_encoding")
 
 
@@ -291,11 +323,14 @@ def level_table(step: Step, src: DataFrame) -> DataFrame:
     """Fitted levels ``(_key, _code)`` of a label, frequency or target encoding.
 
     Checkpointed, so every later ``transform`` uses the values of the fit.  The key
-    of label encoding is the text with NULL as the empty string.
+    of label encoding is the text with NULL as the empty string; sparse dummies number the
+    levels alike, without NULL.
     """
     c, t = step.column, step.template
-    if t == "label_encoding":
-        levels = src.select(F.coalesce(_str(src, c), F.lit("")).alias("_key")).distinct()
+    if t in ("label_encoding", "dummies"):
+        text = _str(src, c)
+        levels = (src.select(F.coalesce(text, F.lit("")).alias("_key")) if t == "label_encoding"
+                  else src.where(text.isNotNull()).select(text.alias("_key"))).distinct()
         coded = global_row_number(levels, ["_key"], name="_rn")
         return coded.select("_key", (F.col("_rn") - 1).cast("bigint").alias("_code"))
     groups = src.groupBy(_str(src, c).alias("_key"))
@@ -328,6 +363,10 @@ def _binning(step: Step, df: DataFrame, order_by: list[str]) -> DataFrame:
     return ntile(df, clean_value(df, c), order_by, k, f"{c}_bin")
 
 
+def _is_sparse(step: Step) -> bool:
+    return step.template == "dummies" and bool(step.params.get("sparse"))
+
+
 class TemplateSet:
     """A list of template requests, fitted on one DataFrame and applied to any."""
 
@@ -367,14 +406,9 @@ class TemplateSet:
                 v = clean_value(df, st.column)
                 row = df.where(v.isNotNull()).orderBy(*order).select(v).limit(1).first()
                 stats[("first", st.column, None)] = row[0] if row else None
-            if st.template == "dummies":
-                vals = df.select(_str(df, st.column).alias("v")).where("v IS NOT NULL").distinct()
-                cap = int(st.params["max_levels"])
-                got = vals.limit(cap + 1).collect()
-                if len(got) > cap:
-                    raise ValueError(f"{st.column} has more than {cap} levels; use hash encoding")
-                levels[id(st)] = sorted(r["v"] for r in got)
-        tables = {id(st): level_table(st, df) for st in self.steps if st.template in JOIN_TEMPLATES}
+            if st.template == "dummies" and not st.params.get("sparse"):
+                levels[id(st)] = dummy_levels(df.select(_str(df, st.column).alias("v")), st.column, int(st.params["max_levels"]))
+        tables = {id(st): level_table(st, df) for st in self.steps if st.template in JOIN_TEMPLATES or _is_sparse(st)}
         return FittedTemplates(self, Fitted(stats, tables, levels))
 
 
@@ -392,7 +426,7 @@ class FittedTemplates:
         out_cols: list[Column] = []
         join_steps, bin_steps = [], []
         for st in self.spec.steps:
-            if st.template in JOIN_TEMPLATES:
+            if st.template in JOIN_TEMPLATES or _is_sparse(st):
                 join_steps.append(st)
             elif st.template == "binning":
                 bin_steps.append(st)
@@ -401,7 +435,10 @@ class FittedTemplates:
         base_cols = list(df.columns)
         res = df.select("*", *out_cols) if out_cols else df
         for st in join_steps:
-            res = _join_encoding(st, res, self.fit.tables[id(st)])
+            if _is_sparse(st):
+                res = sparse_dummies(res, self.fit.tables[id(st)], st.column, f"{st.column}_dummies")
+            else:
+                res = _join_encoding(st, res, self.fit.tables[id(st)])
         for st in bin_steps:
             res = _binning(st, res, self.spec.order_by)
         if not include_original:
