@@ -161,10 +161,13 @@ def kde_resample(df: DataFrame, t: str, n_samples: int | None = None, seed: int
     if joint:
         out = base.withColumn("_idx", pick("row")).join(numbered, "_idx")
     else:
-        out = base
-        for c in df.columns:
-            side = numbered.select(F.col("_idx").alias(f"_p_{c}"), F.col(c))
-            out = out.withColumn(f"_p_{c}", pick(c)).join(side, f"_p_{c}").drop(f"_p_{c}")
+        # every (draw, column) asks for a row; one join answers all, one aggregation puts the draws together
+        asks = base.select("_i", F.explode(F.array(*[
+            F.struct(F.lit(j).alias("j"), pick(c).alias("_idx")) for j, c in enumerate(df.columns)])).alias("a")).select("_i", "a.j", "a._idx")
+        answers = asks.join(numbered, "_idx").groupBy("_i")
+        out = answers.agg(*[F.first(F.when(F.col("j") == j, F.struct(F.col(f"`{c}`").alias("v"))), True).alias(f"_v{j}")
+                            for j, c in enumerate(df.columns)])
+        out = out.select("_i", *[F.col(f"_v{j}.v").alias(c) for j, c in enumerate(df.columns)])
     z = _normal(F.col("_i"), F.lit(seed), F.lit("kde"))
     out = out.withColumn(t, F.col(t).cast("double") + z * F.lit(bandwidth))
     return out.select(*df.columns)

@@ -137,3 +137,14 @@ def test_train_save_reload(spark, tmp_path):
     b = sorted((r["doc_id"], r["prediction"]) for r in again.transform(
         res.predictions.select("doc_id", "n_chars", "quality")).collect())
     assert a == b
+
+
+def test_independent_draws_take_as_many_exchanges_whatever_the_columns(spark):
+    from prepkit.operators.balance import kde_resample
+    plans = []
+    for n in (2, 9):
+        df = spark.range(50).select("id", *[(F.col("id") * k).cast("double").alias(f"c{k}") for k in range(1, n)])
+        out = kde_resample(df, "c1", row_id=["id"])
+        assert out.columns == df.columns and out.count() == 50
+        plans.append(_plan(out).count("Exchange"))
+    assert plans[0] == plans[1]
