@@ -103,8 +103,10 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {(i, 100) for i in range(100, 141)} | {(x, 1) for x in [1, *range(200, 300)]}
 
 
-def test_components_with_heavy_nodes(spark):
-    """Stars of many leaves, leaves that are smaller than their middle, chains between stars."""
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_components_with_heavy_nodes(spark, monkeypatch, few):
+    """By broadcasts of all nodes and of the heavy ones only: stars of many leaves, leaves that are smaller than their middle, chains between stars."""
+    monkeypatch.setattr("prepkit.llm.components.FEW_EDGES", few)
     rnd = random.Random(8)
     edges = [(500, i) for i in range(200)] + [(1000, i) for i in range(1001, 1300)] + [(1299, 3000), (3000, 2000), (2000, 2001)]
     edges += [(5000 + rnd.randrange(300), 5000 + rnd.randrange(300)) for _ in range(150)]
