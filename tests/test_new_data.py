@@ -111,8 +111,8 @@ def test_techniques_are_checked_against_the_target(spark):
         B.balance(e, "value", "smote", row_id=["event_id"])
     with pytest.raises(ValueError):
         B.balance(e, "value", "no such thing")
-    with pytest.raises(NotImplementedError):
-        B.balance(e, "value", "SMOTER")
+    with pytest.raises(ValueError):
+        B.balance(d, "target", "smoter", row_id=["doc_id"])
 
 
 @pytest.mark.parametrize("block", [7, 4000])
