@@ -117,12 +117,14 @@ def _segments(data: np.ndarray, lo: int, hi: int, sep: np.ndarray) -> Iterator[t
 def words_of(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray, lower: bool) -> Words:
     """Words (longest runs of bytes that are no separators) of the texts at ``offsets``."""
     lo, hi = int(offsets[0]), int(offsets[-1])
+    if lower:
+        sep = sep[LOWER]    # as the bytes stand: a capital separates only if its small letter does
     hashes, starts, ends = [], [], []
     for a, b in _segments(data, lo, hi, sep):
         seg = data[a:b]
+        inside = ~sep[seg]
         if lower:
             seg = LOWER[seg]
-        inside = ~sep[seg]
         edges = offsets[np.searchsorted(offsets, a, "right"):np.searchsorted(offsets, b, "left")] - a
         left = np.empty_like(inside)
         left[0], left[1:] = False, inside[:-1]

@@ -6,6 +6,7 @@ import hashlib
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from prepkit.llm import decontaminate, license_scan, textcols, warc_store
@@ -50,6 +51,17 @@ def test_license_templates(spark, odd, empty):
     assert license_scan.license_scan(empty).collect() == []
 
 
+def test_license_capitals_where_a_segment_ends(spark, monkeypatch):
+    """A capital is a letter of its word, also where a long text is cut into segments."""
+    text = "x" * textcols.SEGMENT + " " + "z" * (textcols.SEGMENT - 6) + " CC BYzantine CC BY All Rights RESERVED"
+    shifted = [text.replace("z ", "z" * i + " ", 1) for i in range(40)]
+    rows = license_scan.license_scan(spark.createDataFrame(list(enumerate(shifted)), "doc_id long, text string").coalesce(1)).collect()
+    assert {(r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in rows} == {(9, 2, 4, 6, "cc-by,reserved")}
+    monkeypatch.setattr(textcols, "SEGMENT", 8)
+    data, offs = textcols.buffers(pa.array(["ABCDEFGHIJKL", "Ab CDEFGHIJ kL MNOP", "", "QR"]))
+    assert textcols.words_of(data, offs, textcols.NON_ALNUM, True).counts.tolist() == [1, 4, 0, 1]
+
+
 def test_words_of_segments(monkeypatch, table):
     import numpy as np
     import pyarrow as pa
