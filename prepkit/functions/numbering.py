@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir, shuffle_partitions
 
 BROADCAST_GROUPS = 200_000
+BROADCAST_TEXT = 32 << 20       # bytes of the keys of a level table
 _LOW_BITS = 33
 _LOW_MASK = (1 << _LOW_BITS) - 1
 
@@ -58,6 +59,14 @@ def small_side(df: DataFrame, limit: int = BROADCAST_GROUPS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def small_levels(table: DataFrame, key: str = "_key") -> DataFrame:
+    """A fitted level table marked for a broadcast join if its levels are few and short together (counted).
+
+    Otherwise every row of a column of a few levels would be shuffled to the few tasks of those levels."""
+    n, text = table.agg(F.count(F.lit(1)), F.sum(F.octet_length(key))).first()
+    return F.broadcast(table) if n <= BROADCAST_GROUPS and (text or 0) <= BROADCAST_TEXT else table
+
+
 def rank_within_group(df: DataFrame, group: list[str], order: list[Column | str],
                       name: str = "grp_rn", size_col: str | None = None) -> DataFrame:
     """1-based row number inside each group, spread over many tasks.

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import canonical_str, clean_value, hash_bigint, is_float, trim_ws
 from ..functions.fitting import StatsRequest
-from ..functions.numbering import global_row_number, join_null_safe
+from ..functions.numbering import global_row_number, join_null_safe, small_levels
 from ..functions.selection import ntile
 from ..session import ensure_checkpoint_dir
 
@@ -408,7 +408,7 @@ class TemplateSet:
                 stats[("first", st.column, None)] = row[0] if row else None
             if st.template == "dummies" and not st.params.get("sparse"):
                 levels[id(st)] = dummy_levels(df.select(_str(df, st.column).alias("v")), st.column, int(st.params["max_levels"]))
-        tables = {id(st): level_table(st, df) for st in self.steps if st.template in JOIN_TEMPLATES or _is_sparse(st)}
+        tables = {id(st): small_levels(level_table(st, df)) for st in self.steps if st.template in JOIN_TEMPLATES or _is_sparse(st)}
         return FittedTemplates(self, Fitted(stats, tables, levels))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import canonical_str, clean_value, is_missing, sanitize_column_name, sanitize_columns
 from ..functions.fitting import StatsRequest
-from ..functions.numbering import global_row_number, join_null_safe
+from ..functions.numbering import global_row_number, join_null_safe, small_levels
 from ..operators.transforms import (DEFAULTS, JOIN_TEMPLATES, TRUTHY, Fitted, Step, _binning, _expr, dummy_levels,
                                     _missing_params, _needs, level_table, resolve_template)
 from ..session import ensure_checkpoint_dir
@@ -155,7 +155,7 @@ class FeaturePlan:
                 for s in layer.values():
                     _needs(_on_imputed(s), req, now)
                 stats = {(k, c.removesuffix("_imputed"), q): v for (k, c, q), v in req.run().items()}
-            tables = {c: self._levels(s, now) for c, s in layer.items() if s.template in JOIN_TEMPLATES}
+            tables = {c: small_levels(self._levels(s, now)) for c, s in layer.items() if s.template in JOIN_TEMPLATES}
             levels = {c: dummy_levels(now.select(canonical_str(now, f"{c}_imputed").alias("v")), c, int(s.params["max_levels"]))
                       for c, s in layer.items() if s.template == "dummies"}
             fitted.layers.append((layer, stats, tables, levels))

@@ -148,3 +148,24 @@ def test_independent_draws_take_as_many_exchanges_whatever_the_columns(spark):
         assert out.columns == df.columns and out.count() == 50
         plans.append(_plan(out).count("Exchange"))
     assert plans[0] == plans[1]
+
+
+def test_rows_are_not_dealt_by_the_levels_of_a_column(spark):
+    """Level tables of few levels are broadcast: a column of three levels does not bring the table to three tasks."""
+    from prepkit.functions.numbering import small_levels
+    from prepkit.plans.feature_plan import FeaturePlan
+    li = FX.li_nulls(spark, SF)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        steps = [{"column_name": c, "fe_method": m} for c, m in (
+            ("l_returnflag", "label_encoding"), ("l_linestatus", "frequency_encoding"), ("l_shipdate", "target_encoding"))]
+        out = FeaturePlan(steps, target_column="l_linenumber").fit(li).transform(li)
+        target = [{**s, "target_column": "l_quantity"} for s in steps]
+        for df in (out, apply_templates(li, target)):
+            plan = _plan(df)
+            assert "hashpartitioning(" not in plan and plan.count("BroadcastHashJoin") >= 3
+            assert df.count() == li.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    long = spark.range(40).select(F.repeat(F.lit("x"), 1 << 20).alias("_key"), F.col("id").alias("_code"))
+    assert "broadcast" not in small_levels(long)._jdf.queryExecution().logical().toString()
