@@ -29,7 +29,7 @@ from prepkit.llm import textcols as T
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: pre-tokens of tier two that a worker remembers
-REMEMBERED = 300_000
+REMEMBERED = 50_000
 #: a single text is split in pieces of about so many bytes (cut before white space)
 PIECE = 1 << 21
 #: code points with the property White_Space (fixed values)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 
 SEGMENT = 1 << 18
-GROUP_BYTES = 1 << 21
+GROUP_BYTES = 1 << 19
 
 _rng = np.random.default_rng(20240229)
 _BYTE_KEY = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
