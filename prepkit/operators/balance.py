@@ -51,6 +51,11 @@ def _order(df: DataFrame, row_id: list[str] | None, seed: int) -> list[Column]:
     return [h, *[F.col(k) for k in keys]]
 
 
+def _ranked(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """``rank_within_group`` by an ``_order``; its hash is a column, so the sort does not make it anew for every comparison."""
+    return rank_within_group(df.withColumn("_hash", order[0]), group, [F.col("_hash"), *order[1:]], name=name).drop("_hash")
+
+
 def class_table(df: DataFrame, key: str) -> DataFrame:
     """Rows ``(key, n)``, one per class; as many as there are classes, so it is never collected."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -99,7 +104,7 @@ def _top_up(df: DataFrame, key: str, seed: int, row_id: list[str] | None,
     if mx is None or not needs.limit(1).count():
         return df
     src = df.join(small_side(needs.select(key)), key, "left_semi")
-    numbered = rank_within_group(src, [key], _order(df, row_id, seed), name="_pick")
+    numbered = _ranked(src, [key], _order(df, row_id, seed), "_pick")
     return df.unionByName(_drawn(numbered, needs, key, seed).select(*df.columns))
 
 
@@ -204,8 +209,7 @@ def tail_resample(df: DataFrame, t: str, tail_fraction: float = 0.05, seed: int
     if n_tails == 0 or need <= 0:
         return df
     keys = row_id or [c for c in df.columns]
-    numbered = rank_within_group(tails, ["_one"], _order(tails.drop("_one"), keys, seed),
-                                 name="_pick")
+    numbered = _ranked(tails, ["_one"], _order(tails.drop("_one"), keys, seed), "_pick")
     needs = df.sparkSession.createDataFrame([(1, n_tails, need)], "_one int, n bigint, k bigint")
     return df.unionByName(_drawn(numbered, needs, "_one", seed).select(*df.columns))
 
@@ -331,7 +335,7 @@ def cluster_oversample(df: DataFrame, t: str, n_clusters: int = 5, seed: int = 4
         sizes = class_table(labelled, "_cluster")          # n_clusters rows at most
         found = sizes.count()
         needs = sizes.withColumn("k", F.lit(math.ceil((mx - row["n"]) / found)).cast("bigint"))
-        numbered = rank_within_group(labelled, ["_cluster"], _order(df, keys, seed), name="_pick")
+        numbered = _ranked(labelled, ["_cluster"], _order(df, keys, seed), "_pick")
         numbered = numbered.withColumn("_number", F.col("_pick"))
         extra = (_drawn(numbered, needs, "_cluster", seed)
                  .withColumn("_h", hash_bigint(F.lit("draw"), F.col("_cluster"), F.col("_number"),

@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clean_value, hash_bigint, is_numeric
-from ..functions.numbering import global_row_number, rank_within_group, small_side
+from ..functions.numbering import global_row_number, small_side
 from ..session import ensure_checkpoint_dir
-from .balance import _TWO60, _draws, _order, _with_salts, class_table
+from .balance import _TWO60, _draws, _order, _ranked, _with_salts, class_table
 
 BLOCK = 4000        # rows of a cell that one task searches; larger cells are split
-QUERIES = 1000      # queries that one task answers
+QUERIES = 4000      # queries that one task answers
+CHUNK = 1 << 15     # distances that a task has at once, so that they stay in the processor's cache
 FAN = 32            # parts of a cell, at most
 DEPTH = 11          # levels, at most: cell numbers fit a long, and 2000 * 16^11 rows do too
 #: relative slack of the bound, so that rounding never hides a cell
@@ -58,40 +59,55 @@ def _matrix(column: pa.Array, dtype) -> np.ndarray:
 
 def squared(x: np.ndarray, c: np.ndarray, y: np.ndarray, d: np.ndarray, penalty: float) -> np.ndarray:
     """Squared distances of all rows (x, c) to all rows (y, d), summed feature by feature."""
-    out = np.zeros((len(x), len(y)))
+    out, one = np.zeros((len(x), len(y))), np.empty((len(x), len(y)))
     for f in range(x.shape[1]):
-        out += (x[:, f][:, None] - y[:, f][None, :]) ** 2
+        np.subtract.outer(x[:, f], y[:, f], out=one)
+        out += np.square(one, out=one)
     for f in range(c.shape[1]):
-        out += penalty ** 2 * (c[:, f][:, None] != d[:, f][None, :])
+        out += np.multiply(np.not_equal.outer(c[:, f], d[:, f]), penalty ** 2, out=one)
     return out
 
 
-def _square(point: str, penalty: float) -> str:
-    """SQL text: squared distance of the row's (x, c) to those of ``point``."""
-    return (f"aggregate(zip_with(x, {point}.x, (a, b) -> (a - b) * (a - b)), 0D, (s, v) -> s + v) + "
-            f"{penalty * penalty!r}D * size(filter(zip_with(c, {point}.c, (a, b) -> a <> b), t -> t))")
+def _square(kids: DataFrame, point: str, penalty: float) -> str:
+    """SQL text: squared distance of the row's (x, c) to those of ``point``, one of ``kids``.
+
+    All points have as many features, so the sum is written out: nothing is allocated for a distance."""
+    first = kids.selectExpr("size(kids[0].x) as x", "size(kids[0].c) as c").first() or {"x": 0, "c": 0}
+    far = [f"(x[{i}] - {point}.x[{i}]) * (x[{i}] - {point}.x[{i}])" for i in range(first["x"])]
+    other = [f"if(c[{i}] <> {point}.c[{i}], 1, 0)" for i in range(first["c"])]
+    return " + ".join(far or ["0D"]) + (f" + {penalty * penalty!r}D * ({' + '.join(other)})" if other else "")
+
+
+def _at_nearest(rows: DataFrame, kids: DataFrame, penalty: float) -> DataFrame:
+    """Rows with ``kids`` of their cell, the nearest of them (``_i``, from 0; ties: the first) and its distance ``_far``.
+
+    All three are NULL in cells that are not split."""
+    d2 = F.expr(f"transform(kids, p -> {_square(kids, 'p', penalty)})")
+    return (rows.join(small_side(kids.select("g", "cell", "kids")), ["g", "cell"], "left").withColumn("_d2", d2)
+            .withColumn("_least", F.array_min("_d2"))
+            .withColumns({"_i": F.expr("int(array_position(_d2, _least)) - 1"), "_far": F.sqrt("_least")}))
 
 
 def _down(rows: DataFrame, kids: DataFrame, penalty: float) -> DataFrame:
     """Rows one level down: ``cell`` is the nearest part (ties: the first), ``far`` the distance to its pivot.
 
     Rows of cells that are not split stay where they are."""
-    best = F.expr(f"array_min(transform(kids, (p, i) -> struct({_square('p', penalty)} as d2, i)))")
     keep = [c for c in rows.columns if c not in ("cell", "far")]
-    moved = rows.join(small_side(kids.select("g", "cell", "kids")), ["g", "cell"], "left").withColumn("_b", best)
-    return moved.select(*keep, F.expr(f"if(_b is null, cell, cell * {FAN + 1} + _b.i + 1)").alias("cell"),
-                        F.expr("if(_b is null, far, sqrt(_b.d2))").alias("far"))
+    return _at_nearest(rows, kids, penalty).select(*keep, F.expr(f"if(_i is null, cell, cell * {FAN + 1} + _i + 1)").alias("cell"),
+                                                   F.coalesce("_far", "far").alias("far"))
 
 
-def _tree(base: DataFrame, penalty: float) -> tuple[DataFrame, list[DataFrame]]:
+def _tree(base: DataFrame, penalty: float, k: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
     """(rows with their leaf ``cell``, per level the split cells (g, cell, kids)), all checkpointed.
 
-    kids: array of (x, c, radius, n) of the parts in their order; ``n`` 0 for a part without rows."""
-    rows = base.withColumns({"cell": F.lit(0).cast("long"), "far": F.lit(float("inf"))}).checkpoint(eager=True)
+    kids: array of (x, c, radius, n) of the parts in their order; ``n`` 0 for a part without rows.
+    With ``k`` the rows have their ``reach`` too (see ``_own_leaves``), from the distances that dealt them out."""
+    rows = base.withColumns({"cell": F.lit(0).cast("long"), "far": F.lit(float("inf"))} | (
+        {"reach": F.lit(float("inf"))} if k is not None else {})).checkpoint(eager=True)
     levels = []
+    size = rows.groupBy("g", "cell").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
     for level in range(DEPTH):
-        big = (rows.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"))
-               .where((F.col("n") > BLOCK) & (F.col("radius") > 0)).select("g", "cell", "n").checkpoint(eager=True))
+        big = size.where((F.col("n") > BLOCK) & (F.col("radius") > 0)).select("g", "cell", "n")
         if not big.limit(1).count():
             break
         parts = F.least(F.lit(FAN), F.ceil(F.col("n") * 2 / BLOCK))
@@ -101,7 +117,10 @@ def _tree(base: DataFrame, penalty: float) -> tuple[DataFrame, list[DataFrame]]:
         some = some.withColumn("_k", F.row_number().over(Window.partitionBy("g", "cell").orderBy(h, "_n"))).where(F.col("_k") <= parts)
         pivots = some.groupBy("g", "cell").agg(F.sort_array(F.collect_list(F.struct("_k", "x", "c"))).alias("kids")).checkpoint(eager=True)
         rows = _down(rows, pivots, penalty).checkpoint(eager=True)
-        size = rows.groupBy("g", "cell").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("n"))
+        size = rows.groupBy("g", "cell").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+        if k is not None:
+            rows = rows.join(small_side(size), ["g", "cell"]).withColumn(
+                "reach", F.least("reach", F.when(F.col("n") > k, F.col("far") + F.col("radius")))).select(*rows.columns)
         each = pivots.select("g", F.col("cell").alias("up"), F.posexplode("kids").alias("i", "p")).withColumn(
             "cell", F.col("up") * (FAN + 1) + F.col("i") + 1)
         each = each.join(size, ["g", "cell"], "left").groupBy("g", F.col("up").alias("cell")).agg(F.sort_array(F.collect_list(F.struct(
@@ -113,12 +132,13 @@ def _tree(base: DataFrame, penalty: float) -> tuple[DataFrame, list[DataFrame]]:
 def _visits(queries: DataFrame, levels: list[DataFrame], penalty: float) -> DataFrame:
     """(g, _n, x, c, cell) of the leaves besides the own one that can hold a neighbour within ``bound``."""
     at = queries.select("g", "_n", "x", "c", "bound", F.col("cell").alias("own"), F.lit(0).cast("long").alias("cell"))
-    near = (f"filter(transform(kids, (p, i) -> if(p.n > 0 and (sqrt({_square('p', penalty)}) - p.radius) * {1 - SLACK!r}D "
-            f"<= bound * {1 + SLACK!r}D, cell * {FAN + 1} + i + 1, null)), t -> t is not null)")
     for kids in levels:
-        at = at.join(small_side(kids), ["g", "cell"], "left")
-        at = at.select("g", "_n", "x", "c", "bound", "own", F.explode(F.expr(f"if(kids is null, array(cell), {near})")).alias("cell"))
-        at = at.checkpoint(eager=True)
+        parts = kids.select(F.col("g").alias("in_g"), F.col("cell").alias("in_cell"), F.posexplode("kids").alias("i", "p")).where("p.n > 0")
+        near = (f"g = in_g and cell = in_cell and (sqrt({_square(kids, 'p', penalty)}) - p.radius) * {1 - SLACK!r}D "
+                f"<= bound * {1 + SLACK!r}D")
+        down = at.join(small_side(parts), F.expr(near)).withColumn("cell", F.expr(f"cell * {FAN + 1} + i + 1")).select(*at.columns)
+        leaves = at.join(small_side(kids.select("g", "cell")), ["g", "cell"], "left_anti").select(*at.columns)
+        at = down.union(leaves).checkpoint(eager=True)
     return at.where("cell <> own").select("g", "_n", "x", "c", "cell")
 
 
@@ -126,14 +146,45 @@ def _own_leaves(queries: DataFrame, levels: list[DataFrame], k: int, penalty: fl
     """Queries with their leaf and ``reach``: within it there are k other rows for certain (infinity if unknown)."""
     at = queries.withColumns({"cell": F.lit(0).cast("long"), "reach": F.lit(float("inf"))})
     for kids in levels:
-        near = F.expr(f"array_min(transform(kids, (p, i) -> struct({_square('p', penalty)} as d2, i)))")
-        at = at.join(small_side(kids), ["g", "cell"], "left").withColumn("_b", near)
-        far = f"if(kids[_b.i].n > {k}, sqrt(_b.d2) + kids[_b.i].radius, double('inf'))"
-        at = at.select("g", "_n", "x", "c", F.expr(f"if(_b is null, cell, cell * {FAN + 1} + _b.i + 1)").alias("cell"),
-                       F.expr(f"if(_b is null, reach, least(reach, {far}))").alias("reach"))
+        far = f"if(kids[_i].n > {k}, _far + kids[_i].radius, double('inf'))"
+        at = _at_nearest(at, kids, penalty).select(
+            "g", "_n", "x", "c", F.expr(f"if(_i is null, cell, cell * {FAN + 1} + _i + 1)").alias("cell"),
+            F.expr(f"if(_i is null, reach, least(reach, {far}))").alias("reach"))
     return at.checkpoint(eager=True)
 
 
+def block_nearest(queries: pa.Table, rows: pa.Table, k: int, penalty: float) -> pa.Table:
+    """(_n, other, d2): the k nearest of ``rows`` for each of ``queries``, ``CHUNK`` distances at a time."""
+    out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+    if queries.num_rows and rows.num_rows:
+        rows = rows.sort_by("_n")       # the first of equal distances is that of the smallest number
+        ids, own = rows.column("_n").to_numpy(), queries.column("_n").to_numpy()
+        x, c = _matrix(queries.column("x"), float), _matrix(queries.column("c"), np.int64)
+        # feature by feature in memory
+        y, d = (np.asfortranarray(m) for m in (_matrix(rows.column("x"), float), _matrix(rows.column("c"), np.int64)))
+        step = max(1, CHUNK // len(ids))
+        for at in range(0, len(own), step):
+            mine = own[at:at + step]
+            d2 = squared(x[at:at + step], c[at:at + step], y, d, penalty)
+            np.fmin(d2, np.inf, out=d2)     # what is no number is no neighbour
+            # rows with the number of the query, which may stand there more than once
+            here, end = np.searchsorted(ids, mine), np.searchsorted(ids, mine, "right")
+            while (same := np.flatnonzero(here < end)).size:
+                d2[same, here[same]] = np.inf
+                here += 1
+            each = np.arange(len(mine))
+            for _ in range(min(k, len(ids))):
+                best = d2.argmin(axis=1)
+                found = d2[each, best]
+                good = np.isfinite(found)
+                if not good.any():
+                    break
+                for column, values in zip(out, (mine, ids[best], found)):
+                    column.append(values[good])
+                d2[each, best] = np.inf
+    return pa.table(dict(zip(("_n", "other", "d2"), map(np.concatenate, out))))
+
+
 def _searched(visits: DataFrame, base: DataFrame, k: int, penalty: float) -> DataFrame:
     """Partial top-k (_n, other, d2) of every visit among the rows of its cell, block by block."""
     cells = base.groupBy("g", "cell").agg((1 + F.floor(F.count(F.lit(1)) / BLOCK)).cast("int").alias("blocks"))
@@ -151,24 +202,7 @@ def _searched(visits: DataFrame, base: DataFrame, k: int, penalty: float) -> Dat
              .select("g", "cell", "part", "block", "_n", "x", "c"))
 
     def search(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        out = [[], [], []]
-        if queries.num_rows and rows.num_rows:
-            ids = rows.column("_n").to_numpy()
-            own = queries.column("_n").to_numpy()
-            d = squared(_matrix(queries.column("x"), float), _matrix(queries.column("c"), np.int64),
-                        _matrix(rows.column("x"), float), _matrix(rows.column("c"), np.int64), penalty)
-            for i, q in enumerate(own):
-                row = np.where(ids == q, np.inf, d[i])
-                good = np.flatnonzero(np.isfinite(row))
-                if len(good) > k:
-                    limit = np.partition(row[good], k - 1)[k - 1]
-                    good = good[row[good] <= limit]
-                good = good[np.lexsort((ids[good], row[good]))][:k]
-                out[0] += [q] * len(good)
-                out[1] += ids[good].tolist()
-                out[2] += row[good].tolist()
-        return pa.table({"_n": pa.array(out[0], pa.int64()), "other": pa.array(out[1], pa.int64()),
-                         "d2": pa.array(out[2], pa.float64())})
+        return block_nearest(queries, rows, k, penalty)
 
     keys = ["g", "cell", "part", "block"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "_n bigint, other bigint, d2 double")
@@ -179,8 +213,12 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, penalty: float = 0.0) -
     group ``g``, never the row with the same number; fewer where the group has no more."""
     spark = base.sparkSession
     ensure_checkpoint_dir(spark)
-    base, levels = _tree(base, penalty)
-    queries = _own_leaves(queries, levels, k, penalty)
+    if queries is base:     # the rows know their leaves
+        base, levels = _tree(base, penalty, k)
+        queries = base
+    else:
+        base, levels = _tree(base, penalty)
+        queries = _own_leaves(queries, levels, k, penalty)
     ranked = Window.partitionBy("_n").orderBy("d2", "other")
 
     def top(rows: DataFrame) -> DataFrame:
@@ -266,8 +304,9 @@ def _interpolated(df: DataFrame, t: str, row_id: list[str] | None, features: lis
         penalty = float(np.median([s or 0.0 for s in spread]))
     needs = counts.withColumn("k", F.lit(span[0]) - F.col("n")).where("k > 0")
     minority = rows.join(small_side(needs.select(t)), t, "left_semi").checkpoint(eager=True)
-    near = nearest(points(minority, features, cats, t), points(minority, features, cats, t), k, penalty).checkpoint(eager=True)
-    places = rank_within_group(minority, [t], _order(minority.select(*df.columns), row_id, seed), name="_pick").select(t, "_pick", "_n")
+    mine = points(minority, features, cats, t)
+    near = nearest(mine, mine, k, penalty).checkpoint(eager=True)
+    places = _ranked(minority, [t], _order(minority.select(*df.columns), row_id, seed), "_pick").select(t, "_pick", "_n")
     modes = None
     if cats:
         pairs = near.join(minority.select(F.col("_n").alias("other"), *cats), "other")
@@ -324,7 +363,8 @@ def adasyn(df: DataFrame, t: str, row_id: list[str] | None = None, features: lis
     total = share.groupBy(t).agg(F.sum("r").alias("total"))
     gets = (share.join(small_side(total.join(needs.select(t, "k"), t)), t).where("total > 0")
             .select(t, "_n", F.bround(F.col("r") / F.col("total") * F.col("k")).cast("bigint").alias("times")).where("times > 0"))
-    near = nearest(points(minority, features, [], t), points(minority, features, [], t), k).checkpoint(eager=True)
+    mine = points(minority, features, [], t)
+    near = nearest(mine, mine, k).checkpoint(eager=True)
     # times is at most the number of rows missing; it is dealt out in chunks
     draws = (gets.select("_n", "times").join(_with_neighbours(minority, near, features, None, t), "_n")
              .withColumn("_b", F.explode(F.expr("sequence(0L, (times - 1) div 10000)"))).repartition("_n", "_b")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import clean_value, hash_bigint, is_numeric
-from ..functions.numbering import rank_within_group, small_side
+from ..functions.numbering import small_side
 from ..functions.radix import quantile_table
 from ..functions.selection import mark_first
 from ..functions.stats import unpivot_values
@@ -30,6 +30,7 @@ from . import balance as B
 from . import neighbours as NB
 
 DRAWS_AT_ONCE = 10_000
+FEW_DRAWS = 16      # draws of a row that are made where it stands
 WHOLE = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
 
 
@@ -117,7 +118,7 @@ def smoter(df: DataFrame, t: str, row_id: list[str] | None = None, k: int = 5, p
     kept = mark_first(placed, ["_run"], order, lambda sizes: f"case _run {wants} end").where("_in").select(*cols)
     small = {i: r for i, r in enumerate(runs) if r.want > r.n}
     rows = placed.where(F.col("_run").isin(list(small)))
-    rows = rank_within_group(rows, ["_run"], order, name="_place").checkpoint()
+    rows = B._ranked(rows, ["_run"], order, "_place").checkpoint()
     return kept.unionByName(_new_rows(rows, cols, t, row_id or [], small, k, pert, seed))
 
 
@@ -140,13 +141,17 @@ def _new_rows(rows: DataFrame, cols: list[str], t: str, row_id: list[str], runs:
     near = NB.nearest(points, points, k, 1.0)
     side = rows.select(F.col("_n").alias("other"), F.struct(F.col(t).alias("y"), *[f"_raw{i}" for i in range(len(nums))], *[
         F.col(c).alias(f"_c{i}") for i, c in enumerate(cats)]).alias("row"))
-    around = near.join(side, "other").groupBy("_n").agg(
-        F.sort_array(F.collect_list(F.struct("rank", F.sqrt("d2").alias("d"), "row"))).alias("_near"), (F.median(F.sqrt("d2")) / 2).alias("_safe"))
+    around = near.join(side, "other").groupBy("_n").agg(F.sort_array(F.collect_list(F.struct("rank", F.sqrt("d2").alias("d"), "row"))).alias("_near"))
+    # half the median of the distances, which stand in their order
+    middle = [F.get("_near", F.expr(f"int((size(_near) - {i}) div 2)"))["d"] for i in (1, 0)]
+    around = around.withColumn("_safe", (middle[0] + middle[1]) / 2 / 2)
     times = _by_run({i: r.want // r.n - 1 for i, r in runs.items()}, "long") + (
         F.col("_place") <= _by_run({i: r.want % r.n for i, r in runs.items()}, "long")).cast("long")
     made = rows.join(around, "_n", "left").withColumn("_times", times).where("_times > 0")
-    made = (made.withColumn("_b", F.explode(F.expr(f"sequence(0L, (_times - 1) div {DRAWS_AT_ONCE})"))).repartition("_n", "_b")
-            .withColumn("_j", F.explode(F.expr(f"sequence(_b * {DRAWS_AT_ONCE} + 1, least(_times, (_b + 1) * {DRAWS_AT_ONCE}))"))))
+    made = made.withColumn("_b", F.explode(F.expr(f"sequence(0L, (_times - 1) div {DRAWS_AT_ONCE})")))
+    if max(r.want // r.n for r in runs.values()) > FEW_DRAWS:
+        made = made.repartition("_n", "_b")
+    made = made.withColumn("_j", F.explode(F.expr(f"sequence(_b * {DRAWS_AT_ONCE} + 1, least(_times, (_b + 1) * {DRAWS_AT_ONCE}))")))
 
     def drawn(tag: str) -> Column:
         return hash_bigint(F.col("_run"), F.col("_place"), F.col("_j"), F.lit(seed), F.lit(tag))

@@ -1,6 +1,7 @@
 """Exact neighbours by a tree of pivots, against all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,3 +61,34 @@ def test_work_a_query_grows_slower_than_the_rows(spark, monkeypatch):
         seen[n] = NB._visits(open_, levels, 0.0).count() / (n / 10), leaves
     assert seen[3200][1] > 3 * seen[800][1]
     assert seen[3200][0] < 2 * max(seen[800][0], 1.0), seen
+
+
+def test_rows_that_ask_among_themselves_go_down_the_tree_once(spark, monkeypatch):
+    """The rows know their leaf and reach from being dealt out: the same as going down again."""
+    monkeypatch.setattr(NB, "BLOCK", 20)
+    rng = np.random.default_rng(6)
+    rows = [("ab"[i % 5 == 0], i, x.tolist(), [int(rng.integers(0, 3))]) for i, x in enumerate(cloud(rng, 400, 2))]
+    base = spark.createDataFrame(rows, POINT).repartition(3)
+    tree, levels = NB._tree(base, 1.0, 4)
+    asked = NB._own_leaves(base, levels, 4, 1.0)
+    assert len(levels) > 1 and asked.where("reach < double('inf')").count() > 300
+    columns = ["g", "_n", "cell", "reach"]
+    assert sorted(map(tuple, tree.select(columns).collect())) == sorted(map(tuple, asked.select(columns).collect()))
+
+
+def test_a_block_holds_few_distances_at_once(monkeypatch):
+    """Many queries against many rows: the matrix of all distances is never there."""
+    seen = []
+
+    def square(x, c, y, d, penalty, plain=NB.squared):
+        seen.append(len(x) * len(y))
+        return plain(x, c, y, d, penalty)
+
+    monkeypatch.setattr(NB, "squared", square)
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 40, (1500, 1)).astype(float)
+    rows = pa.table({"_n": pa.array(range(len(x))), "x": pa.array(x.tolist()), "c": pa.array([[]] * len(x), pa.list_(pa.int64()))})
+    got = {tuple(r.values())[:2] for r in NB.block_nearest(rows.slice(0, 200), rows.take(rng.permutation(len(x))), 3, 0.0).to_pylist()}
+    points = [("", i, [float(v[0])], []) for i, v in enumerate(x)]
+    assert got == {(q, other) for q, _, other in brute(points, points[:200], 3)}
+    assert max(seen) <= NB.CHUNK < 200 * len(x)

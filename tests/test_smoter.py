@@ -94,3 +94,16 @@ def test_a_rare_run_of_one_row(spark):
     out = S.smoter(spark.createDataFrame(rows, "id long, y double, x double"), "y", row_id=["id"]).collect()
     assert len(out) == 2 * round(61 / 2)
     assert all(math.isfinite(r["y"]) and r["x"] == 3.0 for r in out if r["id"] is None)
+
+
+def test_the_order_of_the_rows_is_hashed_once_a_row(spark, monkeypatch):
+    """The sort compares a column, not the md5 of both rows anew."""
+    from prepkit.functions import numbering
+
+    seen = []
+    plain = numbering.global_row_number
+    monkeypatch.setattr(numbering, "global_row_number", lambda df, order, **kw: seen.append(order) or plain(df, order, **kw))
+    df = table(spark)
+    B.balance(df, " y ", "smoter", row_id=["id"])
+    B.random_oversample(df, "c", row_id=["id"])
+    assert len(seen) == 2 and not any("md5" in str(o) for order in seen for o in order)
